@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, toxicity, warc
+from . import decontam, fingerprints, packing, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~toxicity.training_part(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op6_warc_archive, op8_toxicity)}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op6_warc_archive, op8_toxicity, op9_fingerprints, op10_decontamination)}
 
 #: What SQL can express of them. DuckDB has no base32, so an expression over its hex digits writes it.
 _B32 = " || ".join(
