@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, packing, toxicity, warc
+from . import decontam, fingerprints, licenses, packing, pii, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,13 +45,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op6_warc_archive, op8_toxicity, op9_fingerprints, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op4_personal_data, op5_license_scan, op6_warc_archive, op8_toxicity, op9_fingerprints, op10_decontamination)}
 
 #: What SQL can express of them. DuckDB has no base32, so an expression over its hex digits writes it.
 _B32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {s} & 31)::INTEGER, 1)" for g in range(8) for s in (15, 10, 5, 0)
 )
 ORACLE_SQL = {
+    "op5_license_scan": licenses.oracle_sql(),
     "op6_warc_archive": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
              f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first_id FROM p)
