@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,20 @@ def search(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, i
     return [(row, i, s, e, d) for (row, i), (d, s, e) in best.items()]
 
 
+def indexes(benchmark: DataFrame, q: int, edit_rate: float, block_chars: int) -> Iterator[Index]:
+    """Indexes of the benchmark's blocks; the driver holds one block at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= q)
+    block, size = [], 0
+    for row in items.orderBy("item_id", "text").toLocalIterator():
+        if block and size + len(row["text"]) > block_chars:
+            yield build_index(block, q, edit_rate)
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+    if block:
+        yield build_index(block, q, edit_rate)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
     """Pairs (doc_id, item_id) with the item's best place in the text: start, end (code points, end exclusive), edits.
 
@@ -166,35 +181,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= q)
-    found, block, size = None, [], 0
+    parts = [texts.mapInArrow(searcher(spark.sparkContext.broadcast(x)), SCHEMA) for x in indexes(benchmark, q, edit_rate, block_chars)]
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], SCHEMA)
 
-    def add(found: DataFrame | None) -> DataFrame:
-        part = texts.mapInArrow(searcher(spark.sparkContext.broadcast(build_index(block, q, edit_rate))), SCHEMA)
-        return part if found is None else found.unionAll(part)
 
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(row["text"]) > block_chars:
-            found, block, size = add(found), [], 0
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-    return add(found) if block else found if found is not None else spark.createDataFrame([], SCHEMA)
+def hits(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """search() over slices of the texts."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        held.append(normal_points(text or ""))
+        size += len(held[-1])
+        if size > SLICE_CHARS or k == len(texts) - 1:
+            for row, *rest in search(held, index):
+                yield (k + 1 - len(held) + row, *rest)
+            held, size = [], 0
 
 
 def searcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            rows: list[tuple] = []
-            ids, texts, held, size = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], 0
-            for k, text in enumerate(texts):
-                held.append(normal_points(text))
-                size += len(text)
-                if size > SLICE_CHARS or k == len(texts) - 1:
-                    base = k + 1 - len(held)
-                    rows += [(ids[base + r], index.ids[i], s, e, d) for r, i, s, e, d in search(held, index)]
-                    held, size = [], 0
+            ids, index = batch.column(0).to_pylist(), shared.value
+            rows = [(ids[r], index.ids[i], s, e, d) for r, i, s, e, d in hits(index, batch.column(1).to_pylist())]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, as contaminated() says; a pass for each block, no shuffle."""
+    at = docs.columns.index("text")
+
+    def dropper(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in hits(shared.value, batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for index in indexes(benchmark, q, edit_rate, block_chars):
+        docs = docs.mapInArrow(dropper(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return docs

@@ -212,3 +212,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     out = made.select("doc_id", "n_shingles").join(reached, made["doc_id"] == reached["node"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates() keeps: the smallest doc_id of each group, its repeated rows once.
+
+    Rows without doc_id all stay.
+    """
+    kept = near_duplicates(docs, percent, words).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates().unionByName(docs.filter("doc_id IS NULL"))

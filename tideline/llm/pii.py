@@ -326,7 +326,8 @@ def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     Where spans overlap, the union is replaced once and takes the first one's kind.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def clean(text: str, spans: list[tuple[str, int, int]]) -> str:
         out, done = [], 0
@@ -342,7 +343,7 @@ def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             cleaned = [clean(t, b + a) for t, (b, a) in zip(texts, scan_texts(shared.value, texts), strict=True)]
             columns = list(batch.columns)
             columns[at] = pa.array(cleaned, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     has = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
     changed = docs.filter(has).mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, licenses, minhash, packing, pii, secrets, toxicity, warc
+from . import decontam, fingerprints, licenses, minhash, packing, pii, repeats, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sum_of_squares_packing, op3_near_duplicates, op4_personal_data, op5_license_scan, op6_warc_archive, op8_toxicity, op9_fingerprints, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sum_of_squares_packing, op3_near_duplicates, op4_personal_data, op5_license_scan, op6_warc_archive, op7_repeated_strings, op8_toxicity, op9_fingerprints, op10_decontamination)}
 
 #: What SQL can express of them. DuckDB has no base32, so an expression over its hex digits writes it.
 _B32 = " || ".join(
