@@ -69,7 +69,7 @@ def training_part(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features: int = 1 << 15, least_docs: int = 4, ridge: float = 0.02, steps: int = 60) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, features: int = 1 << 13, least_docs: int = 4, ridge: float = 0.02, steps: int = 60) -> Model:
     """Fit from at most ``sample_rows`` labelled training rows, those first by a hash of their doc_id.
 
     Only ``text`` is a feature. Rows without doc_id or label teach nothing, null texts count as empty. With no toxic or
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features:
     # evidence: the log ratio over its standard error, so that rare n-grams need a larger ratio
     counts = counts.filter(F.col("pos") + F.col("neg") >= least_docs).withColumn("ratio", ratio)
     counts = counts.withColumn("z", F.abs("ratio") / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1)))
-    chosen = counts.filter("z >= 3").orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "ratio").collect()
+    chosen = counts.filter("z >= 4").orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "ratio").collect()
     ratios = np.zeros(1 << BITS, np.float32)
     ratios[[r["bucket"] for r in chosen]] = [r["ratio"] for r in chosen]
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
