@@ -21,7 +21,8 @@ from .common import GOLDEN, POWERS, checkpoint_root, mix, prefix_hash, slices, s
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+DENSE = 4
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -144,39 +145,95 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def block_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket's rows from different components that their sketches don't rule out.
+def spanning_links(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix: as few links as keep what is connected connected."""
+    a, b = [], []
+    todo = np.ones(len(linked), bool)
+    for root in range(len(linked)):
+        front, todo[root] = [root] if todo[root] else [], False
+        while front:
+            at = front.pop()
+            found = np.flatnonzero(linked[at] & todo)
+            todo[found] = False
+            front += found.tolist()
+            a += [at] * len(found)
+            b += found.tolist()
+    return a, b
+
+
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as products of membership matrices of ``columns`` elements each."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(many > 1) - 1
+    keep = many[element] > 1
+    owner, element = owner[keep], shared[element[keep]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(element[-1]) + 1 if len(element) else 0, columns):
+        i, j = np.searchsorted(element, [lo, lo + columns])
+        member = np.zeros((len(sets), columns), np.float32)
+        member[owner[i:j], element[i:j] - lo] = 1
+        out += member @ member.T
+    return out
+
+
+def block_links(buckets: DataFrame, texts: DataFrame, percent: int, words: int = 5) -> DataFrame:
+    """Links (a, b) that connect what the buckets' rows of different components connect.
 
     ``buckets``: key, node, n, component, sketch. A bucket's rows are dealt into chunks of about BLOCK; each pair of chunks
     is a group of bounded size. Sketches rule a pair out when they agree in fewer coordinates than similar sets do but
-    once in tens of millions of times (five and a half standard deviations).
+    once in tens of millions of times (five and a half standard deviations). A group names the pairs left if they are
+    few, and they are verified one by one. A group with more than DENSE pairs a row is verified as a whole, in one task that
+    holds its texts, and gives a spanning forest of its links instead of all of them.
     """
     share = percent / 100
     least = int(COORDINATES * share - 5.5 * (COORDINATES * share * (1 - share)) ** 0.5)
-    # bands that hold the same rows are one bucket
-    size = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.min("node").alias("head"))
-    size = size.filter("lo <> hi").groupBy("m", "sig", "head").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks"))
+    # bands that hold the same rows are one bucket; long sets make smaller chunks
+    size = buckets.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.min("node").alias("head"))
+    chunks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    size = size.filter("lo <> hi").groupBy("m", "all", "sig", "head").agg(F.min("key").alias("key")).select("key", F.least(chunks, F.col("m").cast("int")).alias("chunks"))
     rows = buckets.join(size, "key").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("node", "n", "component", "sketch", "key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk")
 
-    def run(group: pa.Table) -> pa.Table:
-        node, n, comp, chunk = (group[c].to_numpy() for c in ("node", "n", "component", "chunk"))
+    def likely(group: pa.Table) -> np.ndarray:
+        """Pairs of the group, a row for each of its rows, that sizes, components and sketches leave."""
+        n, comp, chunk = (group[c].to_numpy() for c in ("n", "component", "chunk"))
         sk = np.stack([np.frombuffer(x, np.uint16) for x in group["sketch"].to_pylist()])
-        a, b = [], []
         one = group["i"][0].as_py() == group["j"][0].as_py()
-        for k in range(len(node)):
-            fit = (comp != comp[k]) & (np.minimum(n, n[k]) * 100 >= percent * np.maximum(n, n[k])) & (node > node[k])
+        out = np.zeros((len(n), len(n)), bool)
+        for k in range(len(n)):
+            fit = (comp != comp[k]) & (np.minimum(n, n[k]) * 100 >= percent * np.maximum(n, n[k]))
             if not one:
                 fit &= chunk != chunk[k]
             near = np.flatnonzero(fit)
-            if len(near):
-                near = near[(sk[near] == sk[k]).sum(1) >= least]
-                a += [int(node[k])] * len(near)
-                b += node[near].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+            out[k, near[(sk[near] == sk[k]).sum(1) >= least]] = True
+        return out
+
+    def name_pairs(group: pa.Table) -> pa.Table:
+        node, pairs = group["node"].to_numpy(), likely(group)
+        at = group.select(["key", "i", "j"]).slice(0, 1)
+        if pairs.sum() > 2 * DENSE * len(node):
+            return at.append_column("a", pa.nulls(1, pa.int64())).append_column("b", pa.nulls(1, pa.int64()))
+        x, y = np.nonzero(pairs & (node[:, None] < node))
+        return at.take(pa.array(np.zeros(len(x), np.int64))).append_column("a", pa.array(node[x], pa.int64())).append_column("b", pa.array(node[y], pa.int64()))
+
+    def verify_group(group: pa.Table) -> pa.Table:
+        node, pairs = group["node"].to_numpy(), likely(group)
+        sets = shingle_sets(*text_bytes(group["text"]), words)
+        sizes = np.array([len(s) for s in sets])
+        common = common_counts(sets)
+        pairs &= 100 * common >= percent * (sizes[:, None] + sizes - common)
+        x, y = spanning_links(pairs)
+        return pa.table({"a": pa.array(node[x], pa.int64()), "b": pa.array(node[y], pa.int64())})
+
+    named = stage(rows.groupBy("key", "i", "j").applyInArrow(name_pairs, "key long, i int, j int, a long, b long"), "pairs")
+    single = verify(named.filter("a IS NOT NULL").select("a", "b").distinct(), texts, percent, words)
+    dense = rows.join(named.filter("a IS NULL").select("key", "i", "j"), ["key", "i", "j"]).join(texts, "node")
+    whole = dense.select(*rows.columns, "text").groupBy("key", "i", "j").applyInArrow(verify_group, "a long, b long")
+    return single.unionByName(whole)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
@@ -205,7 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     first = stage(verify(pairs, texts, percent, words), "links")
     labels = components(nodes, first)
     dealt = buckets.select("key", "node", "n").join(labels, "node").join(reps.select("node", "sketch"), "node")
-    more = stage(verify(block_pairs(dealt, percent), texts, percent, words), "links")
+    more = stage(block_links(dealt, texts, percent, words), "links")
     links = first.unionByName(more).unionByName(equal).distinct()
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     reached = components(ends, links)
