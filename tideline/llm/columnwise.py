@@ -49,9 +49,9 @@ def transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         live = np.flatnonzero(sizes >= length)
         order = np.argsort(symbols, kind="stable")
         done = len(symbols) - np.count_nonzero(symbols)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        k = rank[place[live]]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        k = rank[place[live]].astype(np.int64)
         by_rank = np.argsort(k)
         live, k = live[by_rank], k[by_rank]
         least = RangeMin(common)
@@ -63,14 +63,13 @@ def transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         after[same] = least.least(order[k[same]] + 1, order[follows[same]]) + 1
         new = count + k - done
         place[live] = new
-        is_new = np.zeros(len(symbols) + len(live), bool)
-        is_new[new] = True
-        old = ~is_new
+        old = np.ones(len(symbols) + len(live), bool)
+        old[new] = False
         longer = sizes[live] > length
         symbol = np.where(longer, data[np.maximum(ends[live] - length - 1, 0)] + np.uint8(1), np.uint8(0))
-        symbols_out, common_out = np.empty(len(is_new), np.uint8), np.empty(len(is_new), np.uint8)
-        symbols_out[is_new], symbols_out[old] = symbol, symbols
-        common_out[is_new], common_out[old] = before, common
+        symbols_out, common_out = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
+        symbols_out[old], symbols_out[new] = symbols, symbol
+        common_out[old], common_out[new] = common, before
         inner = new + 1 < len(common_out)
         common_out[new[inner] + 1] = after[inner]
         symbols, common = symbols_out, common_out

@@ -33,7 +33,7 @@ WINDOWS = LENGTH - GRAM + 1
 SEGMENT = 4 << 20
 BLOCK_RUNS = 400_000
 HOT_RUNS = 1024
-COLLECTION = 2048
+COLLECTION = 1024
 PLACE = np.uint64(0xFFFFFF)
 
 
