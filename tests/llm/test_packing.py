@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from tideline.llm import packing
+from tideline.llm.queries import op2_sum_of_squares_packing
+
+SCHEMA = "doc_id long, text string, sequence_id string, length string"
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return Tokenizer.from_file(packing.default_vocabulary())
+
+
+def check(out, texts: list[tuple[int | None, str | None]], plain, window=2048):
+    """Exact round trip: pieces tile every document's ids, sequences are gapless and no longer than the window."""
+    wanted = {}
+    for doc, text in texts:
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        wanted.setdefault(doc, []).append(ids)
+    pieces = [r.asDict() for r in out.collect()]
+    total = 0
+    for doc, lists in wanted.items():
+        own = sorted((p for p in pieces if p["doc_id"] == doc), key=lambda p: p["start"])
+        assert sum(p["length"] for p in own) == sum(map(len, lists))
+        total += len(own)
+        if len(lists) > 1:
+            continue
+        at = 0
+        for p in own:
+            assert p["start"] == at and p["doc_tokens"] == len(lists[0]) and p["length"] > 0
+            assert p["ids_crc32"] == zlib.crc32(lists[0][at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(lists[0])
+    assert total == len(pieces)
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append(p)
+    for members in sequences.values():
+        at = 0
+        for p in sorted(members, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= window
+    return sequences
+
+
+def test_whole_table_round_trip(spark, sf_dir, plain):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
+    sequences = check(op2_sum_of_squares_packing(spark, sf_dir), list(docs.itertuples(index=False, name=None)), plain)
+    short = [s for s in sequences.values() if sum(p["length"] for p in s) < 2048]
+    assert len(short) <= spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+
+
+def test_edge_cases(spark, plain):
+    texts = [
+        (1, None), (2, ""), (3, "a <|endoftext|> b"), (4, "word " * 30_000), (5, "x" * 50_000), (6, "é漢字 🙂\x00\r\n"), (7, "twice"), (7, "twice"), (None, "no id"), (9, " " * 9000),
+    ]
+    docs = spark.createDataFrame([(d, t, "clash", "clash") for d, t in texts], SCHEMA)
+    check(packing.pack(docs), texts, plain)
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_small_window(spark, plain):
+    texts = [(i, "some words of a text " * (i % 17)) for i in range(200)]
+    docs = spark.createDataFrame([(d, t, "", "") for d, t in texts], SCHEMA)
+    check(packing.pack(docs.coalesce(2), window=64), texts, plain, 64)
+
+
+def test_level_is_least_sum_of_squares():
+    r = np.random.default_rng(1)
+    packer = packing.LevelPacker(40)
+    for _ in range(400):
+        size = int(r.integers(1, 40))
+        before = packer.count.copy()
+        choice = packer.level_for(size)
+
+        def cost(level, size=size, before=before):
+            after = before.copy()
+            after[level] -= level > 0
+            after[level + size] += level + size < 40
+            return int((after[1:40] ** 2).sum())
+
+        usable = [0, *(level for level in range(1, 40 - size + 1) if before[level])]
+        assert cost(choice) == min(map(cost, usable))
+        packer.place((0, 0, np.zeros(size, "<u4"), size))
