@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -46,5 +47,5 @@ def rows(df) -> list[tuple]:
     """Rows in a fixed order, columns by name, doubles rounded."""
     frame = df if hasattr(df, "values") else df.toPandas()
     frame = frame[sorted(frame.columns)]
-    tidy = lambda v: None if v is None or v != v else f"{v:.7g}" if isinstance(v, float) else str(v)
+    tidy = lambda v: None if v is None or pd.isna(v) else f"{v:.7g}" if isinstance(v, float) else str(v)
     return sorted((tuple(tidy(v) for v in r) for r in frame.astype(object).itertuples(index=False, name=None)), key=str)
