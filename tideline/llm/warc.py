@@ -30,7 +30,7 @@ def header(record_type: Column) -> Column:
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", record_type),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(">"))),
         F.when(F.col("url").isNotNull(), line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " "))).otherwise(F.lit("")),
         line("WARC-Date", F.lit(WARC_DATE)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1_b32"))),
