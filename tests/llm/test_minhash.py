@@ -28,6 +28,8 @@ def brute(texts):
 
     for i, a in enumerate(sets):
         for j in range(i):
+            if 100 * min(len(a), len(sets[j])) < 85 * max(len(a), len(sets[j])):
+                continue
             common = len(a & sets[j])
             if common and 100 * common >= 85 * (len(a) + len(sets[j]) - common):
                 x, y = root(texts[i][0]), root(texts[j][0])
