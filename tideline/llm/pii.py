@@ -269,13 +269,14 @@ def training_windows(text: str, most: int = 6) -> list[tuple[np.ndarray, np.ndar
 
 
 def train(docs: DataFrame, sample_docs: int = 600, steps: int = 160, hidden: int = 16) -> Tagger | None:
-    """A tagger from at most ``sample_docs`` documents with a trigger, first by a hash of text; None if there are none.
+    """A tagger from at most ``sample_docs`` different texts with a trigger, first by a hash of text; None if there are none.
 
     Base spans label at most six windows of each.
     """
-    picked = docs.select(F.col("text")).filter(F.col("text").rlike(TRIGGER)).select(F.xxhash64("text").alias("h")).orderBy("h").limit(sample_docs).distinct()
+    # copies count once, so that a text that fills a third of the table is one pick
+    picked = docs.select(F.col("text")).filter(F.col("text").rlike(TRIGGER)).select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample_docs)
     # the picks are sample_docs numbers at most
-    texts = docs.select("text").withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), "h")
+    texts = docs.select("text").withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), "h").dropDuplicates(["h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
