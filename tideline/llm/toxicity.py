@@ -100,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, features:
     # evidence: the log ratio over its standard error, so that rare n-grams need a larger ratio
     counts = counts.filter(F.col("pos") + F.col("neg") >= least_docs).withColumn("ratio", ratio)
     counts = counts.withColumn("z", F.abs("ratio") / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1)))
-    chosen = counts.filter("z >= 4").orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "ratio").collect()
+    # as many rows, as many n-grams that stand out by chance: the bound grows with the sample as the largest of n normal values does
+    chosen = counts.filter(F.col("z") >= float(np.sqrt(2 * np.log(n_pos + n_neg)))).orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "ratio").collect()
     ratios = np.zeros(1 << BITS, np.float32)
     ratios[[r["bucket"] for r in chosen]] = [r["ratio"] for r in chosen]
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
