@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnwise import equal_windows
-from .common import POWERS, mix, prefix_hash, slices, span_hash, stage, text_bytes
+from .common import POWERS, mix, prefix_hash, random_table, slices, span_hash, stage, text_bytes
 
 LENGTH, GRAM = 100, 24
 WINDOWS = LENGTH - GRAM + 1
@@ -35,6 +35,8 @@ BLOCK_RUNS = 400_000
 HOT_RUNS = 1024
 COLLECTION = 1024
 PLACE = np.uint64(0xFFFFFF)
+#: The bytes in another order: a hash of the bytes so mapped is a second one, of other table values.
+SHUFFLED = np.argsort(random_table(256, 11)).astype(np.uint8)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -76,11 +78,11 @@ def merged(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return doc[first], start[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def firsts(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """True for the earliest row, by document and start, of each key."""
-    order = np.lexsort((start, doc, key))
-    out = np.ones(len(key), bool)
-    out[order[1:]] = key[order[1:]] != key[order[:-1]]
+def firsts(doc: np.ndarray, start: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """True for the earliest row, by document and start, of each combination of keys."""
+    order = np.lexsort((start, doc, *keys))
+    out = np.ones(len(doc), bool)
+    out[order[1:]] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
     return out
 
 
@@ -102,7 +104,7 @@ def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block() -> pa.RecordBatch:
         doc, start, count, anchor, run = (np.concatenate(c) for c in zip(*held, strict=True))
-        first = firsts(run, doc, start)
+        first = firsts(doc, start, anchor, run)
         d, s, c = merged(doc[~first], start[~first], count[~first])
         none = pa.nulls(len(d), pa.int64())
         spread = mix(d.astype(np.uint64)).view(np.int64)
@@ -168,11 +170,11 @@ def meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield opened([open_row[0]])
 
 
-WINDOWED = "kind int, key long, doc long, place long, bytes binary"
+WINDOWED = "kind int, key long, check long, doc long, place long, bytes binary"
 
 
 def fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts with their runs: kind 1 a run's bytes by anchor, kind 2 a window by its hash, kind 0 a known repeat."""
+    """From texts with their runs: kind 1 a run's bytes by anchor, kind 2 a window by two hashes, kind 0 a known repeat."""
     for b in batches:
         data, offsets = text_bytes(b.column(1))
         lists = b.column(2)
@@ -185,18 +187,19 @@ def fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         cold = np.flatnonzero(~hot)
         raw = data.tobytes()
         pieces = pa.array([raw[s : s + c] for s, c in zip(at[cold].tolist(), (count[cold] + LENGTH - 1).tolist(), strict=True)], pa.binary())
-        yield batch(WINDOWED, np.ones(len(cold), np.int32), key[cold], doc[cold], place[cold], pieces)
+        yield batch(WINDOWED, np.ones(len(cold), np.int32), key[cold], np.zeros(len(cold), np.int64), doc[cold], place[cold], pieces)
         if hot.any():
             d, s, c = doc[hot], start[hot], count[hot]
             pieces = [raw[x : x + y] for x, y in zip(at[hot].tolist(), (c + LENGTH - 1).tolist(), strict=True)]
             begin = np.concatenate([[0], np.cumsum(c + LENGTH - 1)])[:-1]
             step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             s, d = np.repeat(s, c) + step, np.repeat(d, c)
-            h = hash_windows(np.frombuffer(b"".join(pieces), np.uint8), np.repeat(begin, c) + step)
-            first = firsts(h, d, s)
+            joined, at = np.frombuffer(b"".join(pieces), np.uint8), np.repeat(begin, c) + step
+            h, check = (hash_windows(x, at) for x in (joined, SHUFFLED[joined]))
+            first = firsts(d, s, check, h)
             md, ms, mc = merged(d[~first], s[~first], np.ones((~first).sum(), np.int64))
             n = len(md)
-            yield batch(WINDOWED, np.concatenate([np.full(first.sum(), 2, np.int32), np.zeros(n, np.int32)]), np.concatenate([h[first], mix(md.astype(np.uint64)).view(np.int64)]), np.concatenate([d[first], md]), np.concatenate([pack(s[first], np.ones(first.sum(), np.int64)), pack(ms, mc)]), pa.nulls(first.sum() + n, pa.binary()))
+            yield batch(WINDOWED, np.concatenate([np.full(first.sum(), 2, np.int32), np.zeros(n, np.int32)]), np.concatenate([h[first], mix(md.astype(np.uint64)).view(np.int64)]), np.concatenate([check[first], np.zeros(n, np.int64)]), np.concatenate([d[first], md]), np.concatenate([pack(s[first], np.ones(first.sum(), np.int64)), pack(ms, mc)]), pa.nulls(first.sum() + n, pa.binary()))
 
 
 def hash_windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -208,21 +211,21 @@ FOUND = "doc long, place long"
 
 
 def meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among rows sorted by key, kind, doc, place. Whole groups of runs (HOT_RUNS at most) are compared at once."""
-    last_key = None
+    """Repeats among rows sorted by key, kind, check, doc, place. Whole groups of runs (HOT_RUNS at most) are compared at once."""
+    last = None  # both hashes of the window before
     held: list[pa.RecordBatch] = []
 
     def compare(b: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, place, key = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(1).to_numpy()
+        key, doc, place = (b[c].to_numpy() for c in ("key", "doc", "place"))
         start, count = place >> 32, place & 0xFFFFFFFF
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
         lo = 0
         while lo < len(key):  # collections of whole groups
             hi = int(ends[max(np.searchsorted(ends, lo + COLLECTION, "right") - 1, np.searchsorted(ends, lo, "right"))])
-            data, offsets = binary_bytes(b.column(4).slice(lo, hi - lo))
+            data, offsets = binary_bytes(b["bytes"].slice(lo, hi - lo))
             item, at, group = equal_windows(data, offsets, LENGTH)
             d, s = doc[lo:hi][item], start[lo:hi][item] + at
-            first = firsts(group, d, s)
+            first = firsts(d, s, group)
             d, s, c = merged(d[~first], s[~first], np.ones((~first).sum(), np.int64))
             yield batch(FOUND, d, pack(s, c))
             lo = hi
@@ -233,11 +236,11 @@ def meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["doc", "place"]).take(pa.array(known))
         single = np.flatnonzero(kind == 2)
         if len(single):
-            key = b.column(1).to_numpy()[single]
+            key, check = (b.column(k).to_numpy()[single] for k in (1, 2))
             later = np.zeros(len(key), bool)
-            later[1:] = key[1:] == key[:-1]
-            later[0] = last_key == key[0]
-            last_key = key[-1]
+            later[1:] = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
+            later[0] = last == (key[0], check[0])
+            last = key[-1], check[-1]
             yield b.select(["doc", "place"]).take(pa.array(single[later]))
         group = np.flatnonzero(kind == 1)
         if len(group):
@@ -308,7 +311,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hot = open_runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_RUNS).select("key", F.lit(True).alias("hot"))
     by_doc = open_runs.join(hot, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     fetched = base.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(fetch_windows, WINDOWED)
-    windows = fetched.repartition("key").sortWithinPartitions("key", "kind", "doc", "place").mapInArrow(meet_windows, FOUND)
+    windows = fetched.repartition("key").sortWithinPartitions("key", "kind", "check", "doc", "place").mapInArrow(meet_windows, FOUND)
     found = met.filter("kind = 0").select("doc", "place").unionByName(windows)
     places = found.groupBy("doc").agg(F.collect_list("place").alias("places"))
     out = base.join(places, "doc", "left").select("doc", "text", "places").mapInArrow(report, REPORT)
