@@ -17,7 +17,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if len(words) >= 5 else frozenset([tuple(words)])
 
 
-def brute(texts):
+def brute(texts, percent=85):
     """(doc, n_shingles, component, kept) of every row, by comparing all pairs."""
     sets, parent = [shingles(t) for _, t in texts], {d: d for d, _ in texts}
 
@@ -28,10 +28,10 @@ def brute(texts):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if 100 * min(len(a), len(sets[j])) < 85 * max(len(a), len(sets[j])):
+            if 100 * min(len(a), len(sets[j])) < percent * max(len(a), len(sets[j])):
                 continue
             common = len(a & sets[j])
-            if common and 100 * common >= 85 * (len(a) + len(sets[j]) - common):
+            if common and 100 * common >= percent * (len(a) + len(sets[j]) - common):
                 x, y = root(texts[i][0]), root(texts[j][0])
                 parent[max(x, y)] = min(x, y)
     return sorted((d, len(s), root(d), root(d) == d) for (d, _), s in zip(texts, sets, strict=True))

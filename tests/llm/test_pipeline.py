@@ -31,7 +31,7 @@ def test_stages(spark):
             toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()} & {r["doc_id"] for r in before}
             assert len(toxic & kept) <= 0.4 * len(toxic)  # of a thousand documents; test_toxicity holds the score to more
         elif name == "near_duplicates":
-            assert kept == {d for d, _, _, k in brute([(r["doc_id"], r["text"]) for r in before]) if k}
+            assert kept == {d for d, _, _, k in brute([(r["doc_id"], r["text"]) for r in before], 80) if k}
         elif name == "decontamination":
             assert kept == {r["doc_id"] for r in before} - {r["doc_id"] for r in decontam.contaminated(docs, benchmark).collect()}
         else:
