@@ -12,26 +12,28 @@ from __future__ import annotations
 import numpy as np
 
 
-class RangeMin:
-    """Least value of any range of an array, from tables of spans of powers of two."""
+def range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Minimum of values[first..last] for each pair, first <= last, from tables of spans of powers of two.
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.tables = [values]
-        width = 1
-        while 2 * width <= len(values):
-            last = self.tables[-1]
-            self.tables.append(np.minimum(last[:-width], last[width:]))
-            width *= 2
-
-    def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Minimum over [first, last] of each pair; first <= last."""
-        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(first), self.tables[0].dtype)
-        for k in np.unique(level):
-            at = np.flatnonzero(level == k)
-            table = self.tables[k]
-            out[at] = np.minimum(table[first[at]], table[last[at] - (1 << int(k)) + 1])
-        return out
+    Tables are built one after the other, up to the widest range that is asked for.
+    """
+    if not len(first):
+        return np.empty(0, values.dtype)
+    level = (np.frexp((last - first + 1).astype(np.float64))[1] - 1).astype(np.uint8)
+    by_level = np.argsort(level, kind="stable")
+    first, last = first[by_level], last[by_level]
+    levels = int(level.max()) + 1
+    cuts = np.searchsorted(level[by_level], np.arange(levels + 1)).tolist()
+    found, table = np.empty(len(first), values.dtype), values
+    for k in range(levels):
+        if k:
+            half = 1 << (k - 1)
+            table = np.minimum(table[:-half], table[half:])
+        i, j = cuts[k], cuts[k + 1]
+        found[i:j] = np.minimum(table[first[i:j]], table[last[i:j] - (1 << k) + 1])
+    out = np.empty_like(found)
+    out[by_level] = found
+    return out
 
 
 def transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +56,13 @@ def transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         k = rank[place[live]].astype(np.int64)
         by_rank = np.argsort(k)
         live, k = live[by_rank], k[by_rank]
-        least = RangeMin(common)
+        at, ahead, behind = order[k], order[k - 1], order[np.minimum(k + 1, len(order) - 1)]
+        own = symbols[at]
+        up = np.flatnonzero((k > done) & (symbols[ahead] == own))
+        down = np.flatnonzero((k + 1 < len(order)) & (symbols[behind] == own))
+        least = range_min(common, np.concatenate([ahead[up], at[down]]) + 1, np.concatenate([at[up], behind[down]])) + 1
         before, after = np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8)
-        same = np.flatnonzero((k > done) & (symbols[order[k - 1]] == symbols[order[k]]))
-        before[same] = least.least(order[k[same] - 1] + 1, order[k[same]]) + 1
-        follows = np.minimum(k + 1, len(order) - 1)
-        same = np.flatnonzero((k + 1 < len(order)) & (symbols[order[follows]] == symbols[order[k]]))
-        after[same] = least.least(order[k[same]] + 1, order[follows[same]]) + 1
+        before[up], after[down] = least[: len(up)], least[len(up) :]
         new = count + k - done
         place[live] = new
         old = np.ones(len(symbols) + len(live), bool)
