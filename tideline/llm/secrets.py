@@ -23,31 +23,49 @@ DICTIONARY = (
     "update", "user", "value", "version", "water", "welcome", "winter", "word", "world", "your", "tion", "ment", "ing", "the", "and", "com", "www",
 )
 SHAPED = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}"
+# a secret's name and = or :, the same with a value behind it, and a part of a word: a value between marks, with its name
+ASSIGN = rf"(?i)(?:{'|'.join(SECRET_WORDS)})(?![a-z])[a-z0-9_-]{{0,30}}[\"'\\]*\s*[=:]"
+VALUE = ASSIGN + r"+>?\s*[^\sA-Za-z0-9]*[A-Za-z0-9]\S*$"
+PART = r"(?:[A-Za-z_][A-Za-z_-]{1,29}[\"'\\]*[=:][\"'\\]*)?[^\s\"'`,;&=:?<>{}()\[\]|]+=*"
+CANDIDATES = "array<struct<before: string, word: string, after: string>>"
 FEATURES = ("length", "changes", "different", "digits", "upper", "hex", "shaped", "covered", "test_path", "assigned", "secret_near", "harmless_near", "words_near", "punctuated")
 
 
 def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
-    """Words that could be secrets: doc_id, word_no, path, before, word, after.
+    """Words and parts of words that could be secrets: doc_id, word_no, path, before, word, after.
 
-    A candidate is a white-space separated word of 10 to 400 characters with a digit in it, or the value of an
-    assignment to a secret's name. ``before`` is the two words before it, ``after`` the next one. Null and empty texts
-    have none; rows that repeat have theirs each; a null doc_id or path stays null or empty.
+    A candidate is a white-space separated word of 10 characters or more that holds a digit, a shaped key or the
+    assignment of a secret's name, or a word of any length that follows such a name and = or :. A word of several parts
+    (see PART) gives each part that is such by itself, too, and each shaped key within it; its length doesn't count.
+    ``before`` is the two words before it, or the part before it, ``after`` the next word. Null and empty texts have
+    none; rows that repeat have theirs each; a null doc_id or path stays null or empty.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    assign = rf"(?i)\b({'|'.join(SECRET_WORDS)})\b[\"']?\s*[=:]"
-    words = words.filter(F.col("text").rlike("[0-9]") | F.col("text").rlike(assign)).withColumn("words", F.split("text", r"\s+"))
-    size = F.length
-    fits = lambda w: (size(w).between(10, 400)) & (w.rlike("[0-9]") | w.rlike(assign))
-    tried = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("no"), w.alias("word"))), lambda x: fits(x["word"]))
+    words = words.filter(F.col("text").rlike("[0-9]") | F.col("text").rlike(ASSIGN) | F.col("text").rlike(SHAPED)).withColumn("words", F.split("text", r"\s+"))
+    fits = lambda w: (F.length(w) >= 10) & (w.rlike("[0-9]") | w.rlike(SHAPED) | w.rlike(ASSIGN))
+    word = lambda no: F.coalesce(F.get("words", no), F.lit(""))
+    follows = lambda w, i: F.concat(word(i - 1), w).rlike("[=:]") & w.rlike("[A-Za-z0-9]") & F.concat_ws(" ", word(i - 2), word(i - 1), w).rlike(VALUE)
+    tried = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("no"), w.alias("word"), follows(w, i).alias("follows"))), lambda x: fits(x["word"]) | x["follows"])
     hits = words.withColumn("hit", F.explode(tried))
-    at = lambda k: F.coalesce(F.get("words", F.col("hit.no") + k), F.lit(""))
-    return hits.select("doc_id", F.col("hit.no").alias("word_no"), "path", F.concat_ws(" ", at(-2), at(-1)).alias("before"), F.col("hit.word").alias("word"), at(1).alias("after"))
+    at = lambda k: word(F.col("hit.no") + k)
+    whole = hits.select(
+        "doc_id", F.col("hit.no").alias("word_no"), "path", F.concat_ws(" ", at(-2), at(-1)).alias("before"), F.col("hit.word").alias("word"), at(1).alias("after"), F.col("hit.follows").alias("follows"),
+        F.regexp_extract_all("hit.word", F.lit(PART), F.lit(0)).alias("parts"),
+    )
+    made = lambda before, w, after: F.struct(before.alias("before"), w.alias("word"), after.alias("after"))
+    near = lambda j: F.when(j == 0, F.col("before")).otherwise(F.substring(F.coalesce(F.get("parts", j - 1), F.lit("")), -60, 60))
+    held = F.transform("parts", lambda p, j: F.struct(made(near(j), p, F.when(j == F.size("parts") - 1, F.col("after")).otherwise(F.lit(""))).alias("c"), (fits(p) | p.rlike(VALUE) | ((j == 0) & F.col("follows"))).alias("fits")))
+    several = F.when(F.size("parts") > 1, F.transform(F.filter(held, lambda x: x["fits"]), lambda x: x["c"])).otherwise(F.array().cast(CANDIDATES))
+    keys = F.array_distinct(F.regexp_extract_all("word", F.lit(f"({SHAPED})"), F.lit(0)))
+    alone = lambda k: (value_of(F.col("word")) != k) & ~F.exists("parts", lambda p: value_of(p) == k)
+    shaped = F.when(F.col("word").rlike(SHAPED), F.transform(F.filter(keys, alone), lambda k: made(F.col("before"), k, F.lit("")))).otherwise(F.array().cast(CANDIDATES))
+    return whole.select("doc_id", "word_no", "path", F.inline(F.concat(F.array(made(F.col("before"), F.col("word"), F.col("after"))), several, shaped)))
 
 
 def value_of(word: Column) -> Column:
     """The word without an assigned name before it and marks around it."""
-    bare = F.regexp_replace(word, r"^[^A-Za-z0-9]*(?:[A-Za-z_-]{2,30}[\"']?[=:])?[^A-Za-z0-9]*", "")
+    bare = F.regexp_replace(word, r"^[^A-Za-z0-9]*(?:[A-Za-z_-]{2,30}[\"'\\]*[=:])?[^A-Za-z0-9]*", "")
     return F.regexp_replace(bare, r"[^A-Za-z0-9=]+$", "")
 
 
@@ -75,10 +93,10 @@ def features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     """Labelled findings made by rule: path, before, word, after, label. Fixed for a given ``n``.
 
-    Half are secrets (hex and base-64 tokens, passwords with digits, shaped keys) beside a secret's name, half are what
-    scans mistake for them: hashes under their names, numbers, addresses, placeholders, words with digits.
+    Half are secrets (hex and base-64 tokens, passwords with and without digits, shaped keys) beside a secret's name, half are what
+    scans mistake for them: hashes under their names, numbers, addresses, placeholders, words with digits or behind a name.
     """
-    kinds = 20
+    kinds = 24
     r = spark.range(n).withColumn("h", F.sha2(F.col("id").cast("string"), 256)).withColumn("k", (F.col("id") % kinds).cast("int"))
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") / kinds % len(xs) + 1).cast("int"))
     part = lambda s, n: F.substring("h", s, n)
@@ -87,6 +105,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     text = pick("the", "and of", "is then", "la de", "und", "was with")
     b64 = F.substring(F.base64(F.unhex("h")), 1, 32)
     upper = F.upper(F.translate(part(1, 16), "0123456789", "ghjkmnpqrs"))
+    letters = lambda s, n: F.translate(part(s, n), "0123456789abcdef", "aeioustrnlmcdhpb")
     cat = F.concat
     rows = [  # before, word, label
         (cat(name, F.lit(" =")), cat(F.lit('"'), part(1, 40), F.lit('"')), 1), (text, cat(name, F.lit("="), part(3, 18)), 1), (text, cat(F.lit("AKIA"), upper), 1),
@@ -99,6 +118,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (cat(name, F.lit(" =")), cat(F.lit('"'), F.substring(b64, 3, 16), F.lit('1"')), 1), (text, cat(name, F.lit("="), F.substring(b64, 5, 12), F.lit("7")), 1),
         (text, F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), 0), (cat(text, F.lit(" version")), cat(F.lit("v"), number(1, 1), F.lit("."), number(2, 2), F.lit(".0-beta"), number(5, 2)), 0),
         (text, cat(F.lit("https://www.example.com/page/"), number(1, 6)), 0), (cat(text, F.lit(" order")), cat(number(1, 4), F.lit("-"), number(5, 4), F.lit("-"), number(9, 6)), 0),
+        (cat(name, F.lit(" =")), cat(F.lit('"'), letters(1, 19), F.lit('"')), 1), (text, cat(name, F.lit("="), letters(3, 14)), 1),
+        (cat(text, F.lit(" "), name, F.lit(":")), pick("the", "is", "please", "required", "which", "and", "string", "none,", "see", "a", "placeholder", "example"), 0),
+        (cat(name, F.lit(" =")), pick('"changeme"', "None", "get_password()", '"your-password"', "null;", '"example-token"', "os.environ", '"password"', "request.token", '"placeholder"', "config.secret", '""'), 0),
     ]
     case = lambda i: reduce(lambda acc, x: acc.when(F.col("k") == x[0], x[1][i] if i < 2 else F.lit(x[1][i])), enumerate(rows), F)
     return r.select(pick("src/app.py", "src0", "conf/site.yaml", "tests/test_a.py", "docs", "src1").alias("path"), case(0).alias("before"), case(1).alias("word"), text.alias("after"), case(2).cast("double").alias("label"))
