@@ -30,3 +30,48 @@ def test_cases_and_oracle(spark):
 @pytest.mark.parametrize("name", ["op5_license_scan"])
 def test_whole_table(spark, duck, sf_dir, name):
     assert rows(op5_license_scan(spark, sf_dir)) == rows(duck.execute(ORACLE_SQL[name]).df())
+
+
+MIT_WRAPPED = """Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+BSD_WRAPPED = """Copyright (c) 2024, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL_WRAPPED = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+APACHE_WRAPPED = """Licensed under the Apache License, Version 2.0 (the "License"); you may not
+use this file except in compliance with the License.  You may obtain a copy
+of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_wrapped_notices(spark):
+    """Notices as they are distributed, wrapped and behind comment marks."""
+    commented = lambda t, mark: "\n".join(f"{mark} {x}" for x in t.splitlines())
+    gpl2 = GPL_WRAPPED.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    cases = {
+        1: (MIT_WRAPPED, "MIT"), 2: (BSD_WRAPPED, "BSD-3-Clause"), 3: (GPL_WRAPPED, "GPL-3.0-or-later"), 4: (gpl2, "GPL-2.0-or-later"), 5: (APACHE_WRAPPED, "Apache-2.0"),
+        6: (" ".join(GPL_WRAPPED.split()), "GPL-3.0-or-later"), 7: ("released to the public\ndomain", "CC0-1.0"), 8: ("a line without a stop\nReleased under the MIT\nlicense\nanother line", "MIT"),
+        9: ("Released under the MIT\n\nlicense", ""), 10: ("Released under the MIT\r\nLicense.\r\n", "MIT"), 11: ("x;" + " " * 1_000_000 + "\n" * 1000 + "licensed under\nCC BY 4.0", "CC-BY-4.0"),
+    }
+    cases |= {100 * k + d: (commented(cases[d][0], mark), cases[d][1]) for k, mark in enumerate(("//", " *", "#"), 1) for d in range(1, 6)}
+    out = licenses.scan(spark.createDataFrame([(d, t) for d, (t, _) in cases.items()], "doc_id long, text string"))
+    assert {r["doc_id"]: r["licenses"] for r in out.collect()} == {d: x for d, (_, x) in cases.items()}

@@ -56,26 +56,53 @@ RULES = (
 )
 #: Every sentence above holds one of these, so a text without any has no identifiers.
 ANCHORS = ("licen", "permission", "copyright", "public domain", "redistribut", "software", "rights reserved")
-SPLIT = r"[.!?;][ \t\r\n]+|\n"
+# Any word of an anchor, for whole texts: an anchor's two words may stand on two lines.
+ANCHOR_WORDS = ("licen", "permission", "copyright", "public", "redistribut", "software", "reserved")
+# Notices that join clauses which SENTENCES and RULES know apart, tried before them, and their licences.
+FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+NOTICES = tuple(
+    (f"GPL{v}_FREE{suffix}", f"{FREE} (either )?version {v} of the license{rest}") for v in (2, 3) for suffix, rest in (("_LATER", " or at your option any later version"), ("", ""))
+)
+NOTICE_RULES = tuple((f"GPL-{v}.0{suffix}", f"GPL{v}_FREE{rest}") for v in (2, 3) for suffix, rest in (("-or-later", "_LATER"), ("", "")))
+#: A sentence ends at a stop or mark before white space and at a line without letters and digits.
+SPLIT = r"[.!?][ \t\r\n]+|\n[^a-zA-Z0-9\n]*\n"
+
+
+def spread(pattern: str) -> str:
+    """A sentence's pattern over several lines: a line may end at each space, what is skipped at the end stays on its line."""
+    if pattern.startswith("(copyright .*)") or pattern.endswith(".*"):
+        pattern = pattern.replace(".*", r"[^\n]*")
+    return pattern.replace(".*", r"[\s\S]*?").replace(" ", r"[ \n]")
+
+
+#: A known sentence from a line's start to a line's end.
+KNOWN = "(?m)^(?:" + "|".join(spread(p) for _, p in NOTICES + SENTENCES) + ")$"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    trimmed = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    """Identifiers of the known sentences of a text, in order.
+
+    Within a sentence line ends and semicolons are kept as line ends: it may go on behind them, or another begin.
+    """
+
+    def trimmed(s: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(F.lower(s), r";[ \t\r\n]", "\n"), r"[^a-z0-9\n]+", " ")
+        return F.trim(F.regexp_replace(marked, r" ?\n[ \n]*", "\n"))
 
-    def identify(s: Column) -> Column:
-        known = F.coalesce(*[F.when(s.rlike(f"^{pattern}$"), F.lit(name)) for name, pattern in SENTENCES])
-        return F.when(reduce(Column.__or__, [s.contains(a) for a in ANCHORS]), known)
+    one_line = lambda s: F.replace(s, F.lit("\n"), F.lit(" "))
+    identify = lambda s: F.coalesce(*[F.when(s.rlike(f"^{pattern}$"), F.lit(name)) for name, pattern in NOTICES + SENTENCES])
 
     # trimmed sentences stand in a list of their own, so that each is normalised once
     normal = F.transform(F.split(text, SPLIT), trimmed)
-    return F.filter(F.transform(normal, identify), F.isnotnull)
+    anchored = F.filter(normal, lambda s: reduce(Column.__or__, [one_line(s).contains(a) for a in ANCHORS]))
+    found = F.flatten(F.transform(anchored, lambda s: F.regexp_extract_all(s, F.lit(KNOWN), F.lit(0))))
+    return F.filter(F.transform(found, lambda s: identify(one_line(s))), F.isnotnull)
 
 
 def licences_of(ids: Column) -> Column:
     """Licences whose rules match a sequence of identifiers; a matched sequence is used up by the first rule."""
     rest, found = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" ")), []
-    for name, sequence in RULES:
+    for name, sequence in NOTICE_RULES + RULES:
         pattern = " " + "  ".join(sequence.split()) + " "
         found.append(F.when(rest.contains(pattern), F.lit(name)))
         rest = F.replace(rest, F.lit(pattern), F.lit(" | "))
@@ -85,13 +112,14 @@ def licences_of(ids: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """For each row of ``docs``: doc_id, n_known long, sentence_ids and licenses (comma-joined strings).
 
-    Null and empty texts, and texts without known sentences, have 0 and empty strings. Sentences end at a full stop,
-    mark or semicolon before white space, or at a line's end; case, marks and spacing don't count. Rows that repeat are
+    Null and empty texts, and texts without known sentences, have 0 and empty strings. Sentences end at a full stop
+    or mark before white space or a blank line, and may end at a semicolon or a line's end or go on behind it; case,
+    marks (those of comments too) and spacing don't count. Rows that repeat are
     scanned each, a null doc_id stays null.
     """
     text = F.coalesce("text", F.lit(""))
     low = F.lower(text)
-    anchored = reduce(Column.__or__, [low.contains(a) for a in ANCHORS])
+    anchored = reduce(Column.__or__, [low.contains(a) for a in ANCHOR_WORDS])
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(anchored, sentence_ids(text)).otherwise(F.array().cast("array<string>")).alias("ids"))
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(licences_of(F.col("ids")), ",").alias("licenses"),
@@ -99,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same scan as DuckDB SQL."""
+    """The same scan as DuckDB SQL, for texts whose known sentences stand on a line each and aren't among NOTICES."""
     known = "coalesce(" + ", ".join(f"CASE WHEN regexp_full_match(s, '{p}') THEN '{n}' END" for n, p in SENTENCES) + ")"
     steps, last = [], "' ' || array_to_string(ids, '  ') || ' '"
     steps.append(f"r0 AS (SELECT *, {last} AS t0 FROM i)")
