@@ -79,3 +79,28 @@ def test_edge_cases(spark):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
     assert decontam.contaminated(docs.limit(0), items).count() == 0
     assert decontam.clean(docs, items).count() == 2
+
+
+def test_parts_layout_and_replaced_words(spark):
+    """Planted: part of an item, an item with other spacing, a short item with a word replaced; and texts with less."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 10)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long, short = prose(60)[:394].strip(), "the quick painter carried seven yellow lanterns across the frozen harbour at night"
+    items = [(1, long), (2, short)]
+    pad = prose(50)
+    part = long[100 : 100 + len(long) * 6 // 10]
+    docs = {
+        1: (f"{pad} {part} {pad}", {1}), 2: (f"{pad} {long.replace(' ', '  ')} {pad}", {1}), 3: (pad + long.replace(" ", "\n    ") + pad, {1}), 4: (f"{pad} {short.replace('yellow', 'purple')} {pad}", {2}),
+        5: (f"{pad} {long[200:295]}", {1}), 6: (f"{pad} {long[200:240]} {pad}", set()), 7: (pad, set()), 8: (f"{pad} {long.upper()} {short}", {1, 2}), 9: ("\u00a0".join(long.split()) + pad, {1}), 10: (" " * 500, set()),
+    }
+    table = spark.createDataFrame([(d, t) for d, (t, _) in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.contaminated(table, bench, passages=decontam.Passages()).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in out) == sorted((d, i) for d, (_, want) in docs.items() for i in want)
+    named = dict(items)
+    for x in out:
+        place = " ".join(docs[x["doc_id"]][0][x["start"] : x["end"]].lower().split())
+        assert len(place) >= 50 and distance_inside(place, named[x["item_id"]]) <= x["edits"] + 1
+    kept = {x["doc_id"] for x in decontam.clean(table, bench, passages=decontam.Passages()).collect()}
+    assert kept == {d for d, (_, want) in docs.items() if not want}

@@ -3,6 +3,9 @@
 An item of m characters that stands in a text with at most e edits shares at least m - q + 1 - q e of its q-grams with
 it, on diagonals (text position - item position) no more than e apart. Q-gram hits are counted in bands of 2 (e + 1)
 diagonals that overlap by half, so one band holds all of them; bands that reach the bound are aligned.
+
+Documents that hold a part of an item, an item laid out otherwise or with words replaced are found by the same search
+for overlapping passages of the items (Passages), over texts whose runs of white space are collapsed.
 """
 
 from __future__ import annotations
@@ -24,6 +27,26 @@ MAP_BITS = 22
 SLICE_CHARS = 1 << 19
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
 WHITE = np.array([9, 10, 11, 12, 13], np.uint32)
+#: Further white space of Unicode, for passages only.
+WIDE_WHITE = np.array([0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+@dataclass(frozen=True)
+class Passages:
+    """Passages of ``chars`` characters, one each ``step``, that may be off by ``edit_rate`` of their characters.
+
+    Whole passages stand in every quotation of chars + step - 1 characters. An item of ``least`` to ``chars`` characters
+    is one passage, shorter ones are looked for as a whole only. The q-gram bound is that of fewer edits than may be
+    aligned: with these values up to 5 edits anywhere in a passage are found, and 10 if they stand in three words.
+    """
+
+    chars: int = 80
+    step: int = 20
+    least: int = 48
+    q: int = 12
+    edit_rate: float = 0.13
+    #: q-grams that a passage has to share at least
+    shared: int = 9
 
 
 def normal_points(text: str) -> np.ndarray:
@@ -35,6 +58,15 @@ def normal_points(text: str) -> np.ndarray:
     return np.where((points >= 9) & (points <= 13), np.uint32(32), points)
 
 
+def collapsed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points with one space for each run of white space and none at the ends, and where each stood."""
+    space = (points == 32) | ((points > 27) & np.isin(points, WIDE_WHITE))
+    keep = np.flatnonzero(~space | np.append(~space[1:], False))
+    if len(keep) and space[keep[0]]:
+        keep = keep[1:]
+    return np.where(space[keep], np.uint32(32), points[keep]), keep
+
+
 def grams(points: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of the q-gram at each position, built from halves."""
     values, n = TABLE[points & np.uint32(0xFFFF)] ^ (points >> np.uint32(16)).astype(np.uint64), len(points)
@@ -70,10 +102,28 @@ class Index:
 
 
 def build_index(items: list[tuple[int, str]], q: int, edit_rate: float) -> Index:
-    ids, points = [i for i, _ in items], [normal_points(t) for _, t in items]
+    return index_points([i for i, _ in items], [normal_points(t) for _, t in items], q, edit_rate)
+
+
+def passage_index(items: list[tuple[int, str]], passages: Passages) -> Index:
+    """The index of the items' passages, numbered by their item in the block."""
+    owner, points = [], []
+    for k, (_, text) in enumerate(items):
+        whole = collapsed(normal_points(text))[0]
+        last = len(whole) - passages.chars
+        if len(whole) >= passages.least:
+            starts = sorted({*range(0, last, passages.step), max(last, 0)})
+            owner += [k] * len(starts)
+            points += [whole[a : a + passages.chars] for a in starts]
+    return index_points(owner, points, passages.q, passages.edit_rate, passages.shared)
+
+
+def index_points(ids: list[int], points: list[np.ndarray], q: int, edit_rate: float, shared: int = 0) -> Index:
     size = np.array([len(p) for p in points], np.int64)
     # the bound must stay above zero, else every text would have to be aligned
-    budget = np.maximum(0, np.minimum((edit_rate * size).astype(np.int64), (size - q) // q))
+    budget = (edit_rate * size).astype(np.int64)
+    sure = np.maximum(0, np.minimum(budget, (size - q - max(shared - 1, 0)) // q))
+    budget = budget if shared else sure
     hashes = [grams(p, q) for p in points]
     key = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
@@ -82,7 +132,7 @@ def build_index(items: list[tuple[int, str]], q: int, edit_rate: float) -> Index
     keys, begin = np.unique(key[order], return_index=True)
     bits = np.zeros(1 << MAP_BITS, bool)
     bits[keys >> np.uint64(64 - MAP_BITS)] = True
-    return Index(q, ids, points, budget, size - q + 1 - q * budget, keys, np.append(begin, len(key)), item[order], at[order], bits)
+    return Index(q, ids, points, budget, size - q + 1 - q * sure, keys, np.append(begin, len(key)), item[order], at[order], bits)
 
 
 def align(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int] | None:
@@ -138,10 +188,14 @@ def search(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, i
     item, band = keys // span, keys % span
     enough = counts >= index.least[item]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for i, b in zip(item[enough].tolist(), band[enough].tolist(), strict=True):
+    # neighbouring bands of an item share most of their text and are aligned as one
+    item, band = item[enough], band[enough]
+    new = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(band) > 2))) if len(item) else np.empty(0, np.int64)
+    final = np.append(new[1:], len(item))[: len(new)] - 1
+    for i, b, c in zip(item[new].tolist(), band[new].tolist(), band[final].tolist(), strict=True):
         w, e = int(index.budget[i]) + 1, int(index.budget[i])
         lo = b * w - (1 << 20) - e
-        hi = (b + 2) * w - (1 << 20) + len(index.points[i]) + e
+        hi = (c + 2) * w - (1 << 20) + len(index.points[i]) + e
         first = max(0, int(np.searchsorted(ends, max(lo, 0), "right")))
         for row in range(first, min(len(texts), int(np.searchsorted(starts, hi, "left")))):
             left, right = max(lo, starts[row]) - starts[row], min(hi, ends[row] - 1) - starts[row]
@@ -154,21 +208,33 @@ def search(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, i
     return [(row, i, s, e, d) for (row, i), (d, s, e) in best.items()]
 
 
-def indexes(benchmark: DataFrame, q: int, edit_rate: float, block_chars: int) -> Iterator[Index]:
+@dataclass
+class Block:
+    """A block's index of whole items and, with passages, that of theirs."""
+
+    whole: Index
+    parts: Index | None
+
+
+def build_block(items: list[tuple[int, str]], q: int, edit_rate: float, passages: Passages | None) -> Block:
+    return Block(build_index(items, q, edit_rate), passage_index(items, passages) if passages else None)
+
+
+def indexes(benchmark: DataFrame, q: int, edit_rate: float, block_chars: int, passages: Passages | None) -> Iterator[Block]:
     """Indexes of the benchmark's blocks; the driver holds one block at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= q)
     block, size = [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
         if block and size + len(row["text"]) > block_chars:
-            yield build_index(block, q, edit_rate)
+            yield build_block(block, q, edit_rate, passages)
             block, size = [], 0
         block.append((row["item_id"], row["text"]))
         size += len(row["text"])
     if block:
-        yield build_index(block, q, edit_rate)
+        yield build_block(block, q, edit_rate, passages)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000, passages: Passages | None = None) -> DataFrame:
     """Pairs (doc_id, item_id) with the item's best place in the text: start, end (code points, end exclusive), edits.
 
     Case and kind of white space don't count. An item may be off by ``edit_rate`` of its characters, rounded down, and
@@ -176,40 +242,58 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate:
     evidence and match nothing; null and empty texts hold nothing. Items that repeat are items each; rows that repeat
     give a pair each, and a null doc_id or item_id stays null. Either table empty gives none.
 
+    With ``passages`` a text that doesn't hold the item, but a passage of it, counts, too: its best passage's place and
+    edits. There the number of white-space characters doesn't count either.
+
     The benchmark is read in blocks of at most ``block_chars`` characters (a longer item is a block by itself), so the
     broadcast index has a fixed bound; each block is one pass over the documents, without a shuffle.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = [texts.mapInArrow(searcher(spark.sparkContext.broadcast(x)), SCHEMA) for x in indexes(benchmark, q, edit_rate, block_chars)]
+    parts = [texts.mapInArrow(searcher(spark.sparkContext.broadcast(x)), SCHEMA) for x in indexes(benchmark, q, edit_rate, block_chars, passages)]
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
-def hits(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-    """search() over slices of the texts."""
+def hits(block: Block, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """search() over slices of the texts; passages for the pairs that it doesn't find."""
     held, size = [], 0
     for k, text in enumerate(texts):
         held.append(normal_points(text or ""))
         size += len(held[-1])
         if size > SLICE_CHARS or k == len(texts) - 1:
-            for row, *rest in search(held, index):
-                yield (k + 1 - len(held) + row, *rest)
+            found = {(row, i): rest for row, i, *rest in search(held, block.whole)}
+            if block.parts and len(block.parts.keys):
+                for pair, rest in passage_hits(held, block.parts).items():
+                    found.setdefault(pair, rest)
+            for (row, i), rest in found.items():
+                yield (k + 1 - len(held) + row, i, *rest)
             held, size = [], 0
 
 
+def passage_hits(texts: list[np.ndarray], parts: Index) -> dict[tuple[int, int], list[int]]:
+    """(row, item): start, end and edits of the item's passage with the fewest edits, the first of several."""
+    tidy = [collapsed(t) for t in texts]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for row, part, start, end, edits in search([t for t, _ in tidy], parts):
+        at, pair = tidy[row][1], (row, parts.ids[part])
+        new = (edits, int(at[start]), int(at[end - 1]) + 1)
+        best[pair] = min(best.get(pair, new), new)
+    return {pair: [start, end, edits] for pair, (edits, start, end) in best.items()}
+
+
 def searcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, index = batch.column(0).to_pylist(), shared.value
-            rows = [(ids[r], index.ids[i], s, e, d) for r, i, s, e, d in hits(index, batch.column(1).to_pylist())]
+            rows = [(ids[r], index.whole.ids[i], s, e, d) for r, i, s, e, d in hits(index, batch.column(1).to_pylist())]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item, as contaminated() says; a pass for each block, no shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000, passages: Passages | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item or passage, as contaminated() says; a pass for each block, no shuffle."""
     at = docs.columns.index("text")
 
     def dropper(shared):
@@ -221,6 +305,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float =
 
         return run
 
-    for index in indexes(benchmark, q, edit_rate, block_chars):
+    for index in indexes(benchmark, q, edit_rate, block_chars, passages):
         docs = docs.mapInArrow(dropper(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return docs

@@ -54,7 +54,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passages=decontam.Passages())
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sum_of_squares_packing, op3_near_duplicates, op4_personal_data, op5_license_scan, op6_warc_archive, op7_repeated_strings, op8_toxicity, op9_fingerprints, op10_decontamination)}
