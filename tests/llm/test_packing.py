@@ -89,3 +89,9 @@ def test_level_is_least_sum_of_squares():
         usable = [0, *(level for level in range(1, 40 - size + 1) if before[level])]
         assert cost(choice) == min(map(cost, usable))
         packer.place((0, 0, np.zeros(size, "<u4"), size))
+
+
+def test_million_character_runs(spark, plain):
+    texts = [(k, f"before{c * 1_000_000}after") for k, c in enumerate((" ", "\n", "\t", "\u3000", "7", "."))]
+    docs = spark.createDataFrame([(d, t, "", "") for d, t in texts], SCHEMA)
+    check(packing.pack(docs), texts, plain)

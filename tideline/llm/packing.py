@@ -10,6 +10,7 @@ documents: no shuffle, and memory is the open windows of that task.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 1
+#: tiktoken's pattern goes back over a run of white space character by character and panics on one of a million.
+LONG_WHITE = 50_000
 
 
 def default_vocabulary() -> str:
@@ -33,7 +36,7 @@ def encoder(vocabulary: str):
     """A function from texts to lists of ids for a ``.json`` vocabulary of tokenizers.
 
     A byte-level BPE whose ranks lie beside it as ``.tiktoken`` gives the same ids through those about four times as
-    fast; a text that holds the string of a special token keeps to tokenizers.
+    fast; a text that holds the string of a special token or a run of LONG_WHITE white-space characters keeps to tokenizers.
     """
     import os
 
@@ -52,9 +55,14 @@ def encoder(vocabulary: str):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
+    run = re.compile(r"\s{%d}" % LONG_WHITE)
+
+    def slowly(text: str) -> bool:
+        return any(s in text for s in special) or (len(text) >= LONG_WHITE and run.search(text) is not None)
+
     def encode(texts: list[str]) -> list[list[int]]:
         return [
-            slow.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t)
+            slow.encode(t, add_special_tokens=False).ids if slowly(t) else fast.encode_ordinary(t)
             for t in texts
         ]
 
