@@ -24,3 +24,9 @@ def test_oracle(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_without_oracle(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_epoch_order_of_every_window(spark, sf_dir):
+    got = [tuple(r) for r in catalogue.QUERIES["epoch_order_all"](spark, sf_dir).select("epoch_key", "ticker", "end_idx").collect()]
+    train = catalogue.split_windows(spark, sf_dir).filter("split = 'train'").count()
+    assert len(got) == train > 50 and got == sorted(got)

@@ -165,6 +165,12 @@ def epoch_order(spark, sf_dir):
     return series.epoch_order(rows, seed=42, epoch=1).limit(50)
 
 
+@register(f"WITH {window_sql()} SELECT ticker, end_idx, md5(concat_ws('|', '43', ticker::VARCHAR, end_idx::VARCHAR)) AS epoch_key FROM w WHERE split = 'train' AND y_split = 'train' ORDER BY epoch_key, ticker, end_idx")
+def epoch_order_all(spark, sf_dir):
+    rows = split_windows(spark, sf_dir).filter("split = 'train'").select("ticker", "end_idx")
+    return series.epoch_order(rows, seed=42, epoch=1)
+
+
 @register(f"""WITH {window_sql()}, n AS (SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, o_totalprice / 1000 AS a, (o_orderkey % 7)::DOUBLE AS b FROM orders)
     SELECT w.ticker, w.end_date, count(n.a) AS n_news, round(coalesce(avg(n.a), 0), 6) AS text_0, round(coalesce(avg(n.b), 0), 6) AS text_1
     FROM (SELECT ticker, start_date, end_date FROM framed WHERE nb = 60) w LEFT JOIN n ON n.ticker = w.ticker AND n.date BETWEEN w.start_date AND w.end_date GROUP BY w.ticker, w.end_date""")
