@@ -112,3 +112,37 @@ def test_sketch_estimates_similarity():
         b = np.concatenate([a[:k], r.integers(0, 1 << 63, 1000 - k, dtype=np.uint64)])
         same = (minhash.sketch(np.unique(a)) == minhash.sketch(np.unique(b))).mean()
         assert abs(same - share) < 0.15
+
+
+def parity_word(n, letters="ab"):
+    """Letters chosen by the parity of a number's set bits: such words and their swaps share polynomial hashes modulo 2**64."""
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_structured_words_are_told_apart(spark):
+    texts = []
+    for size in (512, 1024, 2048, 4096):
+        a, b = parity_word(size), parity_word(size, "ba")
+        texts += [(len(texts) + k, t) for k, t in enumerate((a, b, f"x {a} y z w", f"x {b} y z w", " ".join([a, b] * 4), " ".join([b, a] * 4), f"{a} {b} {a} {a} {b} {b}", f"{b} {a} {b} {b} {a} {a}"))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert got(minhash.near_duplicates(df)) == brute(texts)
+
+
+def test_exact_sets_do_not_overflow():
+    """Numbers of shingles of very many different words are made anew on the way."""
+    import numpy as np
+
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(60_000)}" for _ in range(60_000)) for _ in range(2)]
+    texts.append(texts[0][: len(texts[0]) // 2])
+    raw = [t.encode() for t in texts]
+    sets = minhash.exact_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    want = [shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(w) for w in want]
+    assert len(np.intersect1d(sets[0], sets[2])) == len(want[0] & want[2])
+
+
+def test_one_doc_id_with_two_texts_links_their_groups(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (7, "u v w x y z"), (9, "u v w x y z")]
+    out = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(1, 1), (5, 1), (7, 1), (9, 1)}

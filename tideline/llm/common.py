@@ -1,4 +1,8 @@
-"""Shared pieces of the text operators: the shared staging folder, Arrow text buffers, 64-bit hashing in numpy."""
+"""Shared pieces of the text operators: the shared staging folder, joins on skewed keys, Arrow text buffers, hashing in numpy.
+
+The rolling hashes here are routes and filters only: structured strings can share one, so no operator takes equal hashes
+for equal strings without looking at the strings.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A key is hot when it holds more than one in HOT_KEYS of a table's rows: fewer than HOT_KEYS keys do, at every size.
+HOT_KEYS = 2000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
 
@@ -39,6 +46,45 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def hot_bound(rows: int) -> int:
+    """A key with more rows than this is hot: fewer than HOT_KEYS keys are, and none that a task wouldn't notice."""
+    return max(1000, rows // HOT_KEYS)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str = "n", sizes: tuple[int, int] | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one narrow row a key and in ``count`` the key's number of rows in ``left``.
+
+    Hot keys join by broadcast, where their rows stand: they are fewer than HOT_KEYS. The others are shuffled. ``sizes`` is
+    (all rows, rows of the largest key), where known. ``left`` may be read twice, so it should be a written table.
+    """
+    if sizes is None:
+        sizes = tuple(right.agg(F.sum(count), F.max(count)).first())
+    bound = hot_bound(sizes[0] or 0)
+    if (sizes[1] or 0) <= bound:
+        return left.join(right, key)
+    hot, cold = F.broadcast(right.filter(F.col(count) > bound)), right.filter(F.col(count) <= bound)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def hot_keys(df: DataFrame, key: str) -> dict[int, int]:
+    """Into how many pieces to deal each hot key's rows. Fewer than HOT_KEYS entries, the keys are long."""
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    rows, most = counts.agg(F.sum("n"), F.max("n")).first()
+    bound = hot_bound(rows or 0)
+    return {r[0]: -(-r[1] // bound) for r in counts.filter(F.col("n") > bound).collect()} if (most or 0) > bound else {}
+
+
+def deal(df: DataFrame, key: str, pieces: dict[int, int], by: str | None) -> DataFrame:
+    """``df`` with ``piece``: rows of a hot key are dealt over its pieces by a hash of ``by``, or, without ``by``, copied to each."""
+    if not pieces:
+        return df.withColumn("piece", F.lit(0))
+    known = df.sparkSession.createDataFrame(list(pieces.items()), f"`{key}` long, pieces int")
+    df = df.join(F.broadcast(known), key, "left")
+    many = F.coalesce("pieces", F.lit(1))
+    piece = F.pmod(F.xxhash64(by), many).cast("int") if by else F.explode(F.sequence(F.lit(0), many - 1))
+    return df.withColumn("piece", piece).drop("pieces")
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column, without copying rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -110,6 +156,6 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), equal for equal spans wherever they stand."""
+    """64-bit hashes of the byte spans [start, end), equal for equal spans wherever they stand; different spans may share one."""
     _, down = POWERS.upto(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * GOLDEN)

@@ -11,18 +11,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, POWERS, checkpoint_root, mix, prefix_hash, slices, span_hash, stage, text_bytes
+from .common import GOLDEN, POWERS, checkpoint_root, deal, hot_bound, hot_keys, join_hot, mix, slices, stage, text_bytes
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 DENSE = 4
+LONG_WORD = 256
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,13 +34,19 @@ SALTS = (np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * GOLDEN).reshape(-1
 LOW = np.uint64(0xFFFFFFFF)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of each row's different shingles of A-Z lower-cased words between ASCII white space.
+@dataclass
+class Words:
+    """A-Z lower-cased words between ASCII white space: the rows' bytes, each word's span, where each row's words begin."""
 
-    With fewer words the whole sequence is one shingle; without words there is none.
-    """
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    cuts: np.ndarray
+    inside: np.ndarray
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     data = LOWER[data]
-    prefix = prefix_hash(data)
     inside = ~WHITE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets[:-1]] = True
@@ -45,13 +54,47 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[
     first[1:] &= ~inside[:-1] | edge[1 : len(data)]
     last[:-1] &= ~inside[1:] | edge[1 : len(data)]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    word = span_hash(prefix, start, end)
-    cuts = np.searchsorted(start, offsets)
+    return Words(data, start, end, np.searchsorted(start, offsets), inside)
+
+
+def word_hashes(found: Words) -> np.ndarray:
+    """64-bit hashes of the words, eight bytes at a time through ``mix``; very long ones by a digest."""
+    size = found.end - found.start
+    padded = np.concatenate([found.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(found.data) + 1, "<u8", padded, strides=(1,))
+    h = size.astype(np.uint64) * GOLDEN
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        lane = eight[found.start[live] + at] & LOW_BYTES[np.minimum(size[live] - at, 8)]
+        h[live] = mix(h[live] ^ lane) + GOLDEN
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(found.data[found.start[k] : found.end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def plain_texts(found: Words, offsets: np.ndarray) -> Iterator[bytes]:
+    """Each row's words with one space between them."""
+    kept = found.inside.copy()
+    kept[found.end[found.end < len(found.data)]] = True
+    before = np.concatenate([[0], np.cumsum(kept)])[offsets].tolist()
+    plain = np.where(found.inside, found.data, np.uint8(32))[kept].tobytes()
+    for i, j in zip(before[:-1], before[1:], strict=True):
+        yield plain[i:j].strip(b" ")
+
+
+def hashed_sets(found: Words, words: int = 5) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each row's different shingles.
+
+    With fewer words the whole sequence is one shingle; without words there is none.
+    """
+    word = word_hashes(found)
     up, _ = POWERS.upto(words + 1)
     n = len(word) - words + 1
     rolled = mix(sum((word[k : k + n] * up[words - k] for k in range(words)), np.zeros(n, np.uint64))) if n > 0 else None
     out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+    for a, b in zip(found.cuts[:-1].tolist(), found.cuts[1:].tolist(), strict=True):
         if b - a >= words:
             out.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
@@ -61,6 +104,31 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[
     return out
 
 
+def exact_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[np.ndarray]:
+    """Sorted numbers of each row's different shingles; within a call two numbers agree exactly where all words do."""
+    found = words_of(data, offsets)
+    bounds = np.concatenate([[0], np.cumsum(found.end - found.start)])
+    packed = pa.Array.from_buffers(pa.large_binary(), len(found.start), [None, pa.py_buffer(bounds), pa.py_buffer(found.data[found.inside])])
+    coded = packed.dictionary_encode()
+    code, size = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    number, bound = code, size
+    for k in range(1, words):
+        if bound * size >= 1 << 62:  # the products would overflow: number the prefixes anew
+            number = np.unique(number, return_inverse=True)[1].astype(np.int64)
+            bound = int(number.max(initial=0)) + 1
+        number, bound = number[:-1] * size + code[k:], bound * size
+    short: dict[tuple, int] = {}
+    out = []
+    for a, b in zip(found.cuts[:-1].tolist(), found.cuts[1:].tolist(), strict=True):
+        if b - a >= words:
+            out.append(np.unique(number[a : b - words + 1]))
+        elif b > a:
+            out.append(np.array([short.setdefault(tuple(code[a:b].tolist()), -1 - len(short))]))
+        else:
+            out.append(np.empty(0, np.int64))
+    return out
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The COORDINATES least bids of a set that isn't empty."""
     t = np.uint64(COORDINATES)
@@ -77,7 +145,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_digest (equal for equal sets), bands array<long>, sketch (16 bits a coordinate)."""
+    """doc_id, n_shingles, digest (of the whole word sequence), bands array<long>, sketch (16 bits a coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, _ = POWERS.upto(ROWS + 1)
@@ -85,7 +153,9 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             sizes, digests, bands, kept = [], [], [], []
             for i, j in slices(offsets):
-                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
+                cuts = offsets[i : j + 1] - offsets[i]
+                found = words_of(data[offsets[i] : offsets[j]], cuts)
+                for s, plain in zip(hashed_sets(found, words), plain_texts(found, cuts), strict=True):
                     sizes.append(len(s))
                     if not len(s):
                         digests.append(None)
@@ -93,36 +163,42 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                         kept.append(None)
                         continue
                     c = sketch(s)
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digests.append(hashlib.blake2b(plain, digest_size=32).digest())
                     key = mix((c.reshape(BANDS, ROWS) * up[1 : ROWS + 1]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * GOLDEN)
                     bands.append(key.view(np.int64))
                     kept.append(mix(c).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_shingles", "set_digest", "bands", "sketch"],
+                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int = 5) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union, held against each other word by word.
+
+    A node that stands in many pairs as ``a`` has its pairs dealt over pieces, each with a copy of its text. ``pairs`` is
+    read more than once, so it should be a written table.
+    """
+    hubs = hot_keys(pairs, "a")
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    left = deal(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", hubs, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                (da, oa), (db, ob) = text_bytes(part.column(2)), text_bytes(part.column(3))
-                for k, (x, y) in enumerate(zip(shingle_sets(da, oa, words), shingle_sets(db, ob, words), strict=True)):
+            (da, oa), (db, ob) = text_bytes(batch.column(2)), text_bytes(batch.column(3))
+            for i, j in slices(oa + ob):
+                data = np.concatenate([da[oa[i] : oa[j]], db[ob[i] : ob[j]]])
+                sets = exact_sets(data, np.concatenate([oa[i : j + 1] - oa[i], oa[j] - oa[i] + ob[i + 1 : j + 1] - ob[i]]), words)
+                for k, (x, y) in enumerate(zip(sets[: j - i], sets[j - i :], strict=True)):
                     common = len(np.intersect1d(x, y, True))
-                    keep[lo + k] = 100 * common >= percent * (len(x) + len(y) - common) and common > 0
+                    keep[i + k] = 100 * common >= percent * (len(x) + len(y) - common) and common > 0
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = deal(pairs.select("a", "b"), "a", hubs, "b").join(right, "b").join(left, ["a", "piece"]).select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -130,19 +206,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node reaches over the edges (a, b).
 
     Each round a node takes the least label among its own, its neighbours' and its label's label; labels are written to
-    the checkpoint folder every round, and rounds end when none changes.
+    the checkpoint folder every round, and rounds end when none changes. Nodes of very many edges and labels of very
+    many nodes are hot keys of a round's joins.
     """
     checkpoint_root(nodes.sparkSession)
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct().checkpoint()
+    hubs = hot_keys(both, "other")
+    both = deal(both, "other", hubs, "node")
     labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
+    sizes = (0, 0)
     while True:
-        heard = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))
-        near = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component"))
+        told = deal(labels.select(F.col("node").alias("other"), "component"), "other", hubs, None)
+        heard = both.join(told, ["other", "piece"]).groupBy("node").agg(F.min("component").alias("heard"))
         hop = labels.select(F.col("node").alias("component"), F.col("component").alias("hop"))
-        after = near.join(hop, "component", "left").select("node", "old", F.least("component", F.coalesce("hop", "component")).alias("component")).checkpoint()
-        labels = after.select("node", "component")
-        if after.filter("old <> component").isEmpty():
+        if sizes[1]:  # counts are needed only to tell hot labels apart
+            hop = hop.join(labels.groupBy("component").agg(F.count("*").alias("n")), "component")
+        hopped = join_hot(labels, hop, "component", sizes=sizes).select("node", F.col("component").alias("old"), "hop")
+        labels = hopped.join(heard, "node", "left").select("node", "old", F.least("old", "hop", F.coalesce("heard", "old")).alias("component")).checkpoint()
+        rows, most, changed = labels.groupBy("component").agg(F.count("*").alias("n"), F.count_if(F.col("old") != F.col("component")).alias("changed")).agg(F.sum("n"), F.max("n"), F.sum("changed")).first()
+        labels = labels.select("node", "component")
+        if not changed:
             return labels
+        sizes = (rows, most) if most > hot_bound(rows) else (0, 0)
 
 
 def spanning_links(linked: np.ndarray) -> tuple[list[int], list[int]]:
@@ -193,8 +278,8 @@ def block_links(buckets: DataFrame, texts: DataFrame, percent: int, words: int =
     # bands that hold the same rows are one bucket; long sets make smaller chunks
     size = buckets.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.min("node").alias("head"))
     chunks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    size = size.filter("lo <> hi").groupBy("m", "all", "sig", "head").agg(F.min("key").alias("key")).select("key", F.least(chunks, F.col("m").cast("int")).alias("chunks"))
-    rows = buckets.join(size, "key").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
+    size = size.filter("lo <> hi").groupBy("m", "all", "sig", "head").agg(F.min("key").alias("key")).select("key", "m", F.least(chunks, F.col("m").cast("int")).alias("chunks"))
+    rows = join_hot(buckets, size, "key", "m").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("node", "n", "component", "sketch", "key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk")
 
@@ -222,7 +307,7 @@ def block_links(buckets: DataFrame, texts: DataFrame, percent: int, words: int =
 
     def verify_group(group: pa.Table) -> pa.Table:
         node, pairs = group["node"].to_numpy(), likely(group)
-        sets = shingle_sets(*text_bytes(group["text"]), words)
+        sets = exact_sets(*text_bytes(group["text"]), words)
         sizes = np.array([len(s) for s in sets])
         common = common_counts(sets)
         pairs &= 100 * common >= percent * (sizes[:, None] + sizes - common)
@@ -230,7 +315,7 @@ def block_links(buckets: DataFrame, texts: DataFrame, percent: int, words: int =
         return pa.table({"a": pa.array(node[x], pa.int64()), "b": pa.array(node[y], pa.int64())})
 
     named = stage(rows.groupBy("key", "i", "j").applyInArrow(name_pairs, "key long, i int, j int, a long, b long"), "pairs")
-    single = verify(named.filter("a IS NOT NULL").select("a", "b").distinct(), texts, percent, words)
+    single = verify(stage(named.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs"), texts, percent, words)
     dense = rows.join(named.filter("a IS NULL").select("key", "i", "j"), ["key", "i", "j"]).join(texts, "node")
     whole = dense.select(*rows.columns, "text").groupBy("key", "i", "j").applyInArrow(verify_group, "a long, b long")
     return single.unionByName(whole)
@@ -241,34 +326,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
 
     Null and empty texts have no shingles and no links. Rows that share a doc_id are one node: a link of any of their
     texts is a link of that node. A row without doc_id links with nothing, has a null component and is kept. Ties need no
-    rule. An empty table gives none.
+    rule. An empty table gives none. Only doc_id and text are read, so further columns can have any name.
     """
-    spark = docs.sparkSession
     made = stage(sketches(docs, words), "sketches")
-    linked = made.filter("doc_id IS NOT NULL AND set_digest IS NOT NULL")
-    # equal sets: every row of a class links with the class's smallest doc_id
-    classes = linked.groupBy("set_digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
-    equal = linked.select("set_digest", "doc_id").join(classes.filter("node <> last"), "set_digest").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
-    reps = linked.join(classes.select("set_digest", "node"), "set_digest").filter("doc_id = node").dropDuplicates(["set_digest"]).select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
-    reps = stage(reps, "classes")
+    linked = made.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
+    # texts of one word sequence are one class, named by its smallest doc_id; one text of each goes on
+    classes = stage(linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    reps = linked.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
+    reps = stage(reps.select("digest", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
+    # a doc_id with texts of several classes links them
+    several = linked.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    several = linked.select("doc_id", "digest").join(several, "doc_id").distinct().join(classes.select("digest", "node"), "digest")
+    equal = several.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     banded = reps.select("node", "n", F.explode("bands").alias("key"))
-    full = banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail")
-    buckets = stage(banded.join(full.select("key", "head"), "key"), "buckets")
+    full = stage(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.count("*").alias("m")).filter("head <> tail").drop("tail"), "buckets")
+    buckets = stage(join_hot(banded, full, "key", "m").drop("m"), "buckets")
     nodes = stage(buckets.select("node").distinct(), "candidates")
     # a bound on the two sizes holds for every link, whichever of the two is the larger
-    sizes = buckets.select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).filter("a <> b").distinct().join(reps.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-    pairs = sizes.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
-    texts = stage(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(nodes, "node", "left_semi"), "candidate-texts")
+    met = stage(buckets.select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).filter("a <> b").distinct(), "met")
+    heads = met.groupBy("a").agg(F.count("*").alias("n")).join(reps.groupBy(F.col("node").alias("a")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "a")
+    pairs = stage(join_hot(met, heads, "a").filter(f"100 * hi >= {percent} * n_b AND 100 * n_b >= {percent} * lo").select("a", "b").distinct(), "pairs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(nodes, "node", "left_semi")
+    texts = stage(texts.withColumn("h", F.sha2("text", 256)).dropDuplicates(["node", "h"]).drop("h"), "candidate-texts")
     first = stage(verify(pairs, texts, percent, words), "links")
     labels = components(nodes, first)
-    dealt = buckets.select("key", "node", "n").join(labels, "node").join(reps.select("node", "sketch"), "node")
+    dealt = stage(buckets.select("key", "node", "n").join(labels, "node").join(reps.select("node", "n", "sketch"), ["node", "n"]), "dealt")
     more = stage(block_links(dealt, texts, percent, words), "links")
-    links = first.unionByName(more).unionByName(equal).distinct()
+    links = stage(first.unionByName(more).unionByName(equal).distinct(), "links")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     reached = components(ends, links)
-    out = made.select("doc_id", "n_shingles").join(reached, made["doc_id"] == reached["node"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = stage(classes.join(reached, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component_id")), "named")
+    out = join_hot(linked.select("digest", "doc_id", "n_shingles"), named, "digest").select("doc_id", "n_shingles", "component_id")
+    rest = made.filter("doc_id IS NULL OR digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
