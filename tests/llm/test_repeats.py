@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideline.llm import columnwise, repeats
@@ -51,24 +52,32 @@ def test_periodic_and_shared_passages(spark):
     assert got(repeats.remove_repeats(df)) == brute(texts)
 
 
-def test_very_frequent_passage(spark, monkeypatch):
-    """Groups of many runs deal their windows out by hash."""
-    monkeypatch.setattr(repeats, "HOT_RUNS", 20)
+@pytest.mark.parametrize("block", [12, 40, 5000])
+def test_very_frequent_passage(spark, block):
+    """Groups of more runs than a collection holds are cut, and meet again in later passes."""
     r = random.Random(9)
-    core = "".join(r.choices("abcdefgh", k=140))
-    texts = [(i, "".join(r.choices("mnop", k=120)) + core + "".join(r.choices("qrst", k=120))) for i in range(300)]
+    core, phrase = "".join(r.choices("abcdefgh", k=140)), "a phrase of thirty-six common letters"
+    noise = lambda letters: "".join(r.choices(letters, k=120))
+    texts = [(i, noise("mnop") + (core if i % 3 else phrase) + noise("qrst") + (core[:90] if i % 2 else core[20:125]) + noise("uv")) for i in range(150)]
+    texts += [(200 + i, texts[i % 7][1]) for i in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
-    assert got(repeats.remove_repeats(df)) == brute(texts)
+    assert got(repeats.remove_repeats(df, block=block)) == brute(texts)
 
 
-def test_long_text_in_segments(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "SEGMENT", 1000)
-    monkeypatch.setattr(repeats, "BLOCK_RUNS", 50)
+def test_long_text_in_segments(spark):
     r = random.Random(10)
     part = "".join(r.choices("abcdefgh", k=3000))
     texts = [(1, part), (2, part[500:2900] + "zz" + part), (3, "".join(r.choices("abcdefgh", k=5000)))]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    assert got(repeats.remove_repeats(df)) == brute(texts)
+    assert got(repeats.remove_repeats(df, segment=1000, block_runs=50)) == brute(texts)
+
+
+def test_structured_strings_are_told_apart(spark):
+    """Letters chosen by the parity of a number's set bits: such strings and their swaps share polynomial hashes."""
+    parity = lambda n, x: "".join(x[bin(i).count("1") & 1] for i in range(n))
+    texts = [(k, parity(2048, x) + parity(300, x[::-1])) for k, x in enumerate(("ab", "ba", "cd", "dc"))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert got(repeats.remove_repeats(df, block=8)) == brute(texts)
 
 
 def test_missing_and_shared_ids(spark):
@@ -80,20 +89,41 @@ def test_missing_and_shared_ids(spark):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_columnwise_transform_against_sorting(seed):
+def test_columns_against_sorting(seed):
+    """Order and common prefixes of every round, and equal windows, against sorted strings."""
     r = np.random.default_rng(seed)
-    strings = [bytes(r.integers(97, 97 + r.integers(1, 4), r.integers(1, 30)).astype(np.uint8)) for _ in range(r.integers(1, 25))]
+    width, n, length = 24, int(r.integers(1, 40)), 3
+    lead = r.integers(0, 12, n)
+    strings = [bytes(r.integers(97, 97 + r.integers(1, 4), r.integers(1, width - k + 1)).astype(np.uint8)) for k in lead]
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
-    symbols, common = columnwise.transform(np.frombuffer(b"".join(strings), np.uint8), offsets)
-    suffixes = sorted(([*(b + 1000 for b in s[k:]), i], s[k - 1] + 1 if k else 0) for i, s in enumerate(strings) for k in range(len(s) + 1))
-    assert symbols.tolist() == [c for _, c in suffixes]
-
-    def shared(a, b):
-        n = 0
-        while n < min(len(a), len(b)) - 1 and a[n] == b[n]:
-            n += 1
-        return n
-
-    assert common.tolist() == [0, *(shared(a, b) for (a, _), (b, _) in zip(suffixes, suffixes[1:], strict=False))]
-    _, _, group = columnwise.equal_windows(np.frombuffer(b"".join(strings), np.uint8), offsets, 3)
-    assert len(np.unique(group)) == len({s[k : k + 3] for s in strings for k in range(len(s) - 2)})
+    symbols = columnwise.in_columns(np.frombuffer(b"".join(strings), np.uint8), offsets, lead, width)
+    rows = [[0] * k + [c + 1 for c in s] + [0] * (width - k - len(s)) for s, k in zip(strings, lead, strict=True)]
+    assert symbols.T.tolist() == rows
+    for x, order, common in columnwise.rounds(symbols, 200):
+        behind = [rows[i][x:] for i in order]
+        assert behind == sorted(behind)
+        shared = [next((k for k, (a, b) in enumerate(zip(p, q, strict=True)) if a != b), len(p)) for p, q in zip(behind, behind[1:], strict=False)]
+        assert common.tolist() == [0, *shared]
+    later = columnwise.later_windows(symbols, length, 12)
+    for x in range(12):
+        seen: set[tuple] = set()
+        for i in range(n):
+            piece = tuple(rows[i][x : x + length])
+            assert later[x, i] == (piece in seen)
+            seen.add(piece)
+
+
+def test_every_run_with_company_is_kept():
+    """meet_runs over batches of any size keeps what a plain grouping keeps, with marks taken up."""
+    r = random.Random(12)
+    rows = sorted(((r.randrange(40), r.randrange(2) * r.randrange(2), r.choice([None, *range(9)])) for _ in range(120)), key=lambda x: (x[0], x[1], -1 if x[2] is None else x[2]))
+    table = [(k, p, p > 0 or d is None, d, d) for k, p, d in rows]
+    groups = {}
+    for k, p, _, d, _ in table:
+        groups.setdefault((k, p), []).append(d)
+    want = sorted((k, p, d) for (k, p), ds in groups.items() for d in ds if d is not None and (len([x for x in ds if x is not None]) > 1 or None in ds or p > 0))
+    for size in (1, 2, 7, 200):
+        batches = [repeats.batch(repeats.RUNS, *(pa.array(c, t) for c, t in zip(zip(*table[lo : lo + size], strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True))) for lo in range(0, len(table), size)]
+        out = [tuple(x.values()) for b in repeats.meet_runs(iter(batches)) for x in b.to_pylist()]
+        assert sorted((k, p, d) for k, p, _, d, _ in out) == want
+        assert all(s == (p > 0 or None in groups[k, p]) for k, p, s, _, _ in out)

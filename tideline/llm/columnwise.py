@@ -1,14 +1,15 @@
-"""Column-wise construction of a collection's Burrows-Wheeler transform and common prefixes.
+"""Column-wise construction of a collection's positional Burrows-Wheeler transform and common prefixes.
 
-Round j inserts, for every string that is long enough, its suffix of length j: one symbol a string. A list of all suffixes
-so far is kept in order as two arrays, the symbol before each suffix (the transform) and the length that each suffix
-has in common with the one before it. Where a new suffix goes follows from the transform alone: the suffixes that
-start with a symbol stand in the order in which that symbol stands in the transform. What it has in common with its
-neighbours is one more than the least common prefix between the places that they extend.
+The strings stand in columns. Rounds go from the last column to the first, and each inserts one symbol a string: the
+column read in the order of the strings' suffixes behind it is the transform, sorting it stably is the order of the
+suffixes that begin in it, and what neighbours have in common is one more than the least common prefix between the
+places that they came from. A round takes time and memory in proportion to the strings, whatever their length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -36,65 +37,47 @@ def range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return out
 
 
-def transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, common): the transform, 0 before a whole string and byte + 1 otherwise, and the common prefixes.
+def in_columns(data: np.ndarray, offsets: np.ndarray, lead: np.ndarray, width: int) -> np.ndarray:
+    """Symbols [width, strings]: byte + 1, 0 where a string has none. ``lead`` is the column of each string's first byte.
+
+    No byte may be above 254; UTF-8 has none.
+    """
+    size = np.diff(offsets)
+    out = np.zeros((width, len(size)), np.uint8)
+    out[np.arange(len(data)) + np.repeat(lead - offsets[:-1], size), np.repeat(np.arange(len(size)), size)] = data + np.uint8(1)
+    return out
+
+
+def rounds(symbols: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(column, order, common) from the last column to the first.
+
+    ``order`` has the strings by what stands from the column on, ties as they came; ``common`` says how many symbols each
+    shares with the one before it, up to ``most`` (255 at most) and counting the ends' zeros.
+    """
+    width, n = symbols.shape
+    order, common = np.arange(n), np.zeros(n, np.uint8)
+    for x in range(width - 1, -1, -1):
+        transform = symbols[x][order]
+        by = np.argsort(transform, kind="stable")
+        own = transform[by]
+        k = np.flatnonzero(own[1:] == own[:-1]) + 1
+        new = np.zeros(n, np.uint8)
+        new[k] = np.minimum(range_min(common, by[k - 1] + 1, by[k]), most - 1) + 1
+        order, common = order[by], new
+        yield x, order, common
+
+
+def later_windows(symbols: np.ndarray, length: int, windows: int) -> np.ndarray:
+    """[windows, strings]: True where the ``length`` symbols from a column on also stand there in a string before it.
 
-    The strings are the rows of ``data`` at ``offsets``: one byte at least, fewer than 255 bytes, no byte above 254.
-    Each ends in a mark of its own, less than every byte and in the order of the strings; marks are never in common.
+    Only the first ``windows`` columns are asked for. Windows with ends' zeros are the caller's to leave out.
     """
-    ends, sizes = offsets[1:], np.diff(offsets)
-    count = len(sizes)
-    symbols = data[ends - 1] + np.uint8(1)
-    common = np.zeros(count, np.uint8)
-    place = np.arange(count)
-    for length in range(1, int(sizes.max(initial=0)) + 1):
-        live = np.flatnonzero(sizes >= length)
-        order = np.argsort(symbols, kind="stable")
-        done = len(symbols) - np.count_nonzero(symbols)
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        k = rank[place[live]].astype(np.int64)
-        by_rank = np.argsort(k)
-        live, k = live[by_rank], k[by_rank]
-        at, ahead, behind = order[k], order[k - 1], order[np.minimum(k + 1, len(order) - 1)]
-        own = symbols[at]
-        up = np.flatnonzero((k > done) & (symbols[ahead] == own))
-        down = np.flatnonzero((k + 1 < len(order)) & (symbols[behind] == own))
-        least = range_min(common, np.concatenate([ahead[up], at[down]]) + 1, np.concatenate([at[up], behind[down]])) + 1
-        before, after = np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8)
-        before[up], after[down] = least[: len(up)], least[len(up) :]
-        new = count + k - done
-        place[live] = new
-        old = np.ones(len(symbols) + len(live), bool)
-        old[new] = False
-        longer = sizes[live] > length
-        symbol = np.where(longer, data[np.maximum(ends[live] - length - 1, 0)] + np.uint8(1), np.uint8(0))
-        symbols_out, common_out = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        symbols_out[old], symbols_out[new] = symbols, symbol
-        common_out[old], common_out[new] = common, before
-        inner = new + 1 < len(common_out)
-        common_out[new[inner] + 1] = after[inner]
-        symbols, common = symbols_out, common_out
-    return symbols, common
-
-
-def equal_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, group) of every ``length``-byte window; windows have one group exactly when they are equal."""
-    symbols, common = transform(data, offsets)
-    sizes = np.diff(offsets)
-    count = len(sizes)
-    rank = np.empty(len(symbols), np.int64)
-    rank[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
-    to_longer = count + rank - (len(symbols) - np.count_nonzero(symbols))
-    group = np.cumsum(common < length)
-    strings, starts, groups = [], [], []
-    live, place = np.arange(count), np.arange(count)
-    for suffix in range(1, int(sizes.max(initial=0)) + 1):
-        keep = sizes[live] >= suffix
-        live, place = live[keep], to_longer[place[keep]]
-        if suffix >= length:
-            strings.append(live)
-            starts.append(sizes[live] - suffix)
-            groups.append(group[place])
-    none = np.empty(0, np.int64)
-    return tuple(np.concatenate(x) if x else none for x in (strings, starts, groups))
+    later = np.zeros((windows, symbols.shape[1]), bool)
+    for x, order, common in rounds(symbols, length):
+        if x < windows:
+            equal = common >= length
+            if equal.any():
+                head = np.flatnonzero(~equal)
+                first = np.minimum.reduceat(order, head)
+                later[x, order] = order != np.repeat(first, np.diff(np.append(head, len(order))))
+    return later

@@ -1,18 +1,17 @@
 """Repeated byte strings across documents: every byte covered by a LENGTH-byte string that also starts earlier.
 
 In each LENGTH-byte window the GRAM-byte string of least hash is its anchor. Windows that follow each other and share
-an anchor are a run; equal windows have equal anchors at equal places, so runs meet by their anchor's hash.
-
-1. Each task cuts its texts into runs. Of equal runs in a block of a task only the first is sent on, the others repeat it.
-2. Runs meet by anchor, sorted: those equal to an earlier one repeat it. First ones whose anchor has other runs too are
-   held against each other window by window.
-3. For these, groups of few runs are collections whose Burrows-Wheeler transform and common prefixes are built column by
-   column (``columnwise``); suffixes with LENGTH bytes in common stand together. Groups of many runs deal their windows
-   out by their hashes, again with only the first of equal windows in a block sent on. So no task holds a whole group.
+an anchor are a run. Equal windows have equal anchors at equal places, so runs meet by their anchor's hash, and stand
+in columns by their anchor's place: windows that are equal begin in the same column. Hashes are routes only.
+
+1. Each task cuts its texts into runs. Runs whose anchor's hash occurs once are done: nothing in them repeats.
+2. The others' bytes are fetched and meet in blocks of at most BLOCK runs. A block is a collection whose positional
+   Burrows-Wheeler transform and common prefixes are built column by column (``columnwise``), one symbol a run each
+   round; windows with LENGTH symbols in common are equal, and all but the earliest of them repeat.
+3. Where an anchor has more runs than a block, or so many that they were dealt over tasks, what a block leaves meets again
+   in a pass of its own, by a finer route: the anchor of a longer gram, then the whole window. Passes read and write
+   sequential files in the shared folder, each with only what the one before it left, until no group is cut.
 4. A document's repeats are merged to maximal spans and cut out.
-
-Whole documents aren't one collection: that takes as many rounds as the longest has bytes, each through all files. Runs
-have 176 bytes at most, and so as many rounds; see the README.
 """
 
 from __future__ import annotations
@@ -25,242 +24,266 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnwise import equal_windows
-from .common import POWERS, mix, prefix_hash, random_table, slices, span_hash, stage, text_bytes
+from .columnwise import in_columns, later_windows
+from .common import POWERS, mix, prefix_hash, slices, stage, text_bytes
 
-LENGTH, GRAM = 100, 24
-WINDOWS = LENGTH - GRAM + 1
+LENGTH = 100
+#: The anchors' length in each pass; windows by themselves are the last.
+GRAMS = (24, 76, LENGTH)
 SEGMENT = 4 << 20
 BLOCK_RUNS = 400_000
-HOT_RUNS = 1024
-COLLECTION = 1024
+BLOCK = 4096
 PLACE = np.uint64(0xFFFFFF)
-#: The bytes in another order: a hash of the bytes so mapped is a second one, of other table values.
-SHUFFLED = np.argsort(random_table(256, 11)).astype(np.uint8)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of the rows' windows: row, first start within ``data``, number of starts, anchor hash, run hash."""
-    n = len(data)
-    if n < LENGTH:
+def runs(data: np.ndarray, offsets: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
+    """Runs of the rows' windows: row, first start within ``data``, number of starts, the anchor's place behind it, anchor hash."""
+    n, windows = len(data), LENGTH - gram + 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    start = np.flatnonzero(row[: max(0, n - LENGTH + 1)] == row[LENGTH - 1 :])
+    if not len(start):
         return tuple(np.empty(0, np.int64) for _ in range(5))
+    if windows == 1:
+        raw = data.tobytes()
+        key = np.frombuffer(b"".join(hashlib.blake2b(raw[s : s + LENGTH], digest_size=8).digest() for s in start.tolist()), np.int64)
+        return row[start], start, np.ones_like(start), np.zeros_like(start), key
     prefix = prefix_hash(data)
     _, down = POWERS.upto(n)
-    gram = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
+    hashes = mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
     # the least hash, the leftmost of equal ones: the place stands in the low bits
-    least = (gram & ~PLACE) | np.arange(len(gram), dtype=np.uint64)
+    least = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
-    while 2 * width <= WINDOWS:
+    while 2 * width <= windows:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < WINDOWS:
-        least = np.minimum(least[: len(least) - (WINDOWS - width)], least[WINDOWS - width :])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    start = np.flatnonzero(row[: n - LENGTH + 1] == row[LENGTH - 1 :])
-    if not len(start):
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+    if width < windows:
+        least = np.minimum(least[: len(least) - (windows - width)], least[windows - width :])
     anchor, row = (least[start] & PLACE).astype(np.int64), row[start]
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
-    s = start[first]
-    return row[first], s, count, gram[anchor[first]].view(np.int64), span_hash(prefix, s, s + count - 1 + LENGTH).view(np.int64)
+    return row[first], start[first], count, anchor[first] - start[first], hashes[anchor[first]].view(np.int64)
 
 
-def merged(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts [start, start + count) of documents, with those that follow each other made one."""
-    order = np.lexsort((start, doc))
-    doc, start, count = doc[order], start[order], count[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])
-    first = np.flatnonzero(new)
-    return doc[first], start[first], np.add.reduceat(count, first) if len(first) else count
+def pieces_of(key: np.ndarray, doc: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """A piece for each run, 0 unless its key is hot in this block of runs, and the hot keys.
 
+    A key with so many of the block's runs that it would fill several of ``spread`` parts of the whole is dealt over as many
+    pieces, by document.
+    """
+    keys, at, count = np.unique(key, return_inverse=True, return_counts=True)
+    many = np.minimum(count * spread // max(1, len(key)), count // 16)
+    own = many[at]
+    deal = (mix(doc.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    return np.where(own > 1, 1 + deal % np.maximum(own, 1), 0), keys[many > 1]
 
-def firsts(doc: np.ndarray, start: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """True for the earliest row, by document and start, of each combination of keys."""
-    order = np.lexsort((start, doc, *keys))
-    out = np.ones(len(doc), bool)
-    out[order[1:]] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-    return out
 
+def batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
-def pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return start << 32 | count
 
+RUNS = "key long, piece int, split boolean, doc long, place long"
 
-def batch(schema: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
+def packed(start: np.ndarray, behind: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return start << 16 | behind << 8 | count
 
-RUNS = "anchor long, run long, doc long, place long"
 
+def with_marks(schema: str, hot: np.ndarray, key: np.ndarray, piece: np.ndarray, doc: np.ndarray, *rest: pa.Array) -> pa.RecordBatch:
+    """Rows of runs, and for each hot key a row without document that tells its piece 0 that there are others."""
+    m = len(hot)
+    columns = [np.append(key, hot), np.append(piece, np.zeros(m, np.int64)).astype(np.int32), np.append(piece > 0, np.ones(m, bool)), pa.concat_arrays([pa.array(doc), pa.nulls(m, pa.int64())])]
+    return batch(schema, *columns, *(pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in rest))
 
-def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of RUNS; ``run`` is null for windows known to repeat earlier ones."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
 
-    def block() -> pa.RecordBatch:
-        doc, start, count, anchor, run = (np.concatenate(c) for c in zip(*held, strict=True))
-        first = firsts(doc, start, anchor, run)
-        d, s, c = merged(doc[~first], start[~first], count[~first])
-        none = pa.nulls(len(d), pa.int64())
-        spread = mix(d.astype(np.uint64)).view(np.int64)
-        return batch(RUNS, np.concatenate([anchor[first], spread]), pa.concat_arrays([pa.array(run[first]), none]), np.concatenate([doc[first], d]), np.concatenate([pack(start[first], count[first]), pack(s, c)]))
+def cut_runs(spread: int, segment: int = SEGMENT, block_runs: int = BLOCK_RUNS):
+    """From texts to rows of RUNS."""
 
-    for b in batches:
-        ids = b.column(0).to_numpy()
-        data, offsets = text_bytes(b.column(1))
-        for i, j in slices(offsets):
-            for lo in range(int(offsets[i]), int(offsets[j]), SEGMENT) if j - i == 1 else [int(offsets[i])]:
-                hi = min(int(offsets[j]), lo + SEGMENT + LENGTH - 1) if j - i == 1 else int(offsets[j])
-                cuts = np.array([0, hi - lo]) if j - i == 1 else offsets[i : j + 1] - lo
-                row, start, count, anchor, run = runs(data[lo:hi], cuts)
-                if len(row):
-                    held.append((ids[row + i], start + lo - offsets[row + i], count, anchor, run))
-                    size += len(row)
-                if size >= BLOCK_RUNS:
-                    yield block()
-                    held, size = [], 0
-    if held:
-        yield block()
-
-
-MET = "kind int, key long, doc long, place long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
+        def block() -> pa.RecordBatch:
+            doc, key, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            piece, hot = pieces_of(key, doc, spread)
+            return with_marks(RUNS, hot, key, piece, doc, pa.array(place))
 
-def meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, run, doc, place: kind 0 repeats an earlier run, kind 1 is to be held against others."""
-    last = None  # anchor and run of the row before
-    open_row = None  # the last first row: it waits for the next first row's anchor
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            data, offsets = text_bytes(b.column(1))
+            for i, j in slices(offsets):
+                for lo in range(int(offsets[i]), int(offsets[j]), segment) if j - i == 1 else [int(offsets[i])]:
+                    hi = min(int(offsets[j]), lo + segment + LENGTH - 1) if j - i == 1 else int(offsets[j])
+                    cuts = np.array([0, hi - lo]) if j - i == 1 else offsets[i : j + 1] - lo
+                    row, start, count, behind, key = runs(data[lo:hi], cuts)
+                    if len(row):
+                        held.append((ids[row + i], key, packed(start + lo - offsets[row + i], behind, count)))
+                        size += len(row)
+                    if size >= block_runs:
+                        yield block()
+                        held, size = [], 0
+        if held:
+            yield block()
 
-    def opened(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return batch(MET, np.ones(len(rows), np.int32), *(np.array(c, np.int64) for c in zip(*rows, strict=True)))
+    return run
 
+
+def meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of RUNS sorted by key, piece, place: those whose key has others. Marks (null, and so first) are taken up."""
+    group, seen, marked = None, 0, False  # the last group so far
+    alone = None  # its row, while it has only one
     for b in batches:
-        told = b.column(1).is_null().to_numpy(zero_copy_only=False)
-        anchor, run, doc, place = (c.fill_null(0).to_numpy() for c in b.columns)
-        yield batch(MET, np.zeros(told.sum(), np.int32), anchor[told], doc[told], place[told])
-        anchor, run, doc, place = (c[~told] for c in (anchor, run, doc, place))
-        if not len(anchor):
+        key, piece = b.column(0).to_numpy(), b.column(1).to_numpy()
+        mark = b.column(3).is_null().to_numpy(zero_copy_only=False)
+        split = b.column(2).to_numpy(zero_copy_only=False)
+        if not len(key):
             continue
-        first = np.ones(len(anchor), bool)
-        first[1:] = (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])
-        first[0] = last != (anchor[0], run[0])
-        last = (anchor[-1], run[-1])
-        yield batch(MET, np.zeros((~first).sum(), np.int32), anchor[~first], doc[~first], place[~first])
-        rows = [(int(a), int(d), int(p)) for a, d, p in zip(anchor[first][-1:], doc[first][-1:], place[first][-1:], strict=True)]
-        a, d, p = anchor[first], doc[first], place[first]
-        if not len(a):
-            continue
-        shared = np.zeros(len(a), bool)
-        shared[1:] = a[1:] == a[:-1]
-        shared[:-1] |= a[1:] == a[:-1]
-        if open_row:
-            same = open_row[0][0] == a[0]
-            shared[0] |= same
-            if same or open_row[1]:
-                yield opened([open_row[0]])
-        open_row = (rows[0], bool(shared[-1]))
-        shared[-1] = False
-        yield batch(MET, np.ones(shared.sum(), np.int32), a[shared], d[shared], p[shared])
-    if open_row and open_row[1]:
-        yield opened([open_row[0]])
-
-
-WINDOWED = "kind int, key long, check long, doc long, place long, bytes binary"
-
-
-def fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts with their runs: kind 1 a run's bytes by anchor, kind 2 a window by two hashes, kind 0 a known repeat."""
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
+        of = np.cumsum(new) - 1
+        size, told = np.bincount(of, ~mark).astype(np.int64), np.bincount(of, mark) > 0
+        if group == (key[0], piece[0]):
+            size[0] += seen
+            told[0] |= marked
+            if alone is not None and size[0] > 1:
+                yield alone
+                alone = None
+        else:
+            alone = None
+        group, seen, marked = (key[-1], piece[-1]), int(size[-1]), bool(told[-1])
+        stay = ~mark & ((size[of] > 1) | told[of] | split)
+        out = b.take(pa.array(np.flatnonzero(stay)))
+        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array((split | told[of])[stay]), out.column(3), out.column(4)], names=out.schema.names)
+        last = len(key) - 1
+        if seen == 1 and not mark[last] and not stay[last]:
+            alone = b.slice(last, 1)
+
+
+STRINGS = "key long, piece int, split boolean, doc long, start long, lead int, bytes binary"
+
+
+def fetch_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts with their runs to rows of STRINGS."""
     for b in batches:
-        data, offsets = text_bytes(b.column(1))
+        raw, offsets = (x.tobytes() if k == 0 else x for k, x in enumerate(text_bytes(b.column(1))))
         lists = b.column(2)
         of = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
         flat = lists.flatten()
-        key, place, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        doc = b.column(0).to_numpy()[of]
-        start, count = place >> 32, place & 0xFFFFFFFF
+        place = flat.field(3).to_numpy()
+        start, behind, size = place >> 16, place >> 8 & 255, (place & 255) + LENGTH - 1
         at = offsets[of] + start
-        cold = np.flatnonzero(~hot)
-        raw = data.tobytes()
-        pieces = pa.array([raw[s : s + c] for s, c in zip(at[cold].tolist(), (count[cold] + LENGTH - 1).tolist(), strict=True)], pa.binary())
-        yield batch(WINDOWED, np.ones(len(cold), np.int32), key[cold], np.zeros(len(cold), np.int64), doc[cold], place[cold], pieces)
-        if hot.any():
-            d, s, c = doc[hot], start[hot], count[hot]
-            pieces = [raw[x : x + y] for x, y in zip(at[hot].tolist(), (c + LENGTH - 1).tolist(), strict=True)]
-            begin = np.concatenate([[0], np.cumsum(c + LENGTH - 1)])[:-1]
-            step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            s, d = np.repeat(s, c) + step, np.repeat(d, c)
-            joined, at = np.frombuffer(b"".join(pieces), np.uint8), np.repeat(begin, c) + step
-            h, check = (hash_windows(x, at) for x in (joined, SHUFFLED[joined]))
-            first = firsts(d, s, check, h)
-            md, ms, mc = merged(d[~first], s[~first], np.ones((~first).sum(), np.int64))
-            n = len(md)
-            yield batch(WINDOWED, np.concatenate([np.full(first.sum(), 2, np.int32), np.zeros(n, np.int32)]), np.concatenate([h[first], mix(md.astype(np.uint64)).view(np.int64)]), np.concatenate([check[first], np.zeros(n, np.int64)]), np.concatenate([d[first], md]), np.concatenate([pack(s[first], np.ones(first.sum(), np.int64)), pack(ms, mc)]), pa.nulls(first.sum() + n, pa.binary()))
-
-
-def hash_windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    prefix = prefix_hash(data)
-    return span_hash(prefix, at, at + LENGTH).view(np.int64)
+        for lo in range(0, len(of), 100_000):
+            part = slice(lo, lo + 100_000)
+            strings = pa.array([raw[s : s + n] for s, n in zip(at[part].tolist(), size[part].tolist(), strict=True)], pa.binary())
+            lead = (LENGTH - GRAMS[0] - behind[part]).astype(np.int32)
+            yield batch(STRINGS, *(flat.field(k).slice(lo, 100_000) for k in range(3)), b.column(0).take(pa.array(of[part])), start[part], lead, strings)
 
 
-FOUND = "doc long, place long"
+LEFT = "doc long, start long, count long, bytes binary"
 
 
-def meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among rows sorted by key, kind, check, doc, place. Whole groups of runs (HOT_RUNS at most) are compared at once."""
-    last = None  # both hashes of the window before
-    held: list[pa.RecordBatch] = []
+def recut(gram: int, spread: int):
+    """From rows of LEFT with bytes to rows of STRINGS by another route."""
 
-    def compare(b: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, doc, place = (b[c].to_numpy() for c in ("key", "doc", "place"))
-        start, count = place >> 32, place & 0xFFFFFFFF
-        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-        lo = 0
-        while lo < len(key):  # collections of whole groups
-            hi = int(ends[max(np.searchsorted(ends, lo + COLLECTION, "right") - 1, np.searchsorted(ends, lo, "right"))])
-            data, offsets = binary_bytes(b["bytes"].slice(lo, hi - lo))
-            item, at, group = equal_windows(data, offsets, LENGTH)
-            d, s = doc[lo:hi][item], start[lo:hi][item] + at
-            first = firsts(d, s, group)
-            d, s, c = merged(d[~first], s[~first], np.ones((~first).sum(), np.int64))
-            yield batch(FOUND, d, pack(s, c))
-            lo = hi
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 20_000):
+                part = b.slice(lo, 20_000)
+                data, offsets = binary_bytes(part.column(3))
+                row, at, count, behind, key = runs(data, offsets, gram)
+                doc = part.column(0).to_numpy()[row]
+                raw = data.tobytes()
+                strings = pa.array([raw[s : s + n] for s, n in zip(at.tolist(), (count + LENGTH - 1).tolist(), strict=True)], pa.binary())
+                piece, hot = pieces_of(key, doc, spread)
+                start = part.column(1).to_numpy()[row] + at - offsets[row]
+                yield with_marks(STRINGS, hot, key, piece, doc, pa.array(start), pa.array((LENGTH - gram - behind).astype(np.int32)), strings)
 
-    for b in batches:
-        kind = b.column(0).to_numpy()
-        known = np.flatnonzero(kind == 0)
-        yield b.select(["doc", "place"]).take(pa.array(known))
-        single = np.flatnonzero(kind == 2)
-        if len(single):
-            key, check = (b.column(k).to_numpy()[single] for k in (1, 2))
-            later = np.zeros(len(key), bool)
-            later[1:] = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
-            later[0] = last == (key[0], check[0])
-            last = key[-1], check[-1]
-            yield b.select(["doc", "place"]).take(pa.array(single[later]))
-        group = np.flatnonzero(kind == 1)
-        if len(group):
-            part = b.take(pa.array(group))
-            key = part.column(1).to_numpy()
-            end = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])  # where the last group begins
-            if end or (held and held[-1].column(1)[0].as_py() != key[0]):
-                whole = pa.Table.from_batches([*held, part.slice(0, end)]).combine_chunks()
-                if whole.num_rows:
-                    yield from compare(whole)
-                held = []
-            held.append(part.slice(end))
-    if held:
-        yield from compare(pa.Table.from_batches(held).combine_chunks())
+    return run
 
 
 def binary_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.fromiter((len(x) for x in column.to_pylist()), np.int64, len(column))
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+    strings = column.to_pylist()
+    return np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in strings], dtype=np.int64)])
+
+
+def spans_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first column, columns) of the maximal runs of True in [windows, strings]."""
+    string, column = np.nonzero(hit.T)
+    first = np.flatnonzero(np.append(True, (string[1:] != string[:-1]) | (column[1:] != column[:-1] + 1))) if len(string) else string
+    return string[first], column[first], np.diff(np.append(first, len(string)))
+
+
+def compare(gram: int, most: int = BLOCK):
+    """From rows of STRINGS sorted by key, piece, document, start to rows of LEFT.
+
+    Without bytes they are repeats; with bytes they are what a block of a cut group leaves.
+    """
+    windows = LENGTH - gram + 1
+
+    def block(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        # the order of the text, as pieces of one key may meet here
+        t = t.take(pa.array(np.lexsort((t["start"].to_numpy(), t["doc"].to_numpy())))).combine_chunks()
+        split, doc, start, lead = (t[c].to_numpy() for c in ("split", "doc", "start", "lead"))
+        data, offsets = binary_bytes(t["bytes"])
+        later = later_windows(in_columns(data, offsets, lead, windows - 1 + LENGTH), LENGTH, windows)
+        column = np.arange(windows)[:, None]
+        there = (column >= lead) & (column + LENGTH <= lead + np.diff(offsets))
+        string, x, count = spans_of(later & there)
+        yield batch(LEFT, doc[string], start[string] + x - lead[string], count, pa.nulls(len(string), pa.binary()))
+        string, x, count = spans_of(~later & there & split)
+        if len(string):
+            raw, at = data.tobytes(), offsets[string] + x - lead[string]
+            strings = pa.array([raw[s : s + n] for s, n in zip(at.tolist(), (count + LENGTH - 1).tolist(), strict=True)], pa.binary())
+            yield batch(LEFT, doc[string], start[string] + x - lead[string], count, strings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        cut = None  # the group whose first rows have gone already, or that a mark says to be in pieces
+
+        def take(final: bool) -> Iterator[pa.RecordBatch]:
+            """Blocks of whole groups; a group of more rows than a block is cut."""
+            nonlocal held, rows, cut
+            t = pa.Table.from_batches(held).combine_chunks()
+            key, piece = t["key"].to_numpy(), t["piece"].to_numpy()
+            mark = t["doc"].is_null().to_numpy()
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])))
+            told = np.logical_or.reduceat(mark, begin)
+            if cut == (key[0], piece[0]):
+                told[0] = True
+            size = np.diff(np.append(begin, len(key)))
+            told[:-1] |= size[:-1] > most
+            told[-1] |= size[-1] > most or (not final and size[-1] == len(key))
+            of = np.repeat(np.arange(len(begin)), size)
+            split = t["split"].to_numpy() | told[of]
+            # the last group may go on in the next batch: it waits, unless it fills a block
+            end = len(key) if final or told[-1] else int(begin[-1])
+            cut = (key[-1], piece[-1]) if end == len(key) and told[-1] else None
+            alone = (size[of] == 1) & ~split
+            go = np.flatnonzero(~mark & ~alone & (np.arange(len(key)) < end))
+            ready = t.set_column(2, "split", pa.array(split)).take(pa.array(go))
+            of, lo = of[go], 0
+            while lo < len(go):
+                hi = min(lo + most, len(go))
+                if hi < len(go) and of[hi] == of[hi - 1]:
+                    back = int(np.searchsorted(of, of[hi]))
+                    hi = back if back > lo else hi
+                yield from block(ready.slice(lo, hi - lo))
+                lo = hi
+            held = t.slice(end).to_batches()
+            rows = len(key) - end
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows > 4 * most:
+                yield from take(False)
+        if rows:
+            yield from take(True)
+
+    return run
 
 
 REPORT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -285,19 +308,45 @@ def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_spans(places: np.ndarray) -> list[tuple[int, int]]:
     """Maximal byte spans covered by the windows."""
     places = np.sort(places)
-    start, end = places >> 32, (places >> 32) + (places & 0xFFFFFFFF) - 1 + LENGTH
+    start, end = places >> 16, (places >> 16) + (places & 0xFFFF) - 1 + LENGTH
     reach = np.maximum.accumulate(end)
     new = np.append(True, start[1:] > reach[:-1])
     first = np.flatnonzero(new)
     return list(zip(start[first].tolist(), reach[np.append(first[1:], len(start)) - 1].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def repeated_windows(base: DataFrame, block: int = BLOCK, segment: int = SEGMENT, block_runs: int = BLOCK_RUNS) -> DataFrame:
+    """(doc, start, count): windows of ``base`` (doc, text) that repeat an earlier one. Every row comes from the transform."""
+    spread = 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = base.mapInArrow(cut_runs(spread, segment, block_runs), RUNS).repartition("key", "piece").sortWithinPartitions("key", "piece", "place")
+    met = stage(cut.mapInArrow(meet_runs, RUNS), "runs")
+    # a document's list is in proportion to its text
+    by_doc = met.groupBy("doc").agg(F.collect_list(F.struct("key", "piece", "split", "place")).alias("runs"))
+    strings = base.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(fetch_bytes, STRINGS)
+    found = []
+    for level in range(1 << 10):
+        gram = GRAMS[min(level, len(GRAMS) - 1)]
+        sorted_strings = strings.repartition("key", "piece").sortWithinPartitions("key", "piece", "doc", "start")
+        left = stage(sorted_strings.mapInArrow(compare(gram, block), LEFT), f"windows-{level}")
+        found.append(left.filter("bytes IS NULL").select("doc", "start", "count"))
+        open_runs = left.filter("bytes IS NOT NULL")
+        if open_runs.isEmpty():
+            break
+        strings = open_runs.mapInArrow(recut(GRAMS[min(level + 1, len(GRAMS) - 1)], spread), STRINGS)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def remove_repeats(docs: DataFrame, block: int = BLOCK, segment: int = SEGMENT, block_runs: int = BLOCK_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``.
 
     Texts count as UTF-8 bytes, null as none; texts under LENGTH bytes lose nothing. The order is that of doc_id. If rows
     share a doc_id or have none they are put in the order of doc_id (null first), then text; each is then a document of
-    its own, so that a repeated row repeats the first. An empty table gives none.
+    its own, so that a repeated row repeats the first. An empty table gives none. Only doc_id and text are read, so
+    further columns can have any name. ``block`` is how many runs a collection has at most, ``segment`` and ``block_runs`` bound
+    what a task cuts at once; none of them changes the result.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     names = None
@@ -305,15 +354,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         ordered = stage(base.orderBy(F.col("doc").asc_nulls_first(), "text").withColumn("at", F.monotonically_increasing_id()), "ordered")
         names, base = ordered.select(F.col("at").alias("doc"), F.col("doc").alias("doc_id")), ordered.select(F.col("at").alias("doc"), "text")
     base = base.filter("doc IS NOT NULL")
-    cut = base.mapInArrow(cut_runs, RUNS)
-    met = stage(cut.repartition("anchor").sortWithinPartitions("anchor", "run", "doc", "place").mapInArrow(meet_runs, MET), "runs")
-    open_runs = met.filter("kind = 1").select("key", "doc", "place")
-    hot = open_runs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_RUNS).select("key", F.lit(True).alias("hot"))
-    by_doc = open_runs.join(hot, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
-    fetched = base.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(fetch_windows, WINDOWED)
-    windows = fetched.repartition("key").sortWithinPartitions("key", "kind", "check", "doc", "place").mapInArrow(meet_windows, FOUND)
-    found = met.filter("kind = 0").select("doc", "place").unionByName(windows)
-    places = found.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    places = repeated_windows(base, block, segment, block_runs).groupBy("doc").agg(F.collect_list(F.expr("start * 65536 + count")).alias("places"))
     out = base.join(places, "doc", "left").select("doc", "text", "places").mapInArrow(report, REPORT)
     if names is not None:
         return out.join(names, "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
