@@ -104,3 +104,67 @@ def test_parts_layout_and_replaced_words(spark):
         assert len(place) >= 50 and distance_inside(place, named[x["item_id"]]) <= x["edits"] + 1
     kept = {x["doc_id"] for x in decontam.clean(table, bench, passages=decontam.Passages()).collect()}
     assert kept == {d for d, (_, want) in docs.items() if not want}
+
+
+def test_short_items_are_found(spark):
+    """Items too short for the bound with q = 10 keep their edits, those of fewer characters than q are found as they are."""
+    r = random.Random(21)
+    items = [(i, "".join(r.choices("abcdefgh", k=k))) for i, k in enumerate((3, 7, 9, 10, 12, 17, 18, 19, 20, 33, 34, 40))]
+    docs = []
+    for d in range(120):
+        noise = ["".join(r.choices("abcdefgh", k=r.randrange(0, 50))) for _ in range(2)]
+        docs.append((d, noise[0] + edited(r, r.choice(items)[1], r.randrange(0, 3)) + noise[1]))
+    want = {(d, i): e for d, text in docs for i, t in items if (e := distance_inside(t, text)) <= int(0.06 * len(t))}
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.contaminated(table, bench).collect()
+    assert {(x["doc_id"], x["item_id"]): x["edits"] for x in out} == want and len(out) == len(want)
+    assert {i for _, i in want} == {i for i, _ in items}
+
+
+def test_alignment_in_a_band_against_full_rows():
+    r = random.Random(22)
+    for _ in range(300):
+        text, e = "".join(r.choices("abc", k=r.randrange(20, 90))), r.randrange(0, 7)
+        at = r.randrange(0, len(text) - 15)
+        item = edited(r, text[at : at + r.randrange(12, 40)], r.randrange(0, e + 2))
+        item_points, points = decontam.normal_points(item), decontam.normal_points(text)
+        whole = distance_inside(item, text)
+        full = decontam.align(item_points, points, e, -len(item), len(text))
+        assert (full is None) == (whole > e) and (full is None or full[0] == whole)
+        band = decontam.align(item_points, points, e, at - e, at + e)
+        assert band is None or band[0] >= whole
+        if whole <= e:
+            edits, start, end = decontam.occurrence(item_points, points, e, -len(item), len(text))
+            assert edits == whole == distance_inside(item, text[start:end])
+
+
+def test_texts_and_items_that_repeat_themselves():
+    """A megabyte of blanks, of one letter and of two in turn, against items that hold the same."""
+    import time
+
+    items = [(1, "x" + " " * 200 + "y"), (2, "=" * 150 + " end of the table"), (3, "ab" * 90 + "c"), (4, "question " * 20)]
+    block = decontam.build_block(items, 10, 0.06, decontam.Passages())
+    texts = [" " * 1_000_000, "=" * 700_000 + " end of the table" + "=" * 400_000, "ab" * 500_000, " " * 400_000 + "x" + " " * 200 + "y" + " " * 400_000, "question " * 20_000]
+    began = time.time()
+    found = {(t, i): (s, e, d) for t, i, s, e, d in decontam.hits(block, texts)}
+    assert time.time() - began < 120
+    assert found[1, 1][:2] == (700_000 - 150, 700_000 + 17) and found[3, 0] == (400_000, 400_202, 0)
+    assert found[2, 2][2] == 1 and found[4, 3] == (0, 180, 0)
+    assert (0, 0) in found  # the blanks alone are no more than two edits away
+    assert (0, 3) not in found and (2, 1) not in found
+
+
+def test_items_longer_than_a_million():
+    """Diagonals of very long items don't run into those of others; texts are cut into parts that overlap."""
+    r = random.Random(23)
+    long = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=1_300_000))
+    short = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=200))
+    block = decontam.build_block([(1, long), (2, short)], 10, 0.0001, None)
+    found = {(t, i): (s, e, d) for t, i, s, e, d in decontam.hits(block, ["zz" * 300_000 + long + short, short])}
+    assert found == {(0, 0): (600_000, 1_900_000, 0), (0, 1): (1_900_000, 1_900_200, 0), (1, 1): (0, 200, 0)}
+
+
+def test_column_names_in_other_case(spark):
+    docs = spark.createDataFrame([(1, "which of these rivers is the longest in the world", 3), (2, "other", 4)], "doc_id long, Text string, item_id long")
+    items = spark.createDataFrame([(1, "which of these rivers is the longest in the world")], "item_id long, text string")
+    assert [tuple(x) for x in decontam.clean(docs, items).collect()] == [(2, "other", 4)]

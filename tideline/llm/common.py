@@ -85,6 +85,11 @@ def deal(df: DataFrame, key: str, pieces: dict[int, int], by: str | None) -> Dat
     return df.withColumn("piece", piece).drop("pieces")
 
 
+def column_at(df: DataFrame, name: str) -> int:
+    """Where the column stands; case doesn't count, as in Spark."""
+    return [c.lower() for c in df.columns].index(name)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column, without copying rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,7 +2,9 @@
 
 An item of m characters that stands in a text with at most e edits shares at least m - q + 1 - q e of its q-grams with
 it, on diagonals (text position - item position) no more than e apart. Q-gram hits are counted in bands of 2 (e + 1)
-diagonals that overlap by half, so one band holds all of them; bands that reach the bound are aligned.
+diagonals that overlap by half, so one band holds all of them; bands that reach the bound are aligned, on their own
+diagonals and e more on either side. Items too short for the bound have a shorter q, those of fewer than q characters are one
+q-gram each.
 
 Documents that hold a part of an item, an item laid out otherwise or with words replaced are found by the same search
 for overlapping passages of the items (Passages), over texts whose runs of white space are collapsed.
@@ -19,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, random_table
+from .common import column_at, mix, random_table, stage
 
 TABLE = random_table(1 << 16, 5)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MAP_BITS = 22
+STOP = np.array([0xFFFFFFFF], np.uint32)
 SLICE_CHARS = 1 << 19
+#: Postings that are counted at once.
+PIECE = 1 << 22
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
 WHITE = np.array([9, 10, 11, 12, 13], np.uint32)
 #: Further white space of Unicode, for passages only.
@@ -101,8 +106,11 @@ class Index:
     bits: np.ndarray
 
 
-def build_index(items: list[tuple[int, str]], q: int, edit_rate: float) -> Index:
-    return index_points([i for i, _ in items], [normal_points(t) for _, t in items], q, edit_rate)
+def build_index(items: list[tuple[int, str]], q: int, edit_rate: float) -> list[Index]:
+    """Indexes of the items, one for each q that they need: the largest up to ``q`` that leaves the lemma a bound of one."""
+    points = [(i, normal_points(t)) for i, t in items]
+    own = [min(q, len(p) // (int(edit_rate * len(p)) + 1)) for _, p in points]
+    return [index_points([i for (i, _), k in zip(points, own, strict=True) if k == n], [p for (_, p), k in zip(points, own, strict=True) if k == n], n, edit_rate) for n in sorted({k for k in own if k})]
 
 
 def passage_index(items: list[tuple[int, str]], passages: Passages) -> Index:
@@ -120,10 +128,9 @@ def passage_index(items: list[tuple[int, str]], passages: Passages) -> Index:
 
 def index_points(ids: list[int], points: list[np.ndarray], q: int, edit_rate: float, shared: int = 0) -> Index:
     size = np.array([len(p) for p in points], np.int64)
-    # the bound must stay above zero, else every text would have to be aligned
     budget = (edit_rate * size).astype(np.int64)
-    sure = np.maximum(0, np.minimum(budget, (size - q - max(shared - 1, 0)) // q))
-    budget = budget if shared else sure
+    # with ``shared`` the bound is that of fewer edits than may be aligned
+    sure = np.maximum(0, np.minimum(budget, (size - q - max(shared - 1, 0)) // q)) if shared else budget
     hashes = [grams(p, q) for p in points]
     key = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
@@ -135,39 +142,97 @@ def index_points(ids: list[int], points: list[np.ndarray], q: int, edit_rate: fl
     return Index(q, ids, points, budget, size - q + 1 - q * sure, keys, np.append(begin, len(key)), item[order], at[order], bits)
 
 
-def align(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int] | None:
-    """Least edits of the whole item against any part of the region, and where that part ends first; None over budget."""
-    n = len(region)
-    row, step = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    for k, c in enumerate(item):
-        new = np.minimum(row[1:] + 1, row[:-1] + (region != c))
-        row = np.concatenate([[k + 1], new])
-        row = np.minimum.accumulate(row - step) + step
-    end = int(np.argmin(row))
-    return (int(row[end]), end) if row[end] <= budget else None
-
+def align(item: np.ndarray, region: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int] | None:
+    """Least edits of the whole item against any part of the region, and where that part ends first; None over budget.
 
-def occurrence(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the item's best place in the region."""
-    exact = region.tobytes().find(item.tobytes())
+    Only cells on the diagonals (region position - item position) from ``low`` to ``high`` are filled. Cells outside the
+    region stand for characters that match nothing, so that they cost what leaving out the item's character costs.
+    """
+    n, width = len(region), high - low + 1
+    step = np.arange(width)
+    before, behind = max(0, -low), max(0, len(item) + high + 1 - n)
+    padded = np.concatenate([np.full(before, 0xFFFFFFFF, np.uint32), region, np.full(behind, 0xFFFFFFFF, np.uint32)])
+    row = np.zeros(width, np.int64)
+    for k, c in enumerate(item):
+        at = k + low + before
+        new = row + (padded[at : at + width] != c)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        row = np.minimum.accumulate(new - step) + step
+    best = int(np.argmin(row))
+    return (int(row[best]), min(max(len(item) + low + best, 0), n)) if row[best] <= budget else None
+
+
+def occurrence(item: np.ndarray, region: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the item's best place in the region, on diagonals from ``low`` to ``high``."""
+    text, pattern = region.tobytes(), item.tobytes()
+    exact = text.find(pattern)
     while exact >= 0 and exact % 4:
-        exact = region.tobytes().find(item.tobytes(), exact + 1)
+        exact = text.find(pattern, exact + 1)
     if exact >= 0:
         return 0, exact // 4, exact // 4 + len(item)
-    found = align(item, region, budget)
+    found = align(item, region, budget, low, high) if budget else None
     if not found:
         return None
     edits, end = found
-    back = align(item[::-1], region[:end][::-1], budget)
-    return edits, end - back[1], end
+    back = align(item[::-1], region[:end][::-1], budget, end - len(item) - high, end - len(item) - low)
+    return (edits, end - back[1], end) if back else None
+
 
+def shortened(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The points with ``most`` of each longer run of one character, half from either end, and where each stood.
 
-def search(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits): each item's best place in each text that holds it within its budget."""
+    What ``most`` / 2 characters can hold stands in the shortened text exactly where it stands in the whole one.
+    """
+    if len(points) <= most:
+        return points, None
+    first = np.flatnonzero(np.append(True, points[1:] != points[:-1]))
+    size = np.diff(np.append(first, len(points)))
+    if size.max() <= most:
+        return points, None
+    keep = np.ones(len(points), bool)
+    for a, n in zip(first[size > most].tolist(), size[size > most].tolist(), strict=True):
+        keep[a + most // 2 : a + n - (most - most // 2)] = False
+    keep = np.flatnonzero(keep)
+    return points[keep], keep
+
+
+def full_bands(hit: np.ndarray, place: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, int]:
+    """(item, band) of the bands that reach their item's bound, in order, and what was added to the diagonals.
+
+    Postings of the hits are counted in pieces, so that memory depends on the bands and not on how often q-grams repeat.
+    """
+    shift = max((len(p) for p in index.points), default=0) + 1
+    span = np.int64(1) << 40
+    ends = np.cumsum(index.begin[place + 1] - index.begin[place])
+    keys, counts, lo = [], [], 0
+    while lo < len(hit):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, "right")))
+        h, p = hit[lo:hi], place[lo:hi]
+        many = index.begin[p + 1] - index.begin[p]
+        posting = np.repeat(index.begin[p] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        item = index.item[posting]
+        band = (np.repeat(h, many) - index.at[posting] + shift) // (index.budget[item] + 1)
+        k, c = np.unique(np.concatenate([item * span + band, item * span + band - 1]), return_counts=True)
+        keys.append(k)
+        counts.append(c)
+        lo = hi
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(at, np.concatenate(counts))
+    item, band = key // span, key % span
+    enough = count >= index.least[item]
+    return item[enough], band[enough], shift
+
+
+Part = tuple[int, int, np.ndarray]  # row, where the points begin in its text, points
+Best = dict[tuple[int, int], tuple[int, int, int]]  # (row, item): (edits, start, end)
+
+
+def search(parts: list[Part], index: Index, best: Best) -> None:
+    """Put each item's best place in each part that holds it within its budget into ``best``."""
     q = index.q
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts = ends - [len(t) + 1 for t in texts]
-    joined = np.concatenate([np.append(t, np.uint32(0xFFFFFFFF)) for t in texts])
+    ends = np.cumsum([len(t) + 1 for *_, t in parts])
+    starts = ends - [len(t) + 1 for *_, t in parts]
+    joined = np.concatenate([x for *_, t in parts for x in (t, STOP)])
     h = grams(joined, q)
     hit = np.flatnonzero(index.bits[h >> np.uint64(64 - MAP_BITS)])
     place = np.searchsorted(index.keys, h[hit])
@@ -175,126 +240,163 @@ def search(texts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, i
     same = index.keys[place] == h[hit] if len(index.keys) else np.zeros(len(hit), bool)
     hit, place = hit[same], place[same]
     if not len(hit):
-        return []
-    many = index.begin[place + 1] - index.begin[place]
-    posting = np.repeat(index.begin[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    item, at = index.item[posting], index.at[posting]
-    diagonal = np.repeat(hit, many) - at + (1 << 20)
-    width = index.budget[item] + 1
-    band = diagonal // width
-    span = np.int64(1) << 40
-    both = np.concatenate([item * span + band, item * span + band - 1])
-    keys, counts = np.unique(both, return_counts=True)
-    item, band = keys // span, keys % span
-    enough = counts >= index.least[item]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        return
+    item, band, shift = full_bands(hit, place, index)
     # neighbouring bands of an item share most of their text and are aligned as one
-    item, band = item[enough], band[enough]
     new = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(band) > 2))) if len(item) else np.empty(0, np.int64)
     final = np.append(new[1:], len(item))[: len(new)] - 1
     for i, b, c in zip(item[new].tolist(), band[new].tolist(), band[final].tolist(), strict=True):
-        w, e = int(index.budget[i]) + 1, int(index.budget[i])
-        lo = b * w - (1 << 20) - e
-        hi = (c + 2) * w - (1 << 20) + len(index.points[i]) + e
-        first = max(0, int(np.searchsorted(ends, max(lo, 0), "right")))
-        for row in range(first, min(len(texts), int(np.searchsorted(starts, hi, "left")))):
-            left, right = max(lo, starts[row]) - starts[row], min(hi, ends[row] - 1) - starts[row]
-            if right - left < len(index.points[i]) - e:
+        e, m = int(index.budget[i]), len(index.points[i])
+        low, high = b * (e + 1) - shift - e, (c + 2) * (e + 1) - 1 - shift + e
+        first = max(0, int(np.searchsorted(ends, max(low, 0), "right")))
+        for k in range(first, min(len(parts), int(np.searchsorted(starts, high + m + 1, "left")))):
+            row, begin, points = parts[k]
+            left, right = max(low, int(starts[k])), min(high + m + 1, int(ends[k]) - 1)
+            if right - left < m - e:
                 continue
-            found = occurrence(index.points[i], texts[row][left:right], e)
+            found = occurrence(index.points[i], points[left - starts[k] : right - starts[k]], e, low - left, high - left)
             if found:
-                new = (found[0], int(left) + found[1], int(left) + found[2])
-                best[row, i] = min(best.get((row, i), new), new)
-    return [(row, i, s, e, d) for (row, i), (d, s, e) in best.items()]
+                at = begin + left - int(starts[k])
+                new_place = (found[0], at + found[1], at + found[2])
+                best[row, i] = min(best.get((row, i), new_place), new_place)
+
+
+def parts_of(texts: list[np.ndarray], reach: int) -> Iterator[list[Part]]:
+    """The texts in groups of about SLICE_CHARS; a longer text is several parts that overlap by ``reach``."""
+    held, size, most = [], 0, max(SLICE_CHARS, 2 * reach)
+    for row, points in enumerate(texts):
+        for begin in range(0, max(1, len(points) - reach), most - reach):
+            part = points[begin : begin + most]
+            if held and size + len(part) > SLICE_CHARS:
+                yield held
+                held, size = [], 0
+            held.append((row, begin, part))
+            size += len(part)
+    if held:
+        yield held
+
+
+def search_all(texts: list[np.ndarray], index: Index) -> Best:
+    """(row, item): (edits, start, end) of each item's best place, the first of several, in each text that holds it."""
+    best: Best = {}
+    if not len(index.keys):
+        return best
+    reach = max(len(p) for p in index.points) + int(index.budget.max()) + 1
+    short = [shortened(t, 2 * (reach + index.q)) for t in texts]
+    for parts in parts_of([t for t, _ in short], reach):
+        search(parts, index, best)
+    for (row, i), (edits, start, end) in best.items():
+        keep = short[row][1]
+        if keep is not None:
+            best[row, i] = (edits, int(keep[start]), int(keep[end - 1]) + 1)
+    return best
 
 
 @dataclass
 class Block:
-    """A block's index of whole items and, with passages, that of theirs."""
+    """A block's indexes of whole items and, with passages, that of theirs; ``items`` has the items' ids for the latter."""
 
-    whole: Index
+    items: list[int]
+    whole: list[Index]
     parts: Index | None
 
 
 def build_block(items: list[tuple[int, str]], q: int, edit_rate: float, passages: Passages | None) -> Block:
-    return Block(build_index(items, q, edit_rate), passage_index(items, passages) if passages else None)
+    # items are known by their number in the block, as ids may repeat
+    return Block([i for i, _ in items], build_index(list(enumerate(t for _, t in items)), q, edit_rate), passage_index(items, passages) if passages else None)
 
 
-def indexes(benchmark: DataFrame, q: int, edit_rate: float, block_chars: int, passages: Passages | None) -> Iterator[Block]:
-    """Indexes of the benchmark's blocks; the driver holds one block at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= q)
-    block, size = [], 0
+def blocks(benchmark: DataFrame, q: int, edit_rate: float, block_chars: int, passages: Passages | None, least_chars: int) -> Iterator[tuple[Block, bool]]:
+    """The benchmark's blocks, each with whether it is the only one; the driver holds two blocks' items at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") >= max(1, least_chars))
+    block, size, ready, made = [], 0, None, 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
         if block and size + len(row["text"]) > block_chars:
-            yield build_block(block, q, edit_rate, passages)
-            block, size = [], 0
+            if ready:
+                made += 1
+                yield build_block(ready, q, edit_rate, passages), False
+            ready, block, size = block, [], 0
         block.append((row["item_id"], row["text"]))
         size += len(row["text"])
-    if block:
-        yield build_block(block, q, edit_rate, passages)
+    for items_of in (ready, block):
+        if items_of:
+            yield build_block(items_of, q, edit_rate, passages), not made and not ready
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000, passages: Passages | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000, passages: Passages | None = None, least_chars: int = 1) -> DataFrame:
     """Pairs (doc_id, item_id) with the item's best place in the text: start, end (code points, end exclusive), edits.
 
-    Case and kind of white space don't count. An item may be off by ``edit_rate`` of its characters, rounded down, and
-    by no more than leaves the lemma a bound of one q-gram. Items of fewer than q characters, null and empty ones are no
-    evidence and match nothing; null and empty texts hold nothing. Items that repeat are items each; rows that repeat
-    give a pair each, and a null doc_id or item_id stays null. Either table empty gives none.
+    Case and kind of white space don't count. An item may be off by ``edit_rate`` of its characters, rounded down. Items
+    of fewer than ``least_chars`` characters, null and empty ones match nothing; null and empty texts hold nothing. Items
+    that repeat are items each; rows that repeat give a pair each, and a null doc_id or item_id stays null. Either table
+    empty gives none. Only doc_id, item_id and text are read, so further columns can have any name.
 
     With ``passages`` a text that doesn't hold the item, but a passage of it, counts, too: its best passage's place and
     edits. There the number of white-space characters doesn't count either.
 
     The benchmark is read in blocks of at most ``block_chars`` characters (a longer item is a block by itself), so the
-    broadcast index has a fixed bound; each block is one pass over the documents, without a shuffle.
+    broadcast index has a fixed bound; each block is one pass over the documents, without a shuffle. With several blocks
+    each pass is written before the next begins, and its broadcast is given up.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = [texts.mapInArrow(searcher(spark.sparkContext.broadcast(x)), SCHEMA) for x in indexes(benchmark, q, edit_rate, block_chars, passages)]
-    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], SCHEMA)
+    found = []
+    for block, only in blocks(benchmark, q, edit_rate, block_chars, passages, least_chars):
+        shared = spark.sparkContext.broadcast(block)
+        pairs = texts.mapInArrow(searcher(shared), SCHEMA)
+        if not only:
+            pairs = stage(pairs, "contaminated")
+            shared.unpersist()
+        found.append(pairs)
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
 def hits(block: Block, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-    """search() over slices of the texts; passages for the pairs that it doesn't find."""
-    held, size = [], 0
+    """(text, item, start, end, edits): whole items, and passages for the pairs that have none. Items by number in the block."""
+    held, size, first = [], 0, 0
     for k, text in enumerate(texts):
         held.append(normal_points(text or ""))
         size += len(held[-1])
         if size > SLICE_CHARS or k == len(texts) - 1:
-            found = {(row, i): rest for row, i, *rest in search(held, block.whole)}
-            if block.parts and len(block.parts.keys):
-                for pair, rest in passage_hits(held, block.parts).items():
-                    found.setdefault(pair, rest)
-            for (row, i), rest in found.items():
-                yield (k + 1 - len(held) + row, i, *rest)
-            held, size = [], 0
+            found = {(row, index.ids[i]): place for index in block.whole for (row, i), place in search_all(held, index).items()}
+            if block.parts:
+                for pair, place in passage_hits(held, block.parts).items():
+                    found.setdefault(pair, place)
+            for (row, i), (edits, start, end) in found.items():
+                yield first + row, i, start, end, edits
+            held, size, first = [], 0, k + 1
 
 
-def passage_hits(texts: list[np.ndarray], parts: Index) -> dict[tuple[int, int], list[int]]:
-    """(row, item): start, end and edits of the item's passage with the fewest edits, the first of several."""
+def passage_hits(texts: list[np.ndarray], parts: Index) -> Best:
+    """(row, item): the item's passage with the fewest edits, the first of several."""
     tidy = [collapsed(t) for t in texts]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for row, part, start, end, edits in search([t for t, _ in tidy], parts):
+    best: Best = {}
+    for (row, part), (edits, start, end) in search_all([t for t, _ in tidy], parts).items():
         at, pair = tidy[row][1], (row, parts.ids[part])
         new = (edits, int(at[start]), int(at[end - 1]) + 1)
         best[pair] = min(best.get(pair, new), new)
-    return {pair: [start, end, edits] for pair, (edits, start, end) in best.items()}
+    return best
 
 
 def searcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, index = batch.column(0).to_pylist(), shared.value
-            rows = [(ids[r], index.whole.ids[i], s, e, d) for r, i, s, e, d in hits(index, batch.column(1).to_pylist())]
+            ids, block = batch.column(0).to_pylist(), shared.value
+            rows = [(ids[r], block.items[i], s, e, d) for r, i, s, e, d in hits(block, batch.column(1).to_pylist())]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000, passages: Passages | None = None) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item or passage, as contaminated() says; a pass for each block, no shuffle."""
-    at = docs.columns.index("text")
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float = 0.06, block_chars: int = 4_000_000, passages: Passages | None = None, least_chars: int = 10) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item or passage, as contaminated() says; a pass for each block, no shuffle.
+
+    Items of fewer than ``least_chars`` characters are no evidence: a word that is an item doesn't drop every text that
+    uses it. Null and empty texts stay, repeated rows are held each, further columns can have any name, and an empty
+    benchmark drops nothing.
+    """
+    at = column_at(docs, "text")
 
     def dropper(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +407,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, edit_rate: float =
 
         return run
 
-    for index in indexes(benchmark, q, edit_rate, block_chars, passages):
-        docs = docs.mapInArrow(dropper(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    for block, only in blocks(benchmark, q, edit_rate, block_chars, passages, least_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(dropper(shared), docs.schema)
+        if not only:
+            docs = stage(docs, "clean")
+            shared.unpersist()
     return docs
