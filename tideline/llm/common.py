@@ -66,19 +66,19 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str = "n", size
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def hot_keys(df: DataFrame, key: str) -> dict[int, int]:
-    """Into how many pieces to deal each hot key's rows. Fewer than HOT_KEYS entries, the keys are long."""
+def hot_keys(df: DataFrame, key: str) -> dict:
+    """Into how many pieces to deal each hot key's rows. Fewer than HOT_KEYS entries."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
     rows, most = counts.agg(F.sum("n"), F.max("n")).first()
     bound = hot_bound(rows or 0)
     return {r[0]: -(-r[1] // bound) for r in counts.filter(F.col("n") > bound).collect()} if (most or 0) > bound else {}
 
 
-def deal(df: DataFrame, key: str, pieces: dict[int, int], by: str | None) -> DataFrame:
+def deal(df: DataFrame, key: str, pieces: dict, by: str | None) -> DataFrame:
     """``df`` with ``piece``: rows of a hot key are dealt over its pieces by a hash of ``by``, or, without ``by``, copied to each."""
     if not pieces:
         return df.withColumn("piece", F.lit(0))
-    known = df.sparkSession.createDataFrame(list(pieces.items()), f"`{key}` long, pieces int")
+    known = df.sparkSession.createDataFrame(list(pieces.items()), f"`{key}` {df.schema[key].dataType.simpleString()}, pieces int")
     df = df.join(F.broadcast(known), key, "left")
     many = F.coalesce("pieces", F.lit(1))
     piece = F.pmod(F.xxhash64(by), many).cast("int") if by else F.explode(F.sequence(F.lit(0), many - 1))

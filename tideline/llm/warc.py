@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_root
+from .common import checkpoint_root, deal, hot_keys, join_hot, stage
 
 #: Digits of base 32 as conv() writes them, and the alphabet of RFC 4648.
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -23,6 +23,11 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), CONV_DIGITS, BASE32)
 
 
+def one_line(url: Column) -> Column:
+    """Line ends as URIs write them, since a field is one line."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def header(record_type: Column) -> Column:
     """The record's header block: named fields, CRLF line ends, an empty line. A revisit has no payload of its own."""
     revisit = record_type == "revisit"
@@ -31,7 +36,7 @@ def header(record_type: Column) -> Column:
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", record_type),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(">"))),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " "))).otherwise(F.lit("")),
+        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", one_line(F.col("url")))).otherwise(F.lit("")),
         line("WARC-Date", F.lit(WARC_DATE)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1_b32"))),
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">")))).otherwise(F.lit("")),
@@ -55,35 +60,39 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
     page.groupBy("digest").agg(F.first("payload").alias("payload")).write.mode("overwrite").parquet(f"{path}/payloads")
-    keyed = page.select("page_id", "url", "digest", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1_b32"))
-    first = page.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    keyed = stage(page.select("page_id", "url", "digest", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1_b32")), "pages")
+    first = keyed.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     own = (F.col("page_id") == F.col("first_id")) | F.col("page_id").isNull() | (F.col("payload_bytes") < min_revisit_bytes)
-    typed = keyed.join(first, "digest").withColumn("record_type", F.when(own, "response").otherwise("revisit"))
+    typed = join_hot(keyed, first, "digest").withColumn("record_type", F.when(own, "response").otherwise("revisit"))
     typed.select("page_id", "digest", header(F.col("record_type")).alias("header")).write.mode("overwrite").parquet(f"{path}/headers")
 
 
-def verified_payloads(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """The stored payloads with length and SHA-1, each checked against the digest that it is stored under."""
+def verified_payloads(spark, path: str) -> DataFrame:
+    """The stored payloads, each checked against the digest that it is stored under."""
     stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    checked = stored.withColumn("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), "digest"))))
-    return checked.select("digest", *(["payload"] if with_payload else []), F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    return stored.withColumn("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), "digest"))))
 
 
 def read_headers(spark, path: str) -> DataFrame:
-    """The records' headers, parsed: page_id, record_type, refers_to, digest."""
+    """The records' headers, parsed: page_id, record_type, refers_to, stated_digest, stated_bytes, digest, header."""
     raw = spark.read.schema("page_id long, digest string, header string").parquet(f"{path}/headers")
     field = lambda name, kind: F.regexp_extract("header", rf"\r\n{name}: {kind}\r\n", 1)
     return raw.select(
         F.expr(r"try_cast(nullif(regexp_extract(header, '\r\nWARC-Record-ID: <urn:page:([0-9-]+)>\r\n', 1), '') AS BIGINT)").alias("page_id"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         F.expr(r"try_cast(nullif(regexp_extract(header, '\r\nWARC-Refers-To: <urn:page:([0-9-]+)>\r\n', 1), '') AS BIGINT)").alias("refers_to"),
-        "digest", "header",
+        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("stated_digest"), field("Content-Length", "([0-9]+)").cast("long").alias("stated_bytes"), "digest", "header",
     )
 
 
 def reconstruct(spark, path: str) -> DataFrame:
-    """Every original record: header bytes, full payload (a revisit's too) and record bytes as a WARC file holds them."""
-    full = read_headers(spark, path).join(verified_payloads(spark, path), "digest")
+    """Every original record: header fields, full payload (a revisit's too) and record bytes as a WARC file holds them.
+
+    The records of a very frequent payload are dealt over pieces, each with a copy of it.
+    """
+    headers = read_headers(spark, path)
+    hot = hot_keys(headers, "digest")
+    full = deal(headers, "digest", hot, "header").join(deal(verified_payloads(spark, path), "digest", hot, None), ["digest", "piece"]).drop("piece")
     own = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return full.withColumn("record", F.concat(F.encode("header", "UTF-8"), own, F.lit(END.encode())))
 
@@ -95,12 +104,18 @@ def export_warc(spark, path: str, target: str) -> None:
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Archive the pages in the shared folder, read the archive back, and say what each record is.
+    """Archive the pages in the shared folder, rebuild every record from what is stored, and say what it is.
 
-    Payload length and digest come from the stored bytes, joined by digest, so every page's are of its full payload.
+    Payload length and digest are those of the rebuilt payload: a response's is cut out of its record's bytes, a revisit's
+    comes from the store. A record that doesn't hold what its header states is an error. Nulls, repeated rows and empty
+    tables: see write_archive(). Only page_id, url and html are read, so further columns can have any name.
     """
     spark = pages.sparkSession
     path = f"{checkpoint_root(spark)}/tideline/archive-{uuid.uuid4().hex}"
     write_archive(pages, path, min_revisit_bytes)
-    back = read_headers(spark, path).join(verified_payloads(spark, path, False), "digest")
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    body = F.expr("substring(record, length(encode(header, 'UTF-8')) + 1, length(record) - length(encode(header, 'UTF-8')) - 4)")
+    back = reconstruct(spark, path).withColumn("body", body)
+    back = back.withColumn("whole", F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("body"))).withColumn("payload_digest", base32_sha1(F.col("whole")))
+    sound = (F.length("body") == F.col("stated_bytes")) & (F.col("payload_digest") == F.col("stated_digest"))
+    digest = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record differs from its header "), "header")))
+    return back.select("page_id", F.length("whole").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
