@@ -9,6 +9,28 @@ from tideline.llm import fingerprints
 from tideline.llm.queries import op9_fingerprints
 
 
+def slow_chunks(raw):
+    """{digest: length}, byte by byte: no code of the library but its fixed numbers."""
+    low, usual, high = fingerprints.MIN_SIZE, fingerprints.NORMAL_SIZE, fingerprints.MAX_SIZE
+    h, start, out, states = 0, 0, {}, []
+    for b in raw:
+        h = (2 * h + int(fingerprints.GEAR[b])) % 2**32
+        states.append(h)
+    for end in range(1, len(raw) + 1):
+        size, state = end - start, states[end - 1]
+        bits = fingerprints.STRICT_BITS if size < usual else fingerprints.LOOSE_BITS
+        if (size >= low and state >> (32 - bits) == 0) or size == high or end == len(raw):
+            out[hashlib.blake2b(raw[start:end], digest_size=16).hexdigest()] = size
+            start = end
+    return out
+
+
+def slow_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    return sum(n for d, n in a.items() if d in b) / min(sum(a.values()), sum(b.values()))
+
+
 def brute(rows):
     rows = sorted(rows)
     out = {}
@@ -16,8 +38,9 @@ def brute(rows):
         t, n = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + n[:half]
-        a, b, c = (fingerprints.chunk_set(x.encode()) for x in (t, edited, n))
-        out[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.serialise(a), fingerprints.serialise(b), fingerprints.likeness(a, b), fingerprints.likeness(a, c))
+        a, b, c = (slow_chunks(x.encode()) for x in (t, edited, n))
+        text = lambda x: ",".join(f"{d}:{n}" for d, n in sorted(x.items()))
+        out[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), slow_likeness(a, b), slow_likeness(a, c))
     return out
 
 
@@ -65,3 +88,13 @@ def test_gear_hash_and_sizes():
     assert fingerprints.gear_hash(data).tolist() == want
     sizes = np.diff(np.append(0, fingerprints.cut_points(data)))
     assert sizes.sum() == 3000 and sizes.max() <= fingerprints.MAX_SIZE and sizes[:-1].min() >= fingerprints.MIN_SIZE
+
+
+def test_many_ranges_and_rows_without_id(spark):
+    r = random.Random(8)
+    rows = [(d * 3, "".join(r.choices("abcdef ", k=r.randrange(0, 400)))) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(fingerprints.fingerprint_pairs(docs, range_bytes=1000)) == brute(rows)
+    lost = [(None, f"text without id {i} " * 9) for i in range(300)]
+    out = fingerprints.fingerprint_pairs(spark.createDataFrame(lost + rows, "doc_id long, text string"), range_bytes=1000).collect()
+    assert len(out) == 500 and {x["doc_id"]: tuple(x)[1:] for x in out if x["doc_id"] not in (None, 597)} == {d: x for d, x in brute(rows).items() if d != 597}

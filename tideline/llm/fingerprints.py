@@ -3,7 +3,8 @@
 A gear hash runs over a text's UTF-8 bytes; a chunk ends where its masked value is zero, with a stricter mask before
 the normal size and a looser one after it (normalised chunking). Boundaries depend on the 32 bytes before them alone,
 so an edit moves the chunks around it and no others. A text's fingerprint is the set of its chunks' digests with their
-lengths; likeness is the share of the shorter set's length whose chunks the other holds.
+lengths; digests are 128 bits of BLAKE2b, so that different chunks don't share one. Likeness is the share of the shorter
+set's length whose chunks the other holds.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, random_table, span_hash
+from .common import random_table
 
 GEAR = (random_table(256, 9) >> np.uint64(32)).astype(np.uint32)
 MIN_SIZE, NORMAL_SIZE, MAX_SIZE = 32, 128, 512
@@ -60,59 +61,68 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def chunk_set(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different chunk digests and their chunks' lengths."""
-    data = np.frombuffer(raw, np.uint8)
-    ends = cut_points(data)
-    if not len(ends):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    starts = np.concatenate([[0], ends[:-1]])
-    digests, first = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True)
-    return digests, (ends - starts)[first]
+Chunks = dict[bytes, int]
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def chunk_set(raw: bytes) -> Chunks:
+    """The different chunks' digests, with their lengths."""
+    ends = cut_points(np.frombuffer(raw, np.uint8)).tolist()
+    return {hashlib.blake2b(raw[s:e], digest_size=16).digest(): e - s for s, e in zip([0, *ends[:-1]], ends, strict=True)} if ends else {}
+
+
+def likeness(a: Chunks, b: Chunks) -> float:
     """Length of the common chunks over the length of the smaller set; 1 for two empty texts, 0 for one."""
-    least = min(a[1].sum(), b[1].sum())
-    if least == 0:
-        return float(a[1].sum() == b[1].sum())
-    return float(a[1][np.isin(a[0], b[0], assume_unique=True)].sum() / least)
+    size_a, size_b = sum(a.values()), sum(b.values())
+    if not size_a or not size_b:
+        return float(size_a == size_b)
+    return sum(a[d] for d in a.keys() & b.keys()) / min(size_a, size_b)
 
 
-def serialise(chunks: tuple[np.ndarray, np.ndarray]) -> str:
-    return ",".join(f"{d:016x}:{n}" for d, n in zip(chunks[0].tolist(), chunks[1].tolist(), strict=True))
+def serialise(chunks: Chunks) -> str:
+    return ",".join(f"{d.hex()}:{n}" for d, n in sorted(chunks.items()))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_pairs(docs: DataFrame, docs_per_bucket: int = 500_000) -> DataFrame:
+def fingerprint_pairs(docs: DataFrame, range_bytes: int = 128 << 20) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness and its likeness to the next document.
 
     The edited text's last floor(n_chars / 2) code points are replaced by the first as many of the next document by
-    doc_id (all, if it has fewer); the last document's next is the first. Null text is empty. Rows that share a doc_id
-    follow each other in the order of their texts; rows without doc_id have no place in the order and come first. A
-    table of one row is its own next; an empty table gives none.
-
-    Ids are cut into ranges at approximate quantiles; each range also gets the first document of the range after it,
-    so every document meets its next in one sorted pass that holds two texts at a time. Texts are shuffled once.
+    doc_id (all, if it has fewer); the last document's next is the first. Null text is empty. Rows without doc_id come
+    first, in the order of a hash of their texts; rows that share one, a key as a rule, follow each other in the order of
+    their texts and are one range. A table of one row is its own next; an empty table gives none. Only doc_id and text
+    are read, so further columns can have any name.
+
+    Documents are dealt into ranges of about ``range_bytes``: the ids alone are sorted by Spark's range partitioner, whose
+    parts' first ids are the bounds. Rows without id are cut by their hash. Each range also gets the first document of
+    the range after it, so every document meets its next in one sorted pass that holds two texts at a time. Texts are
+    shuffled once.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = base.count()
-    if n == 0:
+    size = F.octet_length("text").cast("long")
+    rows, total, without = base.agg(F.count("*"), F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size))).first()
+    if rows == 0:
         return spark.createDataFrame([], SCHEMA)
-    parts = max(-(-n // docs_per_bucket), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(base.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="bucket")
-    placed = ranges.transform(base.withColumn("at", key.cast("double"))).drop("at")
-    # one row a range: the ranges' number is that of the partitions, not of the documents
-    firsts = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min(key).alias("first")).collect())
-    before = spark.createDataFrame([(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)], "first long, before double")
-    heads = placed.join(F.broadcast(before), key == F.col("first")).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("extra"))
-    rows = placed.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).unionByName(heads)
-    rows = rows.repartition(len(firsts), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    parts = max(-(-total // range_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the place of rows without id among themselves; without such rows the texts need not be read for it
+    place = F.lit(None).cast("long") if without is None else F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    own = max(1, parts * (without or 0) // max(total, 1))
+    ids = base.filter("doc_id IS NOT NULL").select("doc_id").repartitionByRange(parts, "doc_id")
+    # an id a range: the number of ranges is that of the tasks, not of the documents
+    cuts = sorted({float(r[0]) for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect()})[1:] or [0.0]
+    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range", handleInvalid="keep")
+    placed = base.withColumn("place", place).withColumn("at", F.coalesce("doc_id", F.lit(0)).cast("double"))
+    part = F.when(F.col("doc_id").isNull(), F.floor((F.shiftright("place", 1) / 2.0**63 + 0.5) * own)).otherwise(F.col("range") + own).cast("int")
+    placed = ranges.transform(placed).withColumn("bucket", part).drop("at", "range")
+    least = placed.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "place")).alias("first")).select("bucket", "first.*").collect()
+    firsts = sorted((tuple(r[k] for k in ("bucket", "doc_id", "place")) for r in least), key=lambda x: x[0])
+    before = spark.createDataFrame([(d, p, firsts[k - 1][0]) for k, (_, d, p) in enumerate(firsts)], "doc_id long, place long, before int")
+    heads = placed.join(F.broadcast(before), placed["doc_id"].eqNullSafe(before["doc_id"]) & placed["place"].eqNullSafe(before["place"]))
+    heads = heads.select(placed["doc_id"], placed["place"], "text", F.col("before").alias("bucket"), F.lit(1).alias("extra"))
+    rows = placed.select("doc_id", "place", "text", "bucket", F.lit(0).alias("extra")).unionByName(heads)
+    rows = rows.repartition(len(firsts), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "place", "text").drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
