@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zipfile
 
 import pytest
@@ -78,6 +79,37 @@ def test_prices(spark, tmp_path):
         market.read_price(spark, str(d), "MSFT")
 
 
+def test_prices_of_files_with_other_headers(spark, tmp_path):
+    d = tmp_path / "mixed"
+    d.mkdir()
+    (d / "AAPL.csv").write_text("date,open,high,low,close,adj close,volume\n2020-01-02,1,2,0.5,1.5,1.4,100\n")
+    (d / "MSFT.csv").write_text("\ufeffVolume,Date,Close,Open\r\n7,2020-01-03,9,8\r\n\r\n5,2020-01-04,3,2")
+    got = {(r["ticker"], str(r["date"])): (r["open"], r["close"], r["volume"], r["high"]) for r in market.read_prices(spark, str(d)).collect()}
+    assert got == {("AAPL", "2020-01-02"): (1, 1.5, 100, 2), ("MSFT", "2020-01-03"): (8, 9, 7, None), ("MSFT", "2020-01-04"): (2, 3, 5, None)}
+
+
+@pytest.mark.parametrize("bytes_a_split", [40, 301, 100_000])
+def test_quoted_records_across_splits(spark, tmp_path, bytes_a_split):
+    """Every way of cutting the file gives the rows that one reader in order gives."""
+    r = random.Random(3)
+    rows = []
+    for k in range(60):
+        text = "".join(r.choices(['a', 'b', ' ', ',', '"', "\n", "\r\n", 'word', '""', '",', '\n"'], k=r.randrange(0, 30)))
+        rows.append([f"2023-01-{k % 28 + 1:02d}", text, r.choice(["AAPL", "NA", ""]), r.choice(['in "the" middle', "plain", 'five" wide'])])
+    plain = lambda x: '"' in x[1:] and x[0] != '"' and "," not in x and "\n" not in x  # noqa: E731  # quotes that open nothing
+    quoted = lambda x: x if plain(x) else '"' + x.replace('"', '""') + '"'
+    path = tmp_path / "news.csv"
+    path.write_bytes(("Date,Article_title,Stock_symbol,Article\n" + "".join(",".join([d, '"' + t.replace('"', '""') + '"', s, quoted(a)]) + "\n" for d, t, s, a in rows)).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = [(r["title"], r["ticker"], r["article"]) for r in market.read_news(spark, str(path)).orderBy("news_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(t or None, s or None, a) for _, t, s, a in rows]
+
+
 def test_archive_and_paths(spark, tmp_path):
     root = tmp_path / "root"
     (root / "Stock_price").mkdir(parents=True)

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.sources.delimited import read_records
+
 NEWS_COLUMNS = ("Date", "Article_title", "Stock_symbol", "Url", "Publisher", "Author", "Article")
 NEWS = "news_id long, date timestamp, ticker string, title string, url string, publisher string, author string, article string"
 PRICE_VALUES = ("open", "high", "low", "close", "adj close", "volume")
@@ -63,24 +65,26 @@ def extract_prices(root: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """The named columns as strings, null where a file lacks one. Quotes are doubled, and fields may hold line ends."""
+    """The named columns as strings by each file's own header, null where a file lacks one, with ``_file`` and ``_at``.
+
+    Quotes are doubled, and fields may hold line ends; files are read in splits all the same (see ``delimited``).
+    """
     try:
-        rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+        return read_records(spark, path, columns)
+    except FileNotFoundError as e:
+        raise SourceMissing(path) from e
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        if "PATH_NOT_FOUND" in str(e):
             raise SourceMissing(path) from e
         raise
-    there = {c.strip().lower(): c for c in rows.columns}
-    return rows.select(*[(F.col(f"`{there[c.lower()]}`") if c.lower() in there else F.lit(None).cast("string")).alias(c) for c in columns], F.col("_metadata.file_name").alias("_file"))
 
 
 def read_news(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """The NEWS columns of a news CSV. Symbols such as NA stay strings, empty fields are null, dates that can't be read too.
 
-    ``news_id`` follows the order of files and rows. A file is one task here, because a quoted line end can stand
-    anywhere; read it once, into the cache. ``limit`` takes the first rows.
+    ``news_id`` grows along files and rows, whatever the splits. ``limit`` takes the first rows.
     """
-    raw = read_csv(spark, path, NEWS_COLUMNS).withColumn("news_id", F.monotonically_increasing_id())
+    raw = read_csv(spark, path, NEWS_COLUMNS).withColumnRenamed("_at", "news_id")
     date = F.coalesce(F.try_to_timestamp("Date"), F.try_to_timestamp(F.regexp_replace("Date", " UTC$", "")))
     rows = raw.select("news_id", date.alias("date"), F.col("Stock_symbol").alias("ticker"), F.col("Article_title").alias("title"), F.col("Url").alias("url"), F.col("Publisher").alias("publisher"), F.col("Author").alias("author"), F.col("Article").alias("article"))
     return rows if limit is None else rows.orderBy("news_id").limit(checked(limit))
