@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
@@ -49,3 +50,21 @@ def rows(df) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     tidy = lambda v: None if v is None or pd.isna(v) else f"{v:.7g}" if isinstance(v, float) else str(v)
     return sorted((tuple(tidy(v) for v in r) for r in frame.astype(object).itertuples(index=False, name=None)), key=str)
+
+
+def plain_forward(w, shape, x, text):
+    """(segments after injection, predictions) of one window by loops over positions, channels and kernels."""
+    h = x
+    for i, c_out in enumerate(shape.channels):
+        kernel = w[f"conv{i}.w"].reshape(h.shape[1], shape.kernel, c_out)
+        half = shape.kernel // 2
+        z = np.array([[w[f"conv{i}.b"][o] + sum(h[t + k - half, c] * kernel[c, k, o] for c in range(h.shape[1]) for k in range(shape.kernel) if 0 <= t + k - half < len(h)) for o in range(c_out)] for t in range(len(h))])
+        h = np.maximum(z, 0) / np.sqrt(1 + 1e-5)
+    kernel = w["patch.w"].reshape(h.shape[1], shape.patch_len, shape.d_model)
+    starts = range(0, len(h) - shape.patch_len + 1, shape.patch_stride)
+    seg = np.array([w["patch.b"] + sum(h[s + k, c] * kernel[c, k] for c in range(h.shape[1]) for k in range(shape.patch_len)) for s in starts])
+    d2 = ((seg[:, None] - w["prototypes"]) ** 2).sum(-1)
+    soft = np.exp(-d2) / np.exp(-d2).sum(1, keepdims=True)
+    post = seg + soft @ w["prototypes"] @ w["inject.w"] + w["inject.b"]
+    t = np.maximum(text @ w["text0.w"] + w["text0.b"], 0) @ w["text1.w"] + w["text1.b"]
+    return post, np.maximum(np.concatenate([post.mean(0), t]) @ w["head0.w"] + w["head0.b"], 0) @ w["head1.w"] + w["head1.b"]

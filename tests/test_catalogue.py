@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 import pytest
-from conftest import rows
+from conftest import plain_forward, rows
 
+from tideline.operators import model
 from tideline.plans import catalogue
 
 
@@ -30,3 +34,23 @@ def test_epoch_order_of_every_window(spark, sf_dir):
     got = [tuple(r) for r in catalogue.QUERIES["epoch_order_all"](spark, sf_dir).select("epoch_key", "ticker", "end_idx").collect()]
     train = catalogue.split_windows(spark, sf_dir).filter("split = 'train'").count()
     assert len(got) == train > 50 and got == sorted(got)
+
+
+def test_forward_and_examples_against_plain_loops(spark, sf_dir):
+    """Some windows' predictions, and the examples over the whole bank, by loops over single numbers."""
+    shape, w = catalogue.SHAPE, model.initial_weights(catalogue.SHAPE)
+    source = catalogue.model_rows(spark, sf_dir).select("ticker", "end_idx", "end_date", "split", "x", "text").orderBy("ticker", "end_idx").collect()
+    made = {(r["ticker"], r["end_idx"]): r for r in catalogue.QUERIES["model_forward"](spark, sf_dir).collect()}
+    assert len(made) == len(source)
+    for r in source[:: len(source) // 4]:
+        _, pred = plain_forward(w, shape, np.array(r["x"]), np.array(r["text"]))
+        got = made[r["ticker"], r["end_idx"]]
+        assert abs(pred[0] - got["pred_first"]) < 2e-6 and abs(pred[-1] - got["pred_last"]) < 2e-6
+    bank = [r for r in source if r["split"] == "train"][: 9 * 64]
+    segments = np.concatenate([model.forward(w, shape, np.array([r["x"]]), np.array([r["text"]])).seg_post[0] for r in bank])
+    for r in catalogue.QUERIES["projection_json"](spark, sf_dir).collect():
+        example = json.loads(r["example"])
+        d2 = ((segments - w["prototypes"][r["proto_id"]]) ** 2).sum(1)
+        best = int(d2.argmin())
+        assert (example["window_no"], example["seg_no"]) == divmod(best, 9) and abs(example["distance"] - d2[best]) < 1e-8
+        assert (example["meta"]["ticker"], example["meta"]["end_idx"]) == (bank[best // 9]["ticker"], bank[best // 9]["end_idx"])

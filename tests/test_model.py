@@ -95,3 +95,27 @@ def test_training_stops_early(spark, tmp_path):
     assert len(fit.history) == 2 and fit.best_epoch is None
     with pytest.raises(ValueError):
         model.train(rows.limit(0), rows, SHAPE, str(tmp_path / "u"))
+
+
+def test_training_does_not_depend_on_partitions(spark, tmp_path):
+    rows, made = windows(spark, 100), []
+    for n in (1, 9):
+        made.append(model.train(rows.repartition(n), rows, SHAPE, str(tmp_path / f"p{n}"), epochs=2, batch_size=16, workers=3).weights)
+    assert all(np.allclose(made[0][k], made[1][k], atol=1e-9) for k in made[0])
+
+
+def test_one_worker_is_the_sequential_loop(spark, tmp_path):
+    """A worker's epoch is mini-batches one after the other, in the order of the keys' hashes."""
+    rows = windows(spark, 50)
+    fit = model.train(rows, rows, SHAPE, str(tmp_path / "one"), epochs=1, batch_size=16, workers=1, seed=5, rate=0.01)
+    order = rows.selectExpr("*", "xxhash64(ticker, end_idx, 'order 1 5') AS at").orderBy("at").collect()
+    w, optimiser = model.initial_weights(SHAPE, 5), model.AdamW(0.01, 1e-4, 1.0)
+    for lo in range(0, 50, 16):
+        x, text, y = (np.array([r[c] for r in order[lo : lo + 16]]) for c in ("x", "text", "y"))
+        _, g, out = model.loss_and_gradients(w, SHAPE, x, text, y)
+        optimiser.step(w, g)
+        m = x.shape[0] * x.shape[1]
+        for i in range(len(SHAPE.channels)):
+            w[f"norm{i}.mean"] += 0.1 * (out.kept[i][5] - w[f"norm{i}.mean"])
+            w[f"norm{i}.var"] += 0.1 * (out.kept[i][6] * m / (m - 1) - w[f"norm{i}.var"])
+    assert all(np.allclose(fit.weights[k], w[k]) for k in w)

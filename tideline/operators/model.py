@@ -1,14 +1,14 @@
 """The forecast model: a convolutional segment encoder, prototypes, residual injection and late text fusion, in numpy.
 
-Scoring is a projection over Arrow batches with the weights broadcast. Training is synchronous and data-parallel: the windows
-are written once, dealt into steps by a hash; a step is one Spark job over its own partition directory, in which each
-task runs mini-batches forward and backward and returns one summed gradient. The driver holds weights and gradients only,
-whose size is the model's.
+Scoring is a projection over Arrow batches with the weights broadcast. Training is data-parallel: windows are dealt to
+workers by a hash of their keys; in a round, one Spark job, every worker trains on its own windows, mini-batch by mini-batch, from
+the common weights, and the driver averages what they end with. The driver holds weights and moments only, whose size is
+the model's. One worker is the plain sequential loop.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -250,42 +250,75 @@ class Fit:
 
 def train(
     training: DataFrame, validation: DataFrame, shape: Shape, path: str, *, epochs: int = 20, batch_size: int = 32, rate: float = 1e-3, decay: float = 1e-4, clip: float | None = 1.0,
-    patience: int = 5, eval_every: int = 1, seed: int = 42, batches_per_step: int = 8, workers: int = 8, lambdas: tuple[float, float, float] = (0.1, 0.1, 0.01),
+    patience: int = 5, eval_every: int = 1, seed: int = 42, batches_per_step: int | None = None, workers: int = 8, lambdas: tuple[float, float, float] = (0.1, 0.1, 0.01),
+    report: Callable[[dict], None] | None = None,
 ) -> Fit:
     """Weights of the epoch with the least validation mse (the last ones if none was a number).
 
-    A step averages the gradients of about ``batches_per_step`` mini-batches, which ``workers`` tasks make; batch norms
-    and the prototype losses take each mini-batch by itself. Windows are dealt into steps by a hash of their keys, so the
-    result doesn't depend on partitions up to rounding; the steps' order changes with the epoch. ``path`` is a folder that all
-    executors share; the windows are written there once.
+    A round is a job: each of ``workers`` takes ``batches_per_step`` mini-batches or, with None, all its windows of the
+    epoch, and weights, moments and running statistics are averaged, a worker counting as its mini-batches. Which windows
+    a worker and a round have, and in which order, follows from hashes of keys, seed and epoch, so the result doesn't
+    depend on partitions up to rounding; it does depend on ``workers``. ``path`` is a folder that all executors share; the
+    windows are written there once. ``report`` is called with each epoch's entry of the history.
     """
     spark = training.sparkSession
     n = training.count()
     if n == 0:
         raise ValueError("there are no training windows")
-    steps = max(1, round(n / (batch_size * batches_per_step)))
+    rounds = max(1, round(n / (batch_size * batches_per_step * workers))) if batches_per_step else 1
+    hashed = lambda what: F.xxhash64("ticker", "end_idx", F.lit(f"{what} {seed}"))
     columns = ["ticker", "end_idx", F.col("x").cast("array<array<double>>").alias("x"), F.col("text").cast("array<double>").alias("text"), F.col("y").cast("array<double>").alias("y")]
-    dealt = training.select(*columns, F.pmod(F.xxhash64("ticker", "end_idx", F.lit(seed)), F.lit(steps)).cast("int").alias("step"))
-    dealt.repartition("step").write.mode("overwrite").partitionBy("step").parquet(f"{path}/windows")
+    dealt = training.select(*columns, F.pmod(hashed("worker"), F.lit(workers)).cast("int").alias("worker"))
+    dealt.write.mode("overwrite").parquet(f"{path}/windows")
     rows = spark.read.schema(dealt.schema).parquet(f"{path}/windows")
 
-    def gradients(shared):
+    def work(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[str, np.ndarray] = {}
-            losses: list[float] = []
+            worker, held = None, []
+            state: tuple = ()
+
+            def step(some: list[pa.RecordBatch]) -> None:
+                t = pa.Table.from_batches(some).combine_chunks()
+                x = cube(t["x"].chunk(0), -1, shape.n_features)
+                parts, g, out = loss_and_gradients(state[0], shape, x, cube(t["text"].chunk(0), shape.text_dim), cube(t["y"].chunk(0), shape.horizon), lambdas)
+                state[1].step(state[0], g)
+                m = x.shape[0] * x.shape[1]
+                for i in range(len(shape.channels)):
+                    state[0][f"norm{i}.mean"] += 0.1 * (out.kept[i][5] - state[0][f"norm{i}.mean"])
+                    state[0][f"norm{i}.var"] += 0.1 * (out.kept[i][6] * m / max(1, m - 1) - state[0][f"norm{i}.var"])
+                state[2].append(parts["loss"])
+
+            def done() -> pa.RecordBatch:
+                if held:
+                    step(held)
+                    held.clear()
+                made = [(kind, name, v.ravel()) for kind, d in (("w", state[0]), ("m", state[1].first), ("v", state[1].second)) for name, v in d.items()]
+                columns = [pa.array([k for k, _, _ in made]), pa.array([k for _, k, _ in made]), pa.array([v for _, _, v in made], pa.list_(pa.float64()))]
+                totals = [pa.array([float(sum(state[2]))] * len(made)), pa.array([len(state[2])] * len(made), pa.int64())]
+                return pa.RecordBatch.from_arrays([*columns, *totals], names=["kind", "name", "value", "loss", "batches"])
+
             for whole in batches:
-                for lo in range(0, whole.num_rows, batch_size):
-                    b = whole.slice(lo, batch_size)
-                    parts, g, out = loss_and_gradients(shared.value, shape, cube(b.column(0), -1, shape.n_features), cube(b.column(1), shape.text_dim), cube(b.column(2), shape.horizon), lambdas)
-                    m = b.num_rows * whole.column(0)[0].values.__len__()
-                    for i in range(len(shape.channels)):
-                        g |= {f"norm{i}.mean": out.kept[i][5], f"norm{i}.var": out.kept[i][6] * m / max(1, m - 1)}
-                    for name, v in g.items():
-                        total[name] = total.get(name, 0) + v
-                    losses.append(parts["loss"])
-            if losses:
-                names = list(total)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([total[x].ravel() for x in names], pa.list_(pa.float64())), pa.array([losses] * len(names), pa.list_(pa.float64()))], names=["name", "slope", "losses"])
+                number = whole.column(3).to_numpy()
+                at = 0
+                while at < len(number):
+                    if number[at] != worker:
+                        if worker is not None:
+                            yield done()
+                        worker = number[at]
+                        w, optimiser = shared.value
+                        copy = lambda d: {k: v.copy() for k, v in d.items()}
+                        state = (copy(w), AdamW(optimiser.rate, optimiser.decay, optimiser.clip), [])
+                        state[1].steps, state[1].first, state[1].second = optimiser.steps, copy(optimiser.first), copy(optimiser.second)
+                    same = int(np.searchsorted(number, worker, "right"))
+                    room = batch_size - sum(b.num_rows for b in held)
+                    take = min(room, same - at)
+                    held.append(whole.slice(at, take))
+                    at += take
+                    if take == room:
+                        step(held)
+                        held.clear()
+            if worker is not None:
+                yield done()
 
         return run
 
@@ -293,33 +326,39 @@ def train(
     kept = {k: v.copy() for k, v in w.items()}
     improved = False
     for epoch in range(1, epochs + 1):
-        losses: list[float] = []
-        for step in np.random.default_rng(seed + epoch).permutation(steps).tolist():
-            part = rows.filter(F.col("step") == step).select("x", "text", "y").repartition(workers) if workers > 1 else rows.filter(F.col("step") == step).select("x", "text", "y").coalesce(1)
-            # a row for each weight and worker: the model's size, times the workers
-            made = part.mapInArrow(gradients(spark.sparkContext.broadcast(w)), "name string, slope array<double>, losses array<double>").collect()
+        loss = batches = 0.0
+        ordered = rows.withColumn("at", hashed(f"order {epoch}")).withColumn("round", F.pmod(hashed(f"round {epoch}"), F.lit(rounds)))
+        for turn in range(rounds):
+            part = ordered.filter(F.col("round") == turn).repartition(workers, "worker").sortWithinPartitions("worker", "at", "ticker", "end_idx").select("x", "text", "y", "worker")
+            shared = spark.sparkContext.broadcast((w, optimiser))
+            # three rows for each weight and worker: three times the model's size, times the workers
+            made = part.mapInArrow(work(shared), "kind string, name string, value array<double>, loss double, batches long").collect()
+            shared.unpersist()
             if not made:
                 continue
-            one = [r["losses"] for r in made if r["name"] == "prototypes"]
-            count = sum(map(len, one))
-            losses += [x for xs in one for x in xs]
-            g = {name: sum(np.array(r["slope"]) for r in made if r["name"] == name).reshape(w[name].shape) / count for name in {r["name"] for r in made}}
-            optimiser.step(w, {k: v for k, v in g.items() if trained(k)})
-            for k, v in g.items():
-                if not trained(k):
-                    w[k] += 0.1 * (v - w[k])
-        history.append({"epoch": epoch, "train_loss": sum(losses) / max(len(losses), 1)})
-        if epoch % eval_every:
-            continue
-        history[-1] |= {f"val_{k}": v for k, v in evaluate(validation, w, shape).items()}
-        mse = history[-1]["val_mse"]
-        if mse is not None and mse < best_mse:
-            best, best_mse, bad, improved = epoch, mse, 0, True
-            kept = {k: v.copy() for k, v in w.items()}
-        else:
-            bad += 1
-            if bad >= max(patience, 1):
-                break
+            one = [r for r in made if r["kind"] == "w" and r["name"] == "prototypes"]
+            total = sum(r["batches"] for r in one)
+            loss, batches = loss + sum(r["loss"] for r in one), batches + total
+            mean = lambda kind, name: sum(np.array(r["value"]) * r["batches"] for r in made if r["kind"] == kind and r["name"] == name).reshape(w[name].shape) / total  # noqa: E731, B023
+            optimiser.steps += max(r["batches"] for r in one)
+            names = [k for k in w if trained(k)]
+            optimiser.first, optimiser.second = {k: mean("m", k) for k in names}, {k: mean("v", k) for k in names}
+            w = {k: mean("w", k) for k in w}
+        history.append({"epoch": epoch, "train_loss": loss / max(batches, 1)})
+        stop = False
+        if epoch % eval_every == 0:
+            history[-1] |= {f"val_{k}": v for k, v in evaluate(validation, w, shape).items()}
+            mse = history[-1]["val_mse"]
+            if mse is not None and mse < best_mse:
+                best, best_mse, bad, improved = epoch, mse, 0, True
+                kept = {k: v.copy() for k, v in w.items()}
+            else:
+                bad += 1
+                stop = bad >= max(patience, 1)
+        if report:
+            report(history[-1])
+        if stop:
+            break
     return Fit(kept if improved else w, history, best)
 
 

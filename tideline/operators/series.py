@@ -30,22 +30,37 @@ def daily_bars(ticks: DataFrame, ticker: str, at: str, price: str, volume: str,
     )
 
 
-def windows(bars: DataFrame, features: tuple[str, ...] = ("open", "high", "low", "close", "volume"), target: str = "close", lookback: int = LOOKBACK, horizon: int = HORIZON, step: int = 1) -> DataFrame:
-    """One row for each complete window: ticker, end_idx, start_date, end_date, y_last_date, x, y.
-
-    ``x`` is the last ``lookback`` rows as structs of the features, ``y`` the target of the ``horizon`` rows after them.
-    Rows, not calendar days, are counted. Nulls keep their place (a struct around them keeps collect_list from dropping
-    them). Series shorter than lookback + horizon give none. Bars must be one row a ticker and date. One exchange and one sort serve
-    all the frames.
+def windows(
+    bars: DataFrame, features: tuple[str, ...] = ("open", "high", "low", "close", "volume"), target: str = "close", lookback: int = LOOKBACK, horizon: int | tuple[int, ...] = HORIZON, step: int = 1,
+    summaries: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row for each complete window: ticker, end_idx, start_date, end_date, y_last_date, x, y, and last, the end day's features.
+
+    ``x`` is the last ``lookback`` rows as structs of the features, ``y`` the target of the ``horizon`` rows after them;
+    ``summaries`` are further aggregates over the look-back. What isn't used of these is not computed. Several horizons give
+    a window a row for each that it has targets for, with the column ``horizon``, from frames of the widest. Rows, not
+    calendar days, are counted. Nulls keep their place (a struct around them keeps collect_list from dropping them).
+    Series shorter than lookback + horizon give none. Bars must be one row a ticker and date. One exchange and one sort serve all
+    the frames.
     """
     by = Window.partitionBy("ticker").orderBy("date")
-    back, ahead = by.rowsBetween(-(lookback - 1), 0), by.rowsBetween(1, horizon)
+    horizons = (horizon,) if isinstance(horizon, int) else tuple(sorted(horizon))
+    back, ahead = by.rowsBetween(-(lookback - 1), 0), by.rowsBetween(1, horizons[-1])
+    named = summaries or {}
+    dated = [] if isinstance(horizon, int) else ["date"]  # a shorter horizon's last date stands among the targets
     rows = bars.select(
-        "ticker", (F.row_number().over(by) - 1).alias("end_idx"), F.min("date").over(back).alias("start_date"), F.col("date").alias("end_date"), F.max("date").over(ahead).alias("y_last_date"),
-        F.collect_list(F.struct(*features)).over(back).alias("x"), F.collect_list(F.struct(F.col(target).cast("double").alias("y"))).over(ahead).alias("y"),
-    )
-    full = rows.filter((F.size("x") == lookback) & (F.size("y") == horizon)).withColumn("y", F.col("y.y"))
-    return full if step == 1 else full.filter((F.col("end_idx") - (lookback - 1)) % step == 0)
+        "ticker", (F.row_number().over(by) - 1).alias("end_idx"), F.min("date").over(back).alias("start_date"), F.col("date").alias("end_date"), F.count(F.lit(1)).over(ahead).alias("_ahead"),
+        F.struct(*features).alias("last"), F.max("date").over(ahead).alias("y_last_date"),
+        F.collect_list(F.struct(*features)).over(back).alias("x"), F.collect_list(F.struct(F.col(target).cast("double").alias("y"), *dated)).over(ahead).alias("_ys"), *[c.over(back).alias(name) for name, c in named.items()],
+    ).filter((F.col("end_idx") >= lookback - 1) & (F.col("_ahead") >= horizons[0]))
+    if step != 1:
+        rows = rows.filter((F.col("end_idx") - (lookback - 1)) % step == 0)
+    kept = ["ticker", "end_idx", "start_date", "end_date", "y_last_date", "last", "x", "y", *named]
+    if isinstance(horizon, int):
+        return rows.withColumn("y", F.col("_ys.y")).select(*kept)
+    fits = F.filter(F.array(*[F.lit(h) for h in horizons]), lambda h: h <= F.col("_ahead"))
+    each = rows.withColumn("horizon", F.explode(fits)).withColumn("_ys", F.slice("_ys", 1, F.col("horizon")))
+    return each.withColumn("y", F.col("_ys.y")).withColumn("y_last_date", F.element_at("_ys", -1)["date"]).select(*kept, "horizon")
 
 
 def feature_matrix(x: Column, features: tuple[str, ...]) -> Column:
@@ -73,20 +88,23 @@ def with_split(rows: DataFrame, train_until: str, val_until: str, purge: bool =
     return out.filter(F.col("split") == split_of(F.col("y_last_date"), train_until, val_until)) if purge else out
 
 
-def capped(rows: DataFrame, caps: dict[str, int | None]) -> DataFrame:
-    """The first windows of each split by ticker and end_idx; None keeps all.
+def capped(rows: DataFrame, caps: dict[str, int | None], rank: str | None = None) -> DataFrame:
+    """The first windows of each split by ticker and end_idx; None keeps all. ``rank`` names a column for a window's place, from 0.
 
-    The limit is pushed below the exchange (a window group limit), so a task gets no more than the cap from each other.
+    The limit is pushed below the exchange (a window group limit), so a task gets no more than the largest cap of each
+    split from each other; the capped splits are ranked in one pass.
     """
-    limited = [s for s in SPLITS if caps.get(s) is not None]
+    limited = {s: caps[s] for s in SPLITS if caps.get(s) is not None}
     if not limited:
-        return rows
-    rank = F.row_number().over(Window.partitionBy("split").orderBy("ticker", "end_idx"))
-    parts = [rows.filter(F.col("split") == s).withColumn("_rank", rank).filter(F.col("_rank") <= caps[s]).drop("_rank") for s in limited]
-    out = rows.filter(~F.col("split").isin(limited)) if len(limited) < len(SPLITS) else None
-    for part in parts:
-        out = part if out is None else out.unionByName(part)
-    return out
+        return rows if rank is None else capped(rows, dict.fromkeys(SPLITS, (1 << 31) - 1), rank)
+    place = F.row_number().over(Window.partitionBy("split").orderBy("ticker", "end_idx"))
+    own = F.create_map(*[F.lit(x) for pair in limited.items() for x in pair])[F.col("split")]
+    ranked = rows.filter(F.col("split").isin(list(limited))).withColumn("_rank", place).filter(F.col("_rank") <= max(limited.values())).filter(F.col("_rank") <= own)
+    ranked = ranked.drop("_rank") if rank is None else ranked.withColumn(rank, F.col("_rank") - 1).drop("_rank")
+    if len(limited) == len(SPLITS):
+        return ranked
+    rest = rows.filter(~F.col("split").isin(list(limited)))
+    return ranked.unionByName(rest if rank is None else capped(rest, {}, rank))
 
 
 def epoch_order(rows: DataFrame, seed: int, epoch: int, keys: tuple[str, ...] = ("ticker", "end_idx")) -> DataFrame:

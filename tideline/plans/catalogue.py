@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import metrics, model, prototypes, series, text
+from tideline.operators import experiment, metrics, model, prototypes, series, text
 from tideline.sources import config, market
 
 QUERIES: dict = {}
@@ -71,12 +71,7 @@ def split_windows(spark: SparkSession, sf_dir: str, purge: bool = True, horizon:
 
 def naive(rows: DataFrame) -> DataFrame:
     """The last close, repeated over the horizon."""
-    return rows.withColumn("pred", F.array_repeat(F.element_at("x", -1)["close"], F.size("y")))
-
-
-def mean_of_window(rows: DataFrame) -> DataFrame:
-    closes = F.col("x.close")
-    return rows.withColumn("pred", F.array_repeat(F.aggregate(closes, F.lit(0.0), lambda s, v: s + v) / F.size(closes), F.size("y")))
+    return rows.withColumn("pred", F.array_repeat(F.col("last.close"), F.size("y")))
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +123,7 @@ def series_for_symbol(spark, sf_dir):
 def lookback_windows(spark, sf_dir):
     rows = series.windows(bars(spark, sf_dir), ("close", "volume"))
     volume = F.aggregate("x.volume", F.lit(0.0), lambda s, v: s + v)
-    return rows.select("ticker", "end_idx", "start_date", "end_date", F.col("x")[0]["close"].alias("first_close"), F.element_at("x", -1)["close"].alias("last_close"), F.round(volume, 6).alias("volume"))
+    return rows.select("ticker", "end_idx", "start_date", "end_date", F.col("x")[0]["close"].alias("first_close"), F.col("last.close").alias("last_close"), F.round(volume, 6).alias("volume"))
 
 
 @register(f"WITH {window_sql()} SELECT ticker, end_idx, y_last_date, ys[1] AS y_first, ys[7] AS y_last, round(list_sum(ys), 4) AS y_sum FROM w")
@@ -159,16 +154,13 @@ def window_caps(spark, sf_dir):
     return series.capped(split_windows(spark, sf_dir), {"train": 64, "val": 32, "test": 32}).select("split", "ticker", "end_idx")
 
 
-@register(f"WITH {window_sql()} SELECT ticker, end_idx, md5(concat_ws('|', '43', ticker::VARCHAR, end_idx::VARCHAR)) AS epoch_key FROM w WHERE split = 'train' AND y_split = 'train' ORDER BY epoch_key, ticker, end_idx LIMIT 50")
+@register(f"WITH {window_sql()} SELECT ticker, end_idx, md5(concat_ws('|', '43', ticker::VARCHAR, end_idx::VARCHAR)) AS epoch_key FROM w WHERE split = 'train' AND y_split = 'train' ORDER BY epoch_key, ticker, end_idx")
 def epoch_order(spark, sf_dir):
     rows = split_windows(spark, sf_dir).filter("split = 'train'").select("ticker", "end_idx")
-    return series.epoch_order(rows, seed=42, epoch=1).limit(50)
+    return series.epoch_order(rows, seed=42, epoch=1)
 
 
-@register(f"WITH {window_sql()} SELECT ticker, end_idx, md5(concat_ws('|', '43', ticker::VARCHAR, end_idx::VARCHAR)) AS epoch_key FROM w WHERE split = 'train' AND y_split = 'train' ORDER BY epoch_key, ticker, end_idx")
-def epoch_order_all(spark, sf_dir):
-    rows = split_windows(spark, sf_dir).filter("split = 'train'").select("ticker", "end_idx")
-    return series.epoch_order(rows, seed=42, epoch=1)
+QUERIES["epoch_order_all"], ORACLE_SQL["epoch_order_all"] = epoch_order, ORACLE_SQL["epoch_order"]
 
 
 @register(f"""WITH {window_sql()}, n AS (SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, o_totalprice / 1000 AS a, (o_orderkey % 7)::DOUBLE AS b FROM orders)
@@ -274,13 +266,15 @@ def forecast_metrics(spark, sf_dir):
 
 
 def by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for h in (7, 14, 30):
-        rows = split_windows(spark, sf_dir, horizon=h).filter("split = 'test'")
-        for name, made in (("naive", naive(rows)), ("mean", mean_of_window(rows))):
-            part = metrics.forecast_metrics(made).select(F.lit(h).alias("horizon"), F.lit(name).alias("model"), "n", "mse", "mae")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """horizon, model, n, mse, mae of two forecasts, from one pass over the windows."""
+    made = series.windows(bars(spark, sf_dir), ("close",), horizon=(7, 14, 30), summaries={"mean": F.avg("close")})
+    rows = series.with_split(made, *BOUNDS).filter("split = 'test'")
+    for name, value in (("naive", F.col("last.close")), ("mean", F.col("mean"))):
+        rows = rows.withColumn(f"pred_{name}", F.array_repeat(value, F.size("y")))
+    aggregates = [a.alias(f"{c}_{name}") for name in ("naive", "mean") for a, c in zip(metrics.errors(F.col(f"pred_{name}"), F.col("y")), ("n", "mse", "mae"), strict=True)]
+    found = rows.groupBy("horizon").agg(*aggregates)
+    each = F.array(*[F.struct(F.lit(name).alias("model"), *[F.col(f"{c}_{name}").alias(c) for c in ("n", "mse", "mae")]) for name in ("naive", "mean")])
+    return found.select("horizon", F.inline(each))
 
 
 def horizon_sql(h: int, name: str, p: str) -> str:
@@ -326,33 +320,28 @@ def config_flatten(spark, sf_dir):
     return config.as_table(spark, LIT_CONFIG)
 
 
-SMALL = model.Shape(n_features=2, d_model=16, channels=(8,), n_prototypes=4, text_dim=2, text_hidden=8, head_hidden=16)
+#: Model a at its own sizes, over two features.
+SHAPE = model.Shape(n_features=2, text_dim=2)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict]:
-    """Windows with text and their scores under seeded weights."""
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with split, x, text and y."""
     all_bars = bars(spark, sf_dir)
     rows = split_windows(spark, sf_dir, features=("close", "volume"))
     scaled = F.transform("x", lambda r: F.array(r["close"] / 10_000, r["volume"] / 50))
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.array(F.col("o_totalprice") / 100_000, F.lit(1.0)).alias("vec"))
     text_rows = text.window_text(all_bars, orders, 2, series.LOOKBACK).select("ticker", "end_date", "text")
-    rows = rows.withColumn("x", scaled).join(text_rows, ["ticker", "end_date"])
-    weights = model.initial_weights(SMALL)
-    return rows, model.score(rows, weights, SMALL), weights
+    return rows.withColumn("x", scaled).join(text_rows, ["ticker", "end_date"])
 
 
 @register()
 def model_forward(spark, sf_dir):
-    return scored(spark, sf_dir)[1].select("ticker", "end_idx", F.round(F.col("pred")[0], 6).alias("pred_first"), F.round(F.element_at("pred", -1), 6).alias("pred_last"), F.size("seg_post").alias("n_segments"))
+    made = model.score(model_rows(spark, sf_dir), model.initial_weights(SHAPE), SHAPE)
+    return made.select("ticker", "end_idx", F.round(F.col("pred")[0], 6).alias("pred_first"), F.round(F.element_at("pred", -1), 6).alias("pred_last"), F.size("seg_post").alias("n_segments"))
 
 
 @register()
 def projection_json(spark, sf_dir):
     """The first prototypes' nearest training segments after injection, a JSON text each."""
-    rows, made, weights = scored(spark, sf_dir)
-    first = series.capped(rows.filter("split = 'train'"), {"train": prototypes.bank_windows()}).select("ticker", "end_idx", "end_date")
-    numbered = series.with_ordinal(first, "window_no").withColumn("window_no", F.col("window_no").cast("int"))
-    bank_rows = model.segments(made.join(numbered.select("ticker", "end_idx", "window_no"), ["ticker", "end_idx"]), ("window_no",))
-    protos = spark.createDataFrame([(k, v) for k, v in enumerate(weights["prototypes"].tolist())], "proto_id int, vec array<double>")
-    found = prototypes.examples(bank_rows, protos, numbered.select("window_no", "ticker", "end_date", "end_idx"))
+    found = experiment.projection_examples(model_rows(spark, sf_dir).filter("split = 'train'"), model.initial_weights(SHAPE), SHAPE)
     return found.select("proto_id", F.to_json(F.struct("proto_id", "window_no", "seg_no", F.round("distance", 9).alias("distance"), "meta")).alias("example"))
