@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tideline.llm import fingerprints
 from tideline.llm.queries import op9_fingerprints
@@ -94,7 +95,10 @@ def test_many_ranges_and_rows_without_id(spark):
     r = random.Random(8)
     rows = [(d * 3, "".join(r.choices("abcdef ", k=r.randrange(0, 400)))) for d in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(fingerprints.fingerprint_pairs(docs, range_bytes=1000)) == brute(rows)
+    out = fingerprints.fingerprint_pairs(docs, range_bytes=1000)
+    assert got(out) == brute(rows)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < 60  # ranges are dealt over tasks, several small ones to some
     lost = [(None, f"text without id {i} " * 9) for i in range(300)]
     out = fingerprints.fingerprint_pairs(spark.createDataFrame(lost + rows, "doc_id long, text string"), range_bytes=1000).collect()
     assert len(out) == 500 and {x["doc_id"]: tuple(x)[1:] for x in out if x["doc_id"] not in (None, 597)} == {d: x for d, x in brute(rows).items() if d != 597}

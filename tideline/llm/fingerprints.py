@@ -111,7 +111,7 @@ def fingerprint_pairs(docs: DataFrame, range_bytes: int = 128 << 20) -> DataFram
     own = max(1, parts * (without or 0) // max(total, 1))
     ids = base.filter("doc_id IS NOT NULL").select("doc_id").repartitionByRange(parts, "doc_id")
     # an id a range: the number of ranges is that of the tasks, not of the documents
-    cuts = sorted({float(r[0]) for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect()})[1:] or [0.0]
+    cuts = sorted({float(r["least"]) for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least")).collect()})[1:] or [0.0]
     ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range", handleInvalid="keep")
     placed = base.withColumn("place", place).withColumn("at", F.coalesce("doc_id", F.lit(0)).cast("double"))
     part = F.when(F.col("doc_id").isNull(), F.floor((F.shiftright("place", 1) / 2.0**63 + 0.5) * own)).otherwise(F.col("range") + own).cast("int")
