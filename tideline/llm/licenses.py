@@ -32,7 +32,7 @@ SENTENCES = (
     ("WARRANTY", "(the|this) software is provided as is without warranty of any kind.*"),
     ("ALL_RIGHTS", "(copyright .*)?all rights reserved"),
 )
-# Licences and the identifier sequences that say them, the more special rule first; .* skips identifiers.
+# Licences and the identifier sequences that say them, the more special rule first.
 RULES = (
     ("GPL-2.0-or-later", "GPL2 GPL_LATER"),
     ("GPL-3.0-or-later", "GPL3 GPL_LATER"),
@@ -59,18 +59,37 @@ ANCHORS = ("licen", "permission", "copyright", "public domain", "redistribut", "
 # Any word of an anchor, for whole texts: an anchor's two words may stand on two lines.
 ANCHOR_WORDS = ("licen", "permission", "copyright", "public", "redistribut", "software", "reserved")
 # Notices that join clauses which SENTENCES and RULES know apart, tried before them, and their licences.
-FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
-NOTICES = tuple(
-    (f"GPL{v}_FREE{suffix}", f"{FREE} (either )?version {v} of the license{rest}") for v in (2, 3) for suffix, rest in (("_LATER", " or at your option any later version"), ("", ""))
+FREE = "this (program|library|file|work|software) is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+FAMILIES = (("GPL", "", ("2", "3")), ("LGPL", "lesser ", ("2.1", "3")), ("AGPL", "affero ", ("3",)))
+LATER = (("-or-later", " or at your option any later version"), ("", ""))
+VERSIONS = [(family, kind, v, suffix, rest) for family, kind, versions in FAMILIES for v in versions for suffix, rest in LATER]
+#: Licences that have an identifier of their own in a line of its own kind.
+NAMED = ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", *(f"{f}-{v if '.' in v else v + '.0'}{s}" for f, _, v, s, _ in VERSIONS))
+
+
+def token(name: str) -> str:
+    return name.upper().replace("-", "_").replace(".", "_")
+
+
+def full_name(family: str, version: str, suffix: str) -> str:
+    return f"{family}-{version if '.' in version else version + '.0'}{suffix}"
+
+
+NOTICES = (
+    *((token(full_name(f, v, s)) + "_FREE", f"{FREE.format(kind)} (either )?version {v.replace('.', ' ')} of the license{rest}") for f, kind, v, s, rest in VERSIONS),
+    ("MIT_GRANT", "(the )?(mit license )?copyright .* permission is hereby granted free of charge to any person obtaining a copy of this software.*"),
+    ("ISC", "((the )?(isc license )?copyright .* )?permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    *((token(n) + "_SPDX", "spdx license identifier " + n.lower().replace("-", " ").replace(".", " ")) for n in NAMED),
 )
-NOTICE_RULES = tuple((f"GPL-{v}.0{suffix}", f"GPL{v}_FREE{rest}") for v in (2, 3) for suffix, rest in (("-or-later", "_LATER"), ("", "")))
-#: A sentence ends at a stop or mark before white space and at a line without letters and digits.
-SPLIT = r"[.!?][ \t\r\n]+|\n[^a-zA-Z0-9\n]*\n"
+NOTICE_RULES = (*((full_name(f, v, s), token(full_name(f, v, s)) + "_FREE") for f, _, v, s, _ in VERSIONS), ("ISC", "ISC"), *((n, token(n) + "_SPDX") for n in NAMED))
+#: A sentence ends at a stop or mark before white space, but not at that of "v." before a number, and at a line without
+#: letters and digits.
+SPLIT = r"(?<![^a-zA-Z][vV])[.!?][ \t\r\n]+|\n[^a-zA-Z0-9\n]*\n"
 
 
 def spread(pattern: str) -> str:
     """A sentence's pattern over several lines: a line may end at each space, what is skipped at the end stays on its line."""
-    if pattern.startswith("(copyright .*)") or pattern.endswith(".*"):
+    if "copyright .*" in pattern or pattern.endswith(".*"):
         pattern = pattern.replace(".*", r"[^\n]*")
     return pattern.replace(".*", r"[\s\S]*?").replace(" ", r"[ \n]")
 
@@ -82,11 +101,11 @@ KNOWN = "(?m)^(?:" + "|".join(spread(p) for _, p in NOTICES + SENTENCES) + ")$"
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    Within a sentence line ends and semicolons are kept as line ends: it may go on behind them, or another begin.
+    Within a sentence line ends, semicolons and colons are kept as line ends: it may go on behind them, or another begin.
     """
 
     def trimmed(s: Column) -> Column:
-        marked = F.regexp_replace(F.regexp_replace(F.lower(s), r";[ \t\r\n]", "\n"), r"[^a-z0-9\n]+", " ")
+        marked = F.regexp_replace(F.regexp_replace(F.lower(s), r"[;:][ \t\r\n]", "\n"), r"[^a-z0-9\n]+", " ")
         return F.trim(F.regexp_replace(marked, r" ?\n[ \n]*", "\n"))
 
     one_line = lambda s: F.replace(s, F.lit("\n"), F.lit(" "))
@@ -113,7 +132,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """For each row of ``docs``: doc_id, n_known long, sentence_ids and licenses (comma-joined strings).
 
     Null and empty texts, and texts without known sentences, have 0 and empty strings. Sentences end at a full stop
-    or mark before white space or a blank line, and may end at a semicolon or a line's end or go on behind it; case,
+    or mark before white space or a blank line, and may end at a semicolon, a colon or a line's end or go on behind it; case,
     marks (those of comments too) and spacing don't count. Rows that repeat are
     scanned each, a null doc_id stays null.
     """
