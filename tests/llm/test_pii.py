@@ -111,3 +111,28 @@ def test_edge_rows_and_redaction(spark):
         assert r["text"] is None or "<" not in r["text"] or r["n_chars"] == len(r["text"])
     assert {r["text"] for r in clean if r["doc_id"] == 99} == {"<email> " * 20_000}
     assert pii.train(docs.limit(0)) is None and pii.scan(docs.limit(0), None).count() == 0
+
+
+def test_best_sequence_of_the_whole_text():
+    """Stretch by stretch, from outside to outside, is the best sequence of the whole text with the gaps outside."""
+    r = np.random.default_rng(3)
+    tagger = pii.Tagger(4)
+    tagger.p["move"], tagger.p["first"] = r.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32), r.normal(size=pii.TAGS).astype(np.float32)
+    outside = np.full((5, pii.TAGS), -1e6, np.float32)
+    outside[:, 0] = 0
+    parts = [r.normal(size=(n, pii.TAGS)).astype(np.float32) for n in (7, 9, 6)]
+    whole = tagger.viterbi(np.concatenate([parts[0], outside, parts[1], outside, parts[2]]))
+    cut = [tagger.viterbi(parts[0], False, True), tagger.viterbi(parts[1], True, True), tagger.viterbi(parts[2], True, False)]
+    assert whole.tolist() == [*cut[0], *[0] * 5, *cut[1], *[0] * 5, *cut[2]]
+
+
+def test_redaction_edges(spark):
+    rows = [(1, None, None, "a"), (2, "", 0, "b"), (3, "write to a.b@example.com now", 28, "c"), (3, "write to a.b@example.com now", 28, "c"), (None, "no data", 7, "d"), (5, "x" * 100_000 + " 10.0.0.1 " + "é" * 50, 100_060, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, n_chars int, spans string")
+    out = pii.redact(docs, None)
+    assert out.schema == docs.schema
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(1, None, None, "a"), (2, "", 0, "b"), (3, "write to <email> now", 20, "c"), (3, "write to <email> now", 20, "c"), (None, "no data", 7, "d"), (5, "x" * 100_000 + " <ip> " + "é" * 50, 100_056, "e")], key=str)
+    assert pii.redact(docs.limit(0), None).count() == 0 and pii.scan(docs.withColumnRenamed("Text", "text").limit(0), None).count() == 0
+    plan = pii.scan(docs, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1

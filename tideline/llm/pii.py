@@ -2,8 +2,9 @@
 
 Base spans (email, ip, card, phone) come from the patterns alone. The network reads windows of the text that overlap by
 half; a character's tag scores are averaged over the windows that hold it, nearer to a window's middle counting more, and
-one Viterbi pass over each whole stretch of windows decides. Windows without a digit and without ``@`` are not read: no
-kind of span can stand there. Training windows are cut from a bounded sample of documents and labelled with base spans.
+the best tag sequence of the whole text under the CRF decides. Windows without a digit and without ``@`` are not read: no
+kind of span can stand there, so their characters are outside. As the sequence is outside in every gap between the stretches that
+are read, the best one of the text is the best one of each stretch from outside to outside, which is what is computed. Training windows are cut from a bounded sample of documents and labelled with base spans.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column_at
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WINDOW, STRIDE = 64, 32
@@ -187,15 +191,15 @@ class Tagger:
                 self.p[k] = self.p[k] - (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(self.p[k].dtype)
         return self
 
-    def viterbi(self, scores: np.ndarray) -> np.ndarray:
-        """The best tag row for scores [T, TAGS]."""
-        best, back = scores[0] + self.p["first"], np.empty((len(scores), TAGS), np.int64)
+    def viterbi(self, scores: np.ndarray, gap_before: bool = False, gap_behind: bool = False) -> np.ndarray:
+        """The best tag row for scores [T, TAGS]; next to a gap the neighbouring character is outside."""
+        best, back = scores[0] + (self.p["move"][0] if gap_before else self.p["first"]), np.empty((len(scores), TAGS), np.int64)
         for t in range(1, len(scores)):
             paths = best[:, None] + self.p["move"]
             back[t] = paths.argmax(0)
             best = paths[back[t], np.arange(TAGS)] + scores[t]
         tags = np.empty(len(scores), np.int64)
-        tags[-1] = best.argmax()
+        tags[-1] = (best + self.p["move"][:, 0] if gap_behind else best).argmax()
         for t in range(len(scores) - 1, 0, -1):
             tags[t - 1] = back[t, tags[t]]
         return tags
@@ -254,7 +258,7 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int
             weight[s - start : s - start + WINDOW] += WEIGHT
             at += 1
         size = min(size, len(texts[k]) - start)
-        for kind, s, e in tag_spans(tagger.viterbi((total / weight)[:size])):
+        for kind, s, e in tag_spans(tagger.viterbi((total / weight)[:size], start > 0, start + size < len(texts[k]))):
             s, e = s + start, e + start
             if plausible(kind, texts[k][s:e]) and not any(s < be and bs < e for _, bs, be in base[k]):
                 out[k].append((kind, s, e))
@@ -302,33 +306,35 @@ def scan_texts(tagger: Tagger | None, texts: list[str]) -> list[tuple[list, list
 def scan(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """Spans of every whole text: doc_id, n_email, n_ip, n_card, n_phone (base spans), n_added, base_spans, spans.
 
-    Null and empty texts have no spans. Rows that repeat are scanned each; a null doc_id stays null. Texts without a
-    trigger don't leave the JVM.
+    Null and empty texts have no spans. Rows that repeat are scanned each; a null doc_id stays null, an empty table gives
+    none. Only doc_id and text are read, so further columns can have any name. One scan: texts without a trigger don't
+    leave the JVM.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "n_added", "base_spans", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scan_texts(shared.value, batch.column(1).to_pylist())
+            found = [([], [])] * batch.num_rows
+            at = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            for k, spans in zip(at.tolist(), scan_texts(shared.value, batch.column(1).take(pa.array(at)).to_pylist()), strict=True):
+                found[k] = spans
             counts = [pa.array([sum(k == kind for k, _, _ in b) for b, _ in found], pa.int64()) for kind in KINDS]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([len(a) for _, a in found], pa.int64()), pa.array([join_spans(b) for b, _ in found], pa.string()), pa.array([join_spans(b + a) for b, a in found], pa.string())], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_added long, base_spans string, spans string"
-    has = F.col("text").rlike(TRIGGER)
-    without = rows.filter(~has).select("doc_id", *(F.lit(0).cast("long").alias(n) for n in names[1:6]), F.lit("").alias("base_spans"), F.lit("").alias("spans"))
-    return rows.filter(has).mapInArrow(run, schema).unionByName(without)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").rlike(TRIGGER), F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_added long, base_spans string, spans string")
 
 
 def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; n_chars, if there, follows.
 
-    Where spans overlap, the union is replaced once and takes the first one's kind.
+    Where spans overlap, the union is replaced once and takes the first one's kind. Null and empty texts stay as they are,
+    rows that repeat are each redacted, an empty table gives none; other columns keep names and values.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    names = docs.columns
-    at = names.index("text")
+    names, at = docs.columns, column_at(docs, "text")
+    sizes = [k for k, c in enumerate(names) if c.lower() == "n_chars"]
 
     def clean(text: str, spans: list[tuple[str, int, int]]) -> str:
         out, done = [], 0
@@ -340,14 +346,14 @@ def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            cleaned = [clean(t, b + a) for t, (b, a) in zip(texts, scan_texts(shared.value, texts), strict=True)]
+            column = batch.column(at)
+            has = pc.fill_null(pc.match_substring_regex(column, TRIGGER), False)
+            texts = column.filter(has).to_pylist()
+            cleaned = pa.array([clean(t, b + a) for t, (b, a) in zip(texts, scan_texts(shared.value, texts), strict=True)], column.type)
             columns = list(batch.columns)
-            columns[at] = pa.array(cleaned, pa.string())
+            columns[at] = pc.replace_with_mask(column, has, cleaned)
+            for k in sizes:
+                columns[k] = pc.if_else(has, pc.utf8_length(columns[at]).cast(columns[k].type), columns[k])
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    has = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
-    changed = docs.filter(has).mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.unionByName(docs.filter(~has))
+    return docs.mapInArrow(run, docs.schema)
