@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -50,3 +51,41 @@ def test_edge_cases(spark):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), none).count() == 0
     assert toxicity.fit(docs.limit(0), labels).bias == 0.0
+
+
+def slow_score(text, model):
+    """The score by loops over n-grams and Python numbers, from the model's weights alone."""
+    mask, base = (1 << 64) - 1, int(toxicity.BASE)
+    values = [int(toxicity.TABLE[ord(c) & 0xFFFF]) for c in f" {(text or '').lower()} "]
+    found = set()
+    for n in toxicity.ORDERS:
+        for i in range(len(values) - n + 1):
+            h = 0
+            for v in values[i : i + n]:
+                h = (h * base + v) & mask
+            found.add(((h ^ (h >> 29)) * base & mask) >> (64 - toxicity.BITS))
+    known = [b for b in found if model.ratios[b]]
+    total = float(model.bias)
+    if known:
+        total += sum(float(model.weights[b]) for b in known) / max(1.0, sum(float(model.ratios[b]) ** 2 for b in known)) ** 0.25
+    return 1 / (1 + math.exp(-max(-40, min(40, total))))
+
+
+def test_scores_against_plain_loops(spark):
+    """Whole texts, longer than a slice too, and the query's rows of the table's shortest texts."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = [None, "", "a", "É longer 🙂 text", *[r["text"] for r in docs.orderBy("n_chars").limit(60).collect()], "some words " * 30_000]
+    assert np.allclose(toxicity.score_texts(texts, model), [slow_score(t, model) for t in texts], atol=1e-12)
+    got = {r["doc_id"]: r["score"] for r in op8_toxicity(spark, sf).collect()}
+    for r in docs.orderBy("n_chars").limit(60).collect():
+        assert abs(got[r["doc_id"]] - slow_score(r["text"], model)) < 1e-9
+
+
+def test_keep_clean_keeps_columns(spark):
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS), np.zeros(1 << toxicity.BITS), 2.0)
+    docs = spark.createDataFrame([(1, "a", 0.1, 1), (None, None, None, None)], "doc_id long, Text string, score double, predicted int")
+    assert toxicity.keep_clean(docs, model, 0.5).count() == 0
+    kept = toxicity.keep_clean(docs, model, 0.95)
+    assert kept.schema == docs.schema and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import random_table, stage
+from .common import column_at, random_table, stage
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -131,31 +131,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, features:
     return Model((ratios * weight).astype(np.float64), ratios.astype(np.float64), float(bias))
 
 
+def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
+    """Scores of whole texts; null and empty ones have the score that no evidence gives."""
+    live, out = model.ratios != 0, np.full(len(texts), model.bias)
+    for k, text in enumerate(texts):
+        points, found = code_points(text or ""), []
+        for lo in range(0, len(points), SLICE_CHARS):
+            for index in buckets(points[lo : lo + SLICE_CHARS + max(ORDERS) - 1]):
+                found.append(np.unique(index[live[index]]))
+        index = np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
+        if len(index):
+            out[k] += model.weights[index].sum() / scale(np.square(model.ratios[index]).sum())
+    return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on) of each whole text.
 
     Null and empty texts have the score that no evidence gives. Columns of ``docs`` named score or predicted are
-    replaced; rows that repeat are scored each.
+    replaced; rows that repeat are scored each, an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    text_at = [c.lower() for c in others].index("text")
+    rows = docs.select(*others)
+    at = column_at(rows, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        live = model.ratios != 0
         for batch in batches:
-            out = np.full(batch.num_rows, model.bias)
-            for k, text in enumerate(batch.column(text_at).to_pylist()):
-                points, found = code_points(text or ""), []
-                for lo in range(0, len(points), SLICE_CHARS):
-                    for index in buckets(points[lo : lo + SLICE_CHARS + max(ORDERS) - 1]):
-                        found.append(np.unique(index[live[index]]))
-                index = np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
-                if len(index):
-                    out[k] += model.weights[index].sum() / scale(np.square(model.ratios[index]).sum())
-            s = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+            s = score_texts(batch.column(at).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*others, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", score double, predicted int"
-    return docs.select(*others).mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double, predicted int"
+    return rows.mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores below ``threshold``, with all their columns, whatever they are called.
+
+    Null and empty texts have the score that no evidence gives; rows that repeat stay or go together.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = column_at(docs, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(batch.column(at).to_pylist(), shared.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
