@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark).unionByName(secrets.findings_in(docs))))
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stage
+
 # Words that stand beside secrets, words that stand beside other long strings, and everyday pieces of words.
-SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "credential", "private_key", "bearer")
+SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "credential", "private_key", "private key", "bearer")
 HARMLESS_WORDS = ("sha1", "sha256", "md5", "checksum", "commit", "revision", "version", "isbn", "uuid", "order", "phone", "tel", "card", "call", "http", "https", "example", "id")
 DICTIONARY = (
     "about", "access", "account", "admin", "after", "algorithm", "application", "before", "change", "change me", "changeme", "class", "config", "country", "data", "default", "demo",
@@ -23,6 +25,8 @@ DICTIONARY = (
     "update", "user", "value", "version", "water", "welcome", "winter", "word", "world", "your", "tion", "ment", "ing", "the", "and", "com", "www",
 )
 SHAPED = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}"
+# What strings that scans mistake for secrets look like: addresses, numbers, identifiers, versions.
+HARMLESS = r"[^@\s]+@[^@\s]+|[0-9.,:+()-]+|(?i:https?://\S+|www\.\S+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|v?[0-9]+(?:\.[0-9]+)+\S*)"
 # a secret's name and = or :, the same with a value behind it, and a part of a word: a value between marks, with its name
 ASSIGN = rf"(?i)(?:{'|'.join(SECRET_WORDS)})(?![a-z])[a-z0-9_-]{{0,30}}[\"'\\]*\s*[=:]"
 VALUE = ASSIGN + r"+>?\s*[^\sA-Za-z0-9]*[A-Za-z0-9]\S*$"
@@ -96,7 +100,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     Half are secrets (hex and base-64 tokens, passwords with and without digits, shaped keys) beside a secret's name, half are what
     scans mistake for them: hashes under their names, numbers, addresses, placeholders, words with digits or behind a name.
     """
-    kinds = 24
+    kinds = 25
     r = spark.range(n).withColumn("h", F.sha2(F.col("id").cast("string"), 256)).withColumn("k", (F.col("id") % kinds).cast("int"))
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") / kinds % len(xs) + 1).cast("int"))
     part = lambda s, n: F.substring("h", s, n)
@@ -121,18 +125,54 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (cat(name, F.lit(" =")), cat(F.lit('"'), letters(1, 19), F.lit('"')), 1), (text, cat(name, F.lit("="), letters(3, 14)), 1),
         (cat(text, F.lit(" "), name, F.lit(":")), pick("the", "is", "please", "required", "which", "and", "string", "none,", "see", "a", "placeholder", "example"), 0),
         (cat(name, F.lit(" =")), pick('"changeme"', "None", "get_password()", '"your-password"', "null;", '"example-token"', "os.environ", '"password"', "request.token", '"placeholder"', "config.secret", '""'), 0),
+        (F.lit("PRIVATE KEY-----"), cat(b64, F.base64(F.unhex(F.reverse("h")))), 1),
     ]
     case = lambda i: reduce(lambda acc, x: acc.when(F.col("k") == x[0], x[1][i] if i < 2 else F.lit(x[1][i])), enumerate(rows), F)
     return r.select(pick("src/app.py", "src0", "conf/site.yaml", "tests/test_a.py", "docs", "src1").alias("path"), case(0).alias("before"), case(1).alias("word"), text.alias("after"), case(2).cast("double").alias("label"))
 
 
+def findings_in(docs: DataFrame, sample_rows: int = 20_000, path_col: str = "source") -> DataFrame:
+    """Labelled findings in the documents themselves: path, before, word, after, label, as labelled_findings() has them.
+
+    Labels are those that need no model: a shaped key, or a value of 12 characters or more with several kinds of them
+    that is assigned to a secret's name, is a secret; addresses, numbers, identifiers and versions under no secret's name, and
+    what stands behind a harmless name, are none. Other candidates teach nothing. At most ``sample_rows`` different
+    findings are taken, first by a hash of the finding, so copies count once.
+    """
+    found = candidates(docs, path_col).withColumn("value", value_of(F.col("word")))
+    v, near = F.col("value"), F.lower(F.concat_ws(" ", "before", F.regexp_extract("word", r"^([^0-9]*?[=:])", 1)))
+    named = F.concat_ws(" ", "before", "word").rlike(VALUE)
+    mixed = (F.length(v) >= 12) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(f"^(?:{HARMLESS})$")
+    behind = near.rlike(r"\b(?:" + "|".join(HARMLESS_WORDS) + r")\b[\s=:]*(?:of\s*)?$")
+    label = F.when(v.rlike(f"^({SHAPED})$") | (named & mixed), 1.0).when(~named & ~near.rlike("|".join(SECRET_WORDS)) & (v.rlike(f"^(?:{HARMLESS})$") | behind), 0.0)
+    rows = found.withColumn("label", label).filter("label IS NOT NULL").select("path", "before", "word", "after", "label")
+    key = F.xxhash64("before", "word", "after")
+    # written, as a forest reads its sample several times
+    return stage(rows.groupBy(key.alias("h")).agg(*[F.min(c).alias(c) for c in rows.columns]).orderBy("h").limit(sample_rows).drop("h"), "findings")
+
+
+def rated(findings: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> dict[str, float | None]:
+    """n, precision and recall of the model on labelled findings; None where nothing is found or nothing is a secret."""
+    rows = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings)))
+    said, true = vector_to_array("probability").getItem(1) >= threshold, F.col("label") > 0.5
+    n, hits, named, secrets = rows.agg(F.count("*"), F.count_if(said & true), F.count_if(said), F.count_if(true)).first()
+    return {"n": n, "precision": hits / named if named else None, "recall": hits / secrets if secrets else None}
+
+
 def fit(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> RandomForestClassificationModel:
+    """A forest over labelled findings (before, word, after, path, label); nulls in them count as empty."""
+    findings = findings.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("path", "before", "word", "after")], "label")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(findings))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows.select("features", "label"))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, path_col: str = "source") -> DataFrame:
-    """Every candidate with its score: doc_id, word_no, value, score double, is_secret boolean."""
+    """Every candidate with its score: doc_id, word_no, value, score double, is_secret boolean.
+
+    Null and empty texts have no candidates, an empty table gives none, rows that repeat have theirs each, ties don't
+    matter; a null doc_id stays null. Only doc_id, text and the path's column (if there) are read, so further columns can have
+    any name. Long texts are read whole.
+    """
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(candidates(docs, path_col)))
     score = vector_to_array("probability").getItem(1)
     return model.transform(rows).select("doc_id", "word_no", "value", score.alias("score"), (score >= threshold).alias("is_secret"))
