@@ -67,3 +67,25 @@ def test_sweep(tmp_path):
     seen = experiment.multirun(str(path), ("data.horizon=7,14", "model.cnn.channels=[4, 4]", "train.seed=1,2"), lambda cfg: (cfg["experiment"]["name"], cfg["train"]["seed"], cfg["model"]["cnn"]["channels"]))
     assert [r for _, r in seen] == [(f"a_H{h}", s, [4, 4]) for h in (7, 14) for s in (1, 2)]
     assert seen[1][0] == ("data.horizon=7", "model.cnn.channels=[4, 4]", "train.seed=2")
+
+
+def test_faithfulness_against_a_loop(spark):
+    r = np.random.default_rng(4)
+    shape = model.Shape(n_features=2, horizon=3, d_model=6, n_prototypes=4, patch_len=4, patch_stride=2, channels=(5,), text_dim=3, text_hidden=5, head_hidden=7)
+    w = model.initial_weights(shape, 3)
+    x, text, y = r.normal(size=(30, 12, 2)), r.normal(size=(30, 3)), r.normal(size=(30, 3))
+    rows = spark.createDataFrame([("a", i, x[i].tolist(), text[i].tolist(), y[i].tolist()) for i in range(30)], "ticker string, end_idx int, x array<array<double>>, text array<double>, y array<double>")
+    draws = {row["end_idx"]: row["d"] for row in rows.selectExpr("end_idx", "pmod(xxhash64(ticker, end_idx, 42), 1048576) AS d").collect()}
+    want = np.zeros(5)
+    for i in range(30):
+        own = model.forward(w, shape, x[i : i + 1], text[i : i + 1])
+        near = int(own.d2.min(1).argmin())
+        preds = []
+        for k in (near, (near + 1 + draws[i] % 4) % 5):
+            changed = x[i].copy()
+            changed[2 * k : 2 * k + 4] = x[i].mean(0)
+            preds.append(model.forward(w, shape, changed[None], text[i : i + 1]).pred[0])
+        want += [((own.pred[0] - y[i]) ** 2).mean(), *(((p - y[i]) ** 2).mean() for p in preds), *(np.abs(p - own.pred[0]).mean() for p in preds)]
+    got = experiment.faithfulness(rows, w, shape).first()
+    assert got["n"] == 30 and np.allclose([got[c] for c in ("mse", "mse_nearest", "mse_random", "shift_nearest", "shift_random")], want / 30)
+    assert experiment.faithfulness(rows.limit(0), w, shape).first()["n"] == 0

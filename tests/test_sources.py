@@ -4,6 +4,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.sources import config, market, tracking
 from tideline.streaming.ingest import ingest_stream
@@ -56,6 +57,14 @@ def test_cache_symbols_and_limits(spark, csv, tmp_path):
     assert market.news_for_symbol(market.ingest_news(spark, csv, cache, "src"), "AAPL").count() == 3
 
 
+def test_several_sources(spark, csv, tmp_path):
+    other = tmp_path / "other.csv"
+    other.write_text("Stock_symbol,Date\nAAPL,2023-02-01\n")
+    news = market.ingest_sources(spark, {"b": str(other), "a": csv}, str(tmp_path / "cache"))
+    assert {(r["source"], r["n"]) for r in market.news_for_symbol(news, "AAPL").groupBy("source").agg(F.count("*").alias("n")).collect()} == {("a", 2), ("b", 1)}
+    assert market.ingest_sources(spark, {}, str(tmp_path / "cache")).columns == news.columns
+
+
 def test_precache(spark, csv, tmp_path):
     sets = {"dev": ["AAPL", "NA", "MISSING"]}
     got = {r["ticker"]: r["n"] for r in market.precache(spark, csv, str(tmp_path / "c"), "src", sets).collect()}

@@ -5,10 +5,11 @@ from __future__ import annotations
 import itertools
 import logging
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,39 @@ def projection_examples(rows: DataFrame, w: dict[str, np.ndarray], shape: model.
     return nearest.select("proto_id", "window_no", "seg_no", "distance", F.struct("ticker", "end_date", "end_idx").alias("meta"))
 
 
+def faithfulness(rows: DataFrame, w: dict[str, np.ndarray], shape: model.Shape, seed: int = 42) -> DataFrame:
+    """One row: whether predictions hang on the segments that explain them; n, mse, and for two ways of masking one segment
+    mse_nearest, mse_random and the mean absolute change of the predictions, shift_nearest and shift_random.
+
+    Masked is, by the window's own feature means, the segment nearest to any prototype, or another one drawn by a hash of
+    the keys. ``rows``: ticker, end_idx, x, text, y. Explanations that are faithful change more than the draw does.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(w)
+    names = ("error", "error_nearest", "error_random", "shift_nearest", "shift_random")
+
+    def masked(x: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        at = np.arange(x.shape[1])[None, :] - segment[:, None] * shape.patch_stride
+        return np.where(((at >= 0) & (at < shape.patch_len))[..., None], x.mean(1, keepdims=True), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                x, text_vec, y = model.cube(b.column(0), -1, shape.n_features), model.cube(b.column(1), shape.text_dim), model.cube(b.column(2), shape.horizon)
+                own = model.forward(shared.value, shape, x, text_vec)
+                per = own.seg_pre.shape[1]
+                nearest = own.d2.min(1).reshape(-1, per).argmin(1)
+                drawn = (nearest + 1 + b.column(3).to_numpy() % max(1, per - 1)) % per
+                other = [model.forward(shared.value, shape, masked(x, k), text_vec).pred for k in (nearest, drawn)]
+                values = [((p - y) ** 2).mean(1) for p in (own.pred, *other)] + [np.abs(p - own.pred).mean(1) for p in other]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=list(names))
+
+    draw = F.pmod(F.xxhash64("ticker", "end_idx", F.lit(seed)), F.lit(1 << 20))
+    cast = [F.col(c).cast(t).alias(c) for c, t in (("x", "array<array<double>>"), ("text", "array<double>"), ("y", "array<double>"))]
+    made = rows.select(*cast, draw.alias("draw")).mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    return made.agg(F.count("*").alias("n"), *[F.avg(c).alias(c.replace("error", "mse")) for c in names])
+
+
 def run_training(cfg: dict[str, Any], rows: DataFrame, workers: int = 8) -> dict[str, float | None]:
     """Train, keep the best weights, and return the test errors; all that a run leaves is under ``cfg.paths.output_dir``.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -108,6 +109,13 @@ def ingest_news(spark: SparkSession, csv: str, cache: str, source: str) -> DataF
     return read_cache(spark, at)
 
 
+def ingest_sources(spark: SparkSession, csvs: dict[str, str], cache: str) -> DataFrame:
+    """The cached tables of several news CSVs, by name of the source, one under the other, with the name as ``source``."""
+    columns = [c.split()[0] for c in NEWS.split(", ")]
+    parts = [ingest_news(spark, csv, cache, name).select(*columns, F.lit(name).alias("source")) for name, csv in sorted(csvs.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], NEWS + ", source string")
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cached news; tickers keep their type as strings, whatever they look like."""
     return spark.read.schema(NEWS).parquet(path)
