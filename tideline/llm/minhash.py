@@ -264,10 +264,11 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def block_links(buckets: DataFrame, texts: DataFrame, percent: int, words: int = 5) -> DataFrame:
+def block_links(buckets: DataFrame, kept: DataFrame, texts: DataFrame, percent: int, words: int = 5) -> DataFrame:
     """Links (a, b) that connect what the buckets' rows of different components connect.
 
-    ``buckets``: key, node, n, component, sketch. A bucket's rows are dealt into chunks of about BLOCK; each pair of chunks
+    ``buckets``: key, node, n, component; ``kept``: node, n, sketch, joined to the rows of buckets that aren't connected yet alone.
+    A bucket's rows are dealt into chunks of about BLOCK; each pair of chunks
     is a group of bounded size. Sketches rule a pair out when they agree in fewer coordinates than similar sets do but
     once in tens of millions of times (five and a half standard deviations). A group names the pairs left if they are
     few, and they are verified one by one. A group with more than DENSE pairs a row is verified as a whole, in one task that
@@ -279,7 +280,7 @@ def block_links(buckets: DataFrame, texts: DataFrame, percent: int, words: int =
     size = buckets.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.min("node").alias("head"))
     chunks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
     size = size.filter("lo <> hi").groupBy("m", "all", "sig", "head").agg(F.min("key").alias("key")).select("key", "m", F.least(chunks, F.col("m").cast("int")).alias("chunks"))
-    rows = join_hot(buckets, size, "key", "m").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
+    rows = join_hot(buckets, size, "key", "m").join(kept, ["node", "n"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("node", "n", "component", "sketch", "key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk")
 
@@ -350,8 +351,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5) -> DataF
     texts = stage(texts.withColumn("h", F.sha2("text", 256)).dropDuplicates(["node", "h"]).drop("h"), "candidate-texts")
     first = stage(verify(pairs, texts, percent, words), "links")
     labels = components(nodes, first)
-    dealt = stage(buckets.select("key", "node", "n").join(labels, "node").join(reps.select("node", "n", "sketch"), ["node", "n"]), "dealt")
-    more = stage(block_links(dealt, texts, percent, words), "links")
+    dealt = stage(buckets.select("key", "node", "n").join(labels, "node"), "dealt")
+    more = stage(block_links(dealt, reps.select("node", "n", "sketch"), texts, percent, words), "links")
     links = stage(first.unionByName(more).unionByName(equal).distinct(), "links")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     reached = components(ends, links)
