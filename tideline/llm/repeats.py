@@ -319,8 +319,10 @@ def repeated_windows(base: DataFrame, block: int = BLOCK, segment: int = SEGMENT
     """(doc, start, count): windows of ``base`` (doc, text) that repeat an earlier one. Every row comes from the transform."""
     spread = 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = base.mapInArrow(cut_runs(spread, segment, block_runs), RUNS).repartition("key", "piece").sortWithinPartitions("key", "piece", "place")
+    # written, so that the shuffle before it can be given up while the next ones grow
+    met = stage(cut.mapInArrow(meet_runs, RUNS), "runs")
     # a document's list is in proportion to its text
-    by_doc = cut.mapInArrow(meet_runs, RUNS).groupBy("doc").agg(F.collect_list(F.struct("key", "piece", "split", "place")).alias("runs"))
+    by_doc = met.groupBy("doc").agg(F.collect_list(F.struct("key", "piece", "split", "place")).alias("runs"))
     strings = base.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(fetch_bytes, STRINGS)
     found = []
     for level in range(1 << 10):
