@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, licenses, minhash, packing, pii, repeats, secrets, toxicity, warc
+from . import bpe, decontam, fim, fingerprints, licenses, minhash, packing, pii, repeats, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passages=decontam.Passages())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sum_of_squares_packing, op3_near_duplicates, op4_personal_data, op5_license_scan, op6_warc_archive, op7_repeated_strings, op8_toxicity, op9_fingerprints, op10_decontamination)}
+def op11_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = table(spark, sf_dir, "documents"), packing.default_vocabulary()
+    back = bpe.decode(bpe.encode(docs, bpe.build(docs, vocabulary)), vocabulary)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sum_of_squares_packing, op3_near_duplicates, op4_personal_data, op5_license_scan, op6_warc_archive, op7_repeated_strings, op8_toxicity, op9_fingerprints, op10_decontamination, op11_bpe_lexicon, op12_fill_in_middle)}
 
 #: What SQL can express of them. DuckDB has no base32, so an expression over its hex digits writes it.
 _B32 = " || ".join(
@@ -73,4 +85,14 @@ ORACLE_SQL = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+             g AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform([0, 1, 2, 3], lambda k: ('0x' || substr(h, 1 + 8 * k, 8))::BIGINT) AS r FROM d),
+             c AS (SELECT *, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS lo, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS hi,
+                          CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+             p AS (SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:], '') AS suf FROM c)
+        SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
 }
