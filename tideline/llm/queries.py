@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fim, fingerprints, licenses, minhash, packing, pii, repeats, secrets, toxicity, warc
+from . import bpe, decontam, fim, fingerprints, licenses, minhash, negatives, packing, pii, repeats, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sum_of_squares_packing, op3_near_duplicates, op4_personal_data, op5_license_scan, op6_warc_archive, op7_repeated_strings, op8_toxicity, op9_fingerprints, op10_decontamination, op11_bpe_lexicon, op12_fill_in_middle)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull() & finite).select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vec"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sum_of_squares_packing, op3_near_duplicates, op4_personal_data, op5_license_scan, op6_warc_archive, op7_repeated_strings, op8_toxicity, op9_fingerprints, op10_decontamination, op11_bpe_lexicon, op12_fill_in_middle, op13_hard_negatives)}
 
 #: What SQL can express of them. DuckDB has no base32, so an expression over its hex digits writes it.
 _B32 = " || ".join(
@@ -95,4 +102,12 @@ ORACLE_SQL = {
                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
                sha256(t) AS restored_sha256
         FROM p""",
+    "op13_hard_negatives": """
+        WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
 }
