@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .common import SLICE_BYTES, checkpoint_root
+from .common import SLICE_BYTES, checkpoint_root, stage
 
 MOST_WORDS = 1 << 17
 #: Words of a task that are counted before they are handed on.
@@ -311,13 +311,20 @@ class Lexicon:
 
 
 def build(docs: DataFrame, vocabulary_path: str, text: str = "text", most_words: int = MOST_WORDS) -> Lexicon:
-    """The most frequent words of all texts (ties: by their bytes), compiled and handed to the executors.
+    """The most frequent words of all texts, compiled and handed to the executors.
 
-    The driver holds ``most_words`` words at most. A table without words gives a lexicon without words.
+    Words come by classes of frequency (a sixteenth of an octave each), as many whole classes from the top as hold
+    ``most_words`` words at most; so the driver never gets more. A table without words gives a lexicon without words.
     """
     spark = docs.sparkSession
-    top = word_counts(docs, vocabulary_path, text).orderBy(F.desc("n"), "word").limit(most_words)
-    words = [bytes(r[0]) for r in top.select("word").collect()]
+    counts = stage(word_counts(docs, vocabulary_path, text), "lexicon-words")
+    by_class = counts.withColumn("class", F.floor(F.log2("n") * 16))
+    least, room = None, most_words
+    for r in sorted(by_class.groupBy("class").count().collect(), reverse=True):  # a thousand classes at most
+        if r["count"] > room:
+            break
+        least, room = r["class"], room - r["count"]
+    words = [] if least is None else [bytes(r[0]) for r in by_class.filter(F.col("class") >= least).select("word").collect()]
     blob = lexicon.to_bytes(compiled(vocabulary(vocabulary_path), words))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = f"{checkpoint_root(spark)}/tideline/{name}"
