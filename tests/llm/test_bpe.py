@@ -55,7 +55,7 @@ def test_slices_do_not_matter(monkeypatch):
     texts = drawn(5, 200, 200)
     whole = coder([b" a"]).encode(texts)
     monkeypatch.setattr(bpe, "pieces", lambda text, special, most=7, f=bpe.pieces: f(text, special, most))
-    monkeypatch.setattr(bpe, "SLICE_BYTES", 50)
+    monkeypatch.setattr(bpe, "SLICE", 50)
     assert coder([b" a"]).encode(texts) == whole
 
 

@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .common import SLICE_BYTES, checkpoint_root, stage
+from .common import checkpoint_root, stage
 
 MOST_WORDS = 1 << 17
 #: Words of a task that are counted before they are handed on.
-COUNTED = 1 << 18
+COUNTED = 1 << 17
+#: Code points that are cut into words at once, and rows that are turned into Python's strings at once.
+SLICE, ROWS = 1 << 18, 256
 LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 LONG_WORD = 256
 NEVER = 1 << 62
@@ -227,7 +229,7 @@ def cut(parts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 SAFE = re.compile(r"(?<=\S)(?=\s)")
 
 
-def pieces(text: str, special: re.Pattern | None, most: int = SLICE_BYTES) -> Iterator[tuple[str, bool]]:
+def pieces(text: str, special: re.Pattern | None, most: int = SLICE) -> Iterator[tuple[str, bool]]:
     """Parts of a text that are cut into words apart, and whether it is a special token.
 
     Beyond ``most`` code points a part ends where white space follows something else, which begins a word whatever stands around it.
@@ -250,20 +252,26 @@ def specials(v: Vocabulary) -> re.Pattern | None:
 
 
 def sliced(texts: Iterator[str], special: re.Pattern | None) -> Iterator[list[tuple[int, str, bool]]]:
-    """(number of the text, part, whether special) in lists of about SLICE_BYTES code points."""
+    """(number of the text, part, whether special) in lists of about SLICE code points."""
     held: list[tuple[int, str, bool]] = []
     size = 0
     for k, text in enumerate(texts):
         for part, is_special in pieces(text, special):
             held.append((k, part, is_special))
             size += len(part)
-            if size >= SLICE_BYTES:
+            if size >= SLICE:
                 yield held
                 held, size = [], 0
     if held:
         yield held
 
 
+def rows_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
 def word_counts(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
     """word binary and n: how often each word occurs in all texts. Tasks hand on sums, a row a word."""
 
@@ -271,7 +279,7 @@ def word_counts(docs: DataFrame, vocabulary_path: str, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special, counts = specials(vocabulary(vocabulary_path)), Counter()
-        for b in batches:
+        for b in rows_at_once(batches):
             for some in sliced((str(t) for t in b.column(0)), special):
                 parts = [p for _, p, is_special in some if not is_special]
                 if parts:
@@ -390,7 +398,7 @@ def encode(docs: DataFrame, lexicon_: Lexicon, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(_opened(SparkFiles.get(file)), vocabulary(path))
-        for b in batches:
+        for b in rows_at_once(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coder.encode([str(t) for t in b.column(1)]), pa.binary())], names=[doc_id, "ids"])
 
     picked = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -405,7 +413,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocabulary_path)
         token = [t or b"" for t in v.tokens]
-        for b in batches:
+        for b in rows_at_once(batches):
             texts = []
             for x in b.column(at).to_pylist():
                 if x is None:
