@@ -3,13 +3,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 import logging
+import threading
 
 import numpy as np
 import yaml
 
 from tideline import __main__ as command
-from tideline.operators import experiment, model
-from tideline.sources import tracking
+from tideline.operators import experiment, model, text
+from tideline.sources import config, tracking
 
 CONFIG = {
     "data": {"news_source": "src", "features": ["open", "close", "volume"], "target": "close", "lookback": 60, "horizon": 7, "train_until": "2020-06-30", "val_until": "2020-08-15", "tickers": {"dev": ["AAPL", "MSFT"]}},
@@ -42,7 +43,7 @@ def test_training_from_a_configuration(spark, tmp_path, caplog, capsys):
     with caplog.at_level(logging.INFO, logger="tideline.experiment"):
         command.main(["train", "--config", str(path), "--cache", str(tmp_path / "cache")])
     out = tmp_path / "out"
-    assert "Dataset sizes: train 100" in caplog.text and "Epoch 2" in caplog.text and "Test: " in caplog.text
+    assert "Windows: train 100" in caplog.text and "Epoch 2" in caplog.text and "Test: " in caplog.text
     assert "'mse'" in capsys.readouterr().out
     logged = {(r["key"], r["step"]) for r in tracking.read_metrics(spark, str(out / "runs")).collect()}
     assert {("train_loss", 1), ("val_mse", 2), ("test_mae", 2)} <= logged
@@ -53,7 +54,7 @@ def test_training_from_a_configuration(spark, tmp_path, caplog, capsys):
     assert [e["proto_id"] for e in sorted(examples, key=lambda e: e["proto_id"])] == [0, 1, 2] and all(e["meta"]["ticker"] in ("AAPL", "MSFT") for e in examples)
     assert yaml.safe_load((out / "config_resolved.yaml").read_text())["paths"]["checkpoint_dir"] == f"{out}/checkpoints"
     command.main(["precache", "--config", str(data_config(tmp_path, path)), "--cache", str(tmp_path / "cache")])
-    assert capsys.readouterr().out.splitlines()[-2:] == ["AAPL: 8 news rows cached", "MSFT: 0 news rows cached"]
+    assert capsys.readouterr().out.splitlines()[-2:] == ["AAPL\t8", "MSFT\t0"]
 
 
 def data_config(tmp_path, path):
@@ -89,3 +90,62 @@ def test_faithfulness_against_a_loop(spark):
     got = experiment.faithfulness(rows, w, shape).first()
     assert got["n"] == 30 and np.allclose([got[c] for c in ("mse", "mse_nearest", "mse_random", "shift_nearest", "shift_random")], want / 30)
     assert experiment.faithfulness(rows.limit(0), w, shape).first()["n"] == 0
+
+
+def test_concurrent_sweep(spark, tmp_path):
+    """Two configurations overlap, a third fails by itself; each has its own folder and pool."""
+    path, together, pools = written(tmp_path), threading.Barrier(2, timeout=60), {}
+
+    def run(cfg):
+        seed = cfg["train"]["seed"]
+        if seed == 3:
+            raise ValueError("seed 3")
+        together.wait()
+        pools[seed] = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+        n = spark.range(100, numPartitions=4).selectExpr(f"sum(id * {seed})").first()[0]
+        spark.range(1).write.parquet(f"{cfg['paths']['output_dir']}/x")
+        return n, cfg["paths"]["checkpoint_dir"]
+
+    got = experiment.sweep(spark, str(path), ("train.seed=1,2,3",), run, jobs=3)
+    base = tmp_path / "out"
+    assert [o.overrides for o in got] == [("train.seed=1",), ("train.seed=2",), ("train.seed=3",)]
+    assert [o.result for o in got[:2]] == [(4950 * s, f"{base}/train.seed={s}/checkpoints") for s in (1, 2)]
+    assert isinstance(got[2].error, ValueError) and got[2].result is None and got[0].error is None
+    assert pools == {1: "train.seed=1", 2: "train.seed=2"} and (base / "train.seed=1/x/_SUCCESS").exists()
+
+
+def test_sweep_of_models_and_a_resumed_run(spark, tmp_path):
+    """Every model trains from the configuration, two at a time; a run that is asked to resume goes on from its state."""
+    path = written(tmp_path)
+    cfg = yaml.safe_load(path.read_text())
+    cfg["model"] |= {"n_heads": 2, "e_layers": 1, "dropout": 0.1}
+    cfg["train"] |= {"max_train_windows": 40, "max_test_windows": 40}
+    path.write_text(yaml.safe_dump(cfg))
+    run = lambda cfg: experiment.run_training(cfg, experiment.datasets(spark, cfg, str(tmp_path / "cache")), workers=2)
+    got = experiment.sweep(spark, str(path), ("model.name=b,c0,c1",), run, jobs=2)
+    assert [o.error for o in got] == [None] * 3 and all(np.isfinite(o.result["mse"]) for o in got)
+    assert all(len(list((tmp_path / f"out/model.name={n}/explain").iterdir())) == 1 for n in ("b", "c0", "c1"))
+    seen = []
+    experiment.log.addFilter(lambda r: seen.append(r.getMessage()) or True)
+    out = f"paths.output_dir={got[2].output_dir}"
+    longer = config.load(str(path), ("model.name=c1", out, "train.resume=true", "train.epochs=3"))
+    experiment.run_training(longer, experiment.datasets(spark, longer, str(tmp_path / "cache")), workers=2)
+    assert [m[:7] for m in seen if m.startswith("Epoch")] == ["Epoch 3"]
+
+
+def test_texts_of_a_window_against_a_loop(spark):
+    r = np.random.default_rng(5)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(int(k))
+    bars = [("a", day(k)) for k in sorted(r.choice(60, 30, replace=False))] + [("b", day(3))]
+    news = [(t, day(r.integers(-3, 64)), [float(x) for x in r.integers(0, 5, 2)]) for t in ("a", "b", "c") for _ in range(50)] + [(None, day(1), [1.0, 1.0]), ("a", None, [1.0, 1.0]), ("a", day(1), None)]
+    got = text.window_texts(spark.createDataFrame(bars, "ticker string, date date"), spark.createDataFrame(news, "ticker string, date date, vec array<double>"), 2, 4).collect()
+    dates = [d for t, d in bars if t == "a"]
+    assert len(got) == len(dates) - 3
+    for row in got:
+        k = dates.index(row["end_date"])
+        want = {}
+        for t, d, v in news:
+            if t == "a" and v and d and dates[k - 3] <= d <= dates[k]:
+                want.setdefault(d, []).append(v)
+        assert row["text_dates"] == sorted(want)
+        assert np.allclose(np.array(row["texts"]).reshape(-1, 2), np.array([np.mean(want[d], 0) for d in sorted(want)]).reshape(-1, 2))

@@ -40,7 +40,7 @@ def test_protocol_sizes():
     out = model.forward(model.initial_weights(shape), shape, np.zeros((2, 60, 5)), np.zeros((2, 64)))
     assert out.seg_pre.shape == (2, 9, 64) and out.pred.shape == (2, 7)
     with pytest.raises(ValueError):
-        model.build_model("b")
+        model.build_model("d")
 
 
 def test_gradients_against_differences():

@@ -4,9 +4,10 @@ import random
 import zipfile
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from tideline.sources import config, market, tracking
+from tideline.sources import config, delimited, market, tracking
 from tideline.streaming.ingest import ingest_stream
 
 NEWS = '''Date,Article_title,Stock_symbol,Article
@@ -172,3 +173,51 @@ def test_tracking(spark, tmp_path):
         run.log_metrics({"mse": 1.0})
     assert tracking.read_metrics(spark, root).filter("key = 'mse'").count() == 2
     assert {(r["key"], r["value"]) for r in tracking.read_params(spark, root).collect()} == {("lr", "0.1"), ("x.y", None)}
+
+
+@pytest.mark.parametrize("bytes_a_split", [60, 1000, 1_000_000])
+def test_a_quote_that_is_never_closed(spark, tmp_path, bytes_a_split):
+    """Its line is rejected and counted; the lines after it are read."""
+    path = tmp_path / "news.csv"
+    whole = tmp_path / "other.csv"
+    whole.write_text("Stock_symbol,Date,Article_title\nX,2023-01-02,\"two\nlines\"\n")
+    path.write_text("Date,Stock_symbol,Article_title\n" + "\n".join(f"2023-01-01,S{k},t{k}" if k != 3 else '2023-01-01,S3,"never closed' for k in range(400)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = [r["ticker"] for r in market.read_news(spark, str(tmp_path)).orderBy("news_id").collect()]
+        bad = [tuple(r) for r in market.rejected_lines(spark, str(tmp_path)).select("file", "line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [f"S{k}" for k in range(400) if k != 3] + ["X"]
+    assert bad == [("news.csv", '2023-01-01,S3,"never closed')]
+
+
+@pytest.mark.parametrize("bytes_a_split", [50, 5000])
+def test_records_have_a_bound(spark, tmp_path, bytes_a_split):
+    """A record of more characters than the bound loses its first line, wherever splits lie; one below it doesn't."""
+    path = tmp_path / "news.csv"
+    long = "\n".join(f"part {k} of a long field" for k in range(12))
+    path.write_text(f'a,b\n1,"{long}"\n2,x\n3,"short\nfield"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        read = lambda most: delimited.read_records(spark, str(path), ("a", "b"), most).orderBy("_at").collect()
+        enough, less = read(1000), read(120)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["a"], r["b"]) for r in enough] == [("1", long), ("2", "x"), ("3", "short\nfield")]
+    assert [r["_reject"] for r in less if r["_reject"]] == ['1,"part 0 of a long field']
+    assert [(r["a"], r["b"]) for r in less if r["a"] in ("2", "3")] == [("2", "x"), ("3", "short\nfield")]
+
+
+def test_stream_refuses_other_headers(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.csv").write_text("Date,Stock_symbol,Article_title,Url,Publisher,Author,Article\n2023-01-01,AAPL,a title,,,,\n")
+    query = ingest_stream(spark, str(landing), str(tmp_path / "target"), str(tmp_path / "cp"))
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination()
+    assert not list((tmp_path / "target").rglob("part-*.parquet"))

@@ -22,20 +22,22 @@ def main(args: list[str] | None = None) -> None:
     train.add_argument("--config", required=True)
     train.add_argument("--cache", required=True)
     train.add_argument("--multirun", action="store_true")
+    train.add_argument("--jobs", type=int, default=1, help="configurations of a sweep at a time")
     train.add_argument("overrides", nargs="*", help="key=value; with --multirun several values, separated by commas")
     chosen = parser.parse_args(args)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
-    spark = SparkSession.builder.appName("tideline").getOrCreate()
+    builder = SparkSession.builder.appName("tideline")
+    spark = (builder.config("spark.scheduler.mode", "FAIR") if getattr(chosen, "jobs", 1) > 1 else builder).getOrCreate()
     if chosen.command == "precache":
         data = config.load(chosen.config)
         found = market.precache(spark, market.news_path(data["root"], data["news_source"]), chosen.cache, data["news_source"], data["tickers"], chosen.ticker_set)
         for row in found.orderBy("ticker").collect():  # a row a configured ticker
-            print(f"{row['ticker']}: {row['n']} news rows cached")
+            print(row["ticker"], row["n"], sep="\t")
         return
     run = lambda cfg: experiment.run_training(cfg, experiment.datasets(spark, cfg, chosen.cache))
     if chosen.multirun:
-        for overrides, result in experiment.multirun(chosen.config, tuple(chosen.overrides), run):
-            print(" ".join(overrides), result)
+        for done in experiment.sweep(spark, chosen.config, tuple(chosen.overrides), run, chosen.jobs):
+            print(" ".join(done.overrides), done.result if done.error is None else f"failed: {done.error}")
     else:
         print(run(config.load(chosen.config, tuple(chosen.overrides))))
 

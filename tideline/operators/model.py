@@ -1,19 +1,19 @@
-"""The forecast model: a convolutional segment encoder, prototypes, residual injection and late text fusion, in numpy.
+"""Forecast model a: a convolutional segment encoder, prototypes, residual injection and late text fusion, in numpy. Models
+b, c0 and c1 (attention.py) are scored and trained by the same functions.
 
-Scoring is a projection over Arrow batches with the weights broadcast. Training is data-parallel: windows are dealt to
-workers by a hash of their keys; in a round, one Spark job, every worker trains on its own windows, mini-batch by mini-batch, from
-the common weights, and the driver averages what they end with. The driver holds weights and moments only, whose size is
-the model's. One worker is the plain sequential loop.
+Scoring is a projection over Arrow batches with the weights broadcast. Training (training.py) is data-parallel; one worker
+is the plain sequential loop.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.metrics import forecast_metrics
@@ -40,18 +40,24 @@ class Shape:
     head_hidden: int = 128
 
 
-MODELS = {"a": Shape}
+    @property
+    def ragged_text(self) -> bool:
+        """Whether a window has several text vectors (column ``texts``) instead of one (column ``text``)."""
+        return False
 
 
 def build_model(name: str = "a", **sizes) -> Shape:
-    """The model's shape by name; only model ``a`` is defined."""
-    if name not in MODELS:
-        raise ValueError(f"model {name!r} isn't defined; there is {', '.join(MODELS)}")
-    return MODELS[name](**sizes)
+    """The model's shape by name: a, b, c0 or c1."""
+    models = {"a": Shape, **attention.shapes()}
+    if name not in models:
+        raise ValueError(f"model {name!r} isn't defined; there is {', '.join(models)}")
+    return models[name](**sizes)
 
 
 def initial_weights(shape: Shape, seed: int = 42) -> dict[str, np.ndarray]:
     """Weights uniform within 1 / sqrt(fan in), prototypes normal with deviation 0.02, batch norms at identity."""
+    if isinstance(shape, attention.PatchShape):
+        return attention.initial_weights(shape, seed)
     r = np.random.default_rng(seed)
     w: dict[str, np.ndarray] = {}
 
@@ -106,6 +112,8 @@ class Pass:
 
 def forward(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, text: np.ndarray, training: bool = False) -> Pass:
     """Scores of windows x [B, T, C] and text [B, E]. Batch norms take running statistics, or the batch's in training."""
+    if isinstance(shape, attention.PatchShape):
+        return attention.forward(w, shape, x, text, training)
     k: dict = {}
     h, half = x, shape.kernel // 2
     for i in range(len(shape.channels)):
@@ -131,13 +139,31 @@ def forward(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, text: np.ndar
     return Pass(pred, seg, post, d2, k)
 
 
-def loss_and_gradients(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, text: np.ndarray, y: np.ndarray, lambdas: tuple[float, float, float] = (0.1, 0.1, 0.01)) -> tuple[dict[str, float], dict[str, np.ndarray], Pass]:
-    """Losses of a mini-batch in training mode, gradients of every trained weight, and the pass."""
+def through_prototypes(z: np.ndarray, d2: np.ndarray, soft: np.ndarray, p: np.ndarray, d_mix: np.ndarray, lambdas: tuple[float, float, float], d_min: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of segments z and prototypes p, by that of the mixtures and by the prototype losses themselves."""
+    n, protos = d2.shape
+    i, j = np.triu_indices(protos, 1)
+    d_soft = d_mix @ p.T
+    d_p = soft.T @ d_mix
+    d_d2 = -soft * (d_soft - (soft * d_soft).sum(1, keepdims=True))
+    d_d2[np.arange(n), d2.argmin(1)] += lambdas[0] / n
+    d_d2[d2.argmin(0), np.arange(protos)] += lambdas[1] / protos
+    d_z = 2 * (z * d_d2.sum(1, keepdims=True) - d_d2 @ p)
+    d_p += 2 * (p * d_d2.sum(0)[:, None] - d_d2.T @ z)
+    near = ((p[i] - p[j]) ** 2).sum(1) < d_min
+    if len(i):
+        pull = -2 * lambdas[2] / len(i) * (p[i] - p[j])[near]
+        np.add.at(d_p, i[near], pull)
+        np.add.at(d_p, j[near], -pull)
+    return d_z, d_p
+
+
+def loss_and_gradients(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, text: np.ndarray, y: np.ndarray, lambdas: tuple[float, float, float] = (0.1, 0.1, 0.01), rng: np.random.Generator | None = None) -> tuple[dict[str, float], dict[str, np.ndarray], Pass]:
+    """Losses of a mini-batch in training mode, gradients of every trained weight, and the pass. ``rng`` draws for models with dropout."""
+    if isinstance(shape, attention.PatchShape):
+        return attention.loss_and_gradients(w, shape, x, text, y, lambdas, rng)
     out = forward(w, shape, x, text, training=True)
     k, p, g = out.kept, w["prototypes"], {}
-    z = out.seg_pre.reshape(-1, shape.d_model)
-    n, protos = out.d2.shape
-    i, j = np.triu_indices(protos, 1)
     parts = {"l_pred": float(((out.pred - y) ** 2).mean()), "l_c": float(out.d2.min(1).mean()), "l_e": float(out.d2.min(0).mean()), "l_d": diversity_loss(p, shape.d_min)}
     parts["loss"] = weighted_total(*parts.values(), *lambdas)
 
@@ -152,19 +178,7 @@ def loss_and_gradients(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, te
     dense("text0", k["text"], d_text)
     d_post = np.broadcast_to(d[:, None, : shape.d_model] / out.seg_post.shape[1], out.seg_post.shape)
     d_mix = dense("inject", k["mix"], d_post).reshape(-1, shape.d_model)
-    d_soft = d_mix @ p.T
-    d_p = k["soft"].T @ d_mix
-    d_d2 = -k["soft"] * (d_soft - (k["soft"] * d_soft).sum(1, keepdims=True))
-    d_d2[np.arange(n), out.d2.argmin(1)] += lambdas[0] / n
-    d_d2[out.d2.argmin(0), np.arange(protos)] += lambdas[1] / protos
-    d_z = 2 * (z * d_d2.sum(1, keepdims=True) - d_d2 @ p)
-    d_p += 2 * (p * d_d2.sum(0)[:, None] - d_d2.T @ z)
-    near = ((p[i] - p[j]) ** 2).sum(1) < shape.d_min
-    if len(i):
-        pull = -2 * lambdas[2] / len(i) * (p[i] - p[j])[near]
-        np.add.at(d_p, i[near], pull)
-        np.add.at(d_p, j[near], -pull)
-    g["prototypes"] = d_p
+    d_z, g["prototypes"] = through_prototypes(out.seg_pre.reshape(-1, shape.d_model), out.d2, k["soft"], p, d_mix, lambdas, shape.d_min)
     d = dense("patch", k["cols"], d_z.reshape(out.seg_pre.shape) + d_post)
     d = spans_back(d, k["h"], shape.patch_len, shape.patch_stride)
     half = shape.kernel // 2
@@ -205,29 +219,59 @@ def cube(column: pa.Array, *size: int) -> np.ndarray:
     return flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(column), *size)
 
 
-def score(rows: DataFrame, w: dict[str, np.ndarray], shape: Shape, keys: tuple[str, ...] = ("ticker", "end_idx"), chunk: int = 256) -> DataFrame:
-    """The keys with pred array<double>, seg_pre and seg_post array<array<double>> of each window.
+def text_column(shape: Shape) -> Column:
+    """The text that the model takes, as the rows have it: one vector a window, or any number of them."""
+    return F.col("texts").cast("array<array<double>>").alias("text") if shape.ragged_text else F.col("text").cast("array<double>").alias("text")
+
+
+def text_of(column: pa.Array, shape: Shape) -> np.ndarray | attention.Ragged:
+    """A batch's text. A null set of vectors is empty, null coordinates are 0."""
+    if not shape.ragged_text:
+        return cube(column, shape.text_dim)
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    return attention.Ragged(cube(column.flatten(), shape.text_dim), counts)
+
 
-    ``rows``: keys, x array<array<double>> (T x features) and text array<double>. Null coordinates count as 0. All
-    windows of a table have one length. Segments stand before and after the injection.
+OUTPUTS = {"pred": "array<double>", "seg_pre": "array<array<double>>", "seg_post": "array<array<double>>", "attention": "array<double>"}
+
+
+def score(
+    rows: DataFrame, w: dict[str, np.ndarray], shape: Shape, keys: tuple[str, ...] = ("ticker", "end_idx"), chunk: int = 64, outputs: tuple[str, ...] = ("pred", "seg_pre", "seg_post"), carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """The keys, the columns of ``carry``, and what is asked for in ``outputs`` of each window.
+
+    pred is array<double>; seg_pre and seg_post, the segments before and after the injection, are array<array<double>>;
+    attention is array<double>, the weights of the window's text vectors in their order (models that attend to them only; what
+    is left to 1 went to the token for no text). What isn't asked for isn't made into a column. ``rows``: keys, x
+    array<array<double>> (T x features), and text array<double> or, for models that attend to texts, texts
+    array<array<double>>. Null coordinates count as 0. All windows of a table have one length.
     """
+    if "attention" in outputs and not shape.ragged_text:
+        raise ValueError("this model doesn't attend to texts")
     shared = rows.sparkSession.sparkContext.broadcast(w)
-    at = len(keys)
+    kept = (*keys, *carry)
+    at = len(kept)
+
+    def column(name: str, out: Pass, text: np.ndarray | attention.Ragged) -> pa.Array:
+        if name == "pred":
+            return nested(out.pred)
+        if name == "attention":
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(text.counts)), pa.int32()), pa.array(out.kept["attention"], pa.float64()))
+        seg = getattr(out, name)
+        flat = nested(seg.reshape(-1, shape.d_model))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seg.shape[1]), pa.int32()), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, chunk):
                 batch = whole.slice(lo, chunk)
-                out = forward(shared.value, shape, cube(batch.column(at), -1, shape.n_features), cube(batch.column(at + 1), shape.text_dim))
-                segments = []
-                for seg in (out.seg_pre, out.seg_post):
-                    flat = nested(seg.reshape(-1, shape.d_model))
-                    segments.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seg.shape[1]), pa.int32()), flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], nested(out.pred), *segments], names=[*keys, "pred", "seg_pre", "seg_post"])
+                text = text_of(batch.column(at + 1), shape)
+                out = forward(shared.value, shape, cube(batch.column(at), -1, shape.n_features), text)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[column(name, out, text) for name in outputs]], names=[*kept, *outputs])
 
-    picked = rows.select(*keys, F.col("x").cast("array<array<double>>").alias("x"), F.col("text").cast("array<double>").alias("text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.select(*keys).schema)
-    return picked.mapInArrow(run, schema + "pred array<double>, seg_pre array<array<double>>, seg_post array<array<double>>")
+    picked = rows.select(*kept, F.col("x").cast("array<array<double>>").alias("x"), text_column(shape))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.select(*kept).schema)
+    return picked.mapInArrow(run, schema + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
 
 
 def segments(scored: DataFrame, keys: tuple[str, ...] = ("ticker", "end_idx"), column: str = "seg_post") -> DataFrame:
@@ -236,130 +280,9 @@ def segments(scored: DataFrame, keys: tuple[str, ...] = ("ticker", "end_idx"), c
 
 
 def evaluate(rows: DataFrame, w: dict[str, np.ndarray], shape: Shape) -> dict[str, float | None]:
-    """mse and mae over all elements of all windows, and their number; None without windows."""
-    keyed = score(rows, w, shape).select("ticker", "end_idx", "pred").join(rows.select("ticker", "end_idx", "y"), ["ticker", "end_idx"])
-    return forecast_metrics(keyed).first().asDict()
-
-
-@dataclass
-class Fit:
-    weights: dict[str, np.ndarray]
-    history: list[dict]
-    best_epoch: int | None
-
-
-def train(
-    training: DataFrame, validation: DataFrame, shape: Shape, path: str, *, epochs: int = 20, batch_size: int = 32, rate: float = 1e-3, decay: float = 1e-4, clip: float | None = 1.0,
-    patience: int = 5, eval_every: int = 1, seed: int = 42, batches_per_step: int | None = None, workers: int = 8, lambdas: tuple[float, float, float] = (0.1, 0.1, 0.01),
-    report: Callable[[dict], None] | None = None,
-) -> Fit:
-    """Weights of the epoch with the least validation mse (the last ones if none was a number).
-
-    A round is a job: each of ``workers`` takes ``batches_per_step`` mini-batches or, with None, all its windows of the
-    epoch, and weights, moments and running statistics are averaged, a worker counting as its mini-batches. Which windows
-    a worker and a round have, and in which order, follows from hashes of keys, seed and epoch, so the result doesn't
-    depend on partitions up to rounding; it does depend on ``workers``. ``path`` is a folder that all executors share; the
-    windows are written there once. ``report`` is called with each epoch's entry of the history.
-    """
-    spark = training.sparkSession
-    n = training.count()
-    if n == 0:
-        raise ValueError("there are no training windows")
-    rounds = max(1, round(n / (batch_size * batches_per_step * workers))) if batches_per_step else 1
-    hashed = lambda what: F.xxhash64("ticker", "end_idx", F.lit(f"{what} {seed}"))
-    columns = ["ticker", "end_idx", F.col("x").cast("array<array<double>>").alias("x"), F.col("text").cast("array<double>").alias("text"), F.col("y").cast("array<double>").alias("y")]
-    dealt = training.select(*columns, F.pmod(hashed("worker"), F.lit(workers)).cast("int").alias("worker"))
-    dealt.write.mode("overwrite").parquet(f"{path}/windows")
-    rows = spark.read.schema(dealt.schema).parquet(f"{path}/windows")
-
-    def work(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            worker, held = None, []
-            state: tuple = ()
-
-            def step(some: list[pa.RecordBatch]) -> None:
-                t = pa.Table.from_batches(some).combine_chunks()
-                x = cube(t["x"].chunk(0), -1, shape.n_features)
-                parts, g, out = loss_and_gradients(state[0], shape, x, cube(t["text"].chunk(0), shape.text_dim), cube(t["y"].chunk(0), shape.horizon), lambdas)
-                state[1].step(state[0], g)
-                m = x.shape[0] * x.shape[1]
-                for i in range(len(shape.channels)):
-                    state[0][f"norm{i}.mean"] += 0.1 * (out.kept[i][5] - state[0][f"norm{i}.mean"])
-                    state[0][f"norm{i}.var"] += 0.1 * (out.kept[i][6] * m / max(1, m - 1) - state[0][f"norm{i}.var"])
-                state[2].append(parts["loss"])
-
-            def done() -> pa.RecordBatch:
-                if held:
-                    step(held)
-                    held.clear()
-                made = [(kind, name, v.ravel()) for kind, d in (("w", state[0]), ("m", state[1].first), ("v", state[1].second)) for name, v in d.items()]
-                columns = [pa.array([k for k, _, _ in made]), pa.array([k for _, k, _ in made]), pa.array([v for _, _, v in made], pa.list_(pa.float64()))]
-                totals = [pa.array([float(sum(state[2]))] * len(made)), pa.array([len(state[2])] * len(made), pa.int64())]
-                return pa.RecordBatch.from_arrays([*columns, *totals], names=["kind", "name", "value", "loss", "batches"])
-
-            for whole in batches:
-                number = whole.column(3).to_numpy()
-                at = 0
-                while at < len(number):
-                    if number[at] != worker:
-                        if worker is not None:
-                            yield done()
-                        worker = number[at]
-                        w, optimiser = shared.value
-                        copy = lambda d: {k: v.copy() for k, v in d.items()}
-                        state = (copy(w), AdamW(optimiser.rate, optimiser.decay, optimiser.clip), [])
-                        state[1].steps, state[1].first, state[1].second = optimiser.steps, copy(optimiser.first), copy(optimiser.second)
-                    same = int(np.searchsorted(number, worker, "right"))
-                    room = batch_size - sum(b.num_rows for b in held)
-                    take = min(room, same - at)
-                    held.append(whole.slice(at, take))
-                    at += take
-                    if take == room:
-                        step(held)
-                        held.clear()
-            if worker is not None:
-                yield done()
-
-        return run
-
-    w, optimiser, history, best, best_mse, bad = initial_weights(shape, seed), AdamW(rate, decay, clip), [], None, float("inf"), 0
-    kept = {k: v.copy() for k, v in w.items()}
-    improved = False
-    for epoch in range(1, epochs + 1):
-        loss = batches = 0.0
-        ordered = rows.withColumn("at", hashed(f"order {epoch}")).withColumn("round", F.pmod(hashed(f"round {epoch}"), F.lit(rounds)))
-        for turn in range(rounds):
-            part = ordered.filter(F.col("round") == turn).repartition(workers, "worker").sortWithinPartitions("worker", "at", "ticker", "end_idx").select("x", "text", "y", "worker")
-            shared = spark.sparkContext.broadcast((w, optimiser))
-            # three rows for each weight and worker: three times the model's size, times the workers
-            made = part.mapInArrow(work(shared), "kind string, name string, value array<double>, loss double, batches long").collect()
-            shared.unpersist()
-            if not made:
-                continue
-            one = [r for r in made if r["kind"] == "w" and r["name"] == "prototypes"]
-            total = sum(r["batches"] for r in one)
-            loss, batches = loss + sum(r["loss"] for r in one), batches + total
-            mean = lambda kind, name: sum(np.array(r["value"]) * r["batches"] for r in made if r["kind"] == kind and r["name"] == name).reshape(w[name].shape) / total  # noqa: E731, B023
-            optimiser.steps += max(r["batches"] for r in one)
-            names = [k for k in w if trained(k)]
-            optimiser.first, optimiser.second = {k: mean("m", k) for k in names}, {k: mean("v", k) for k in names}
-            w = {k: mean("w", k) for k in w}
-        history.append({"epoch": epoch, "train_loss": loss / max(batches, 1)})
-        stop = False
-        if epoch % eval_every == 0:
-            history[-1] |= {f"val_{k}": v for k, v in evaluate(validation, w, shape).items()}
-            mse = history[-1]["val_mse"]
-            if mse is not None and mse < best_mse:
-                best, best_mse, bad, improved = epoch, mse, 0, True
-                kept = {k: v.copy() for k, v in w.items()}
-            else:
-                bad += 1
-                stop = bad >= max(patience, 1)
-        if report:
-            report(history[-1])
-        if stop:
-            break
-    return Fit(kept if improved else w, history, best)
+    """mse and mae over all elements of all windows, and their number; None without windows. One pass: targets go along with the windows."""
+    made = score(rows.withColumn("y", F.col("y").cast("array<double>")), w, shape, (), outputs=("pred",), carry=("y",))
+    return forecast_metrics(made).first().asDict()
 
 
 def save_weights(spark, w: dict[str, np.ndarray], path: str, shape: Shape) -> None:
@@ -373,3 +296,15 @@ def save_weights(spark, w: dict[str, np.ndarray], path: str, shape: Shape) -> No
 def load_weights(spark, path: str) -> dict[str, np.ndarray]:
     rows = spark.read.schema("layer string, size array<int>, values array<double>").parquet(f"{path}/weights").collect()
     return {r["layer"]: np.array(r["values"]).reshape(r["size"]) for r in rows}
+
+
+from tideline.operators import attention  # noqa: E402  # it builds on what stands above
+
+
+def __getattr__(name: str):
+    """train and Fit, which stand in training.py."""
+    if name in ("train", "Fit"):
+        from tideline.operators import training
+
+        return getattr(training, name)
+    raise AttributeError(name)

@@ -57,3 +57,25 @@ def window_text(bars: DataFrame, news: DataFrame, dim: int, lookback: int) -> Da
     full = at_start.filter("n IS NOT NULL")
     n = F.greatest(F.col("n"), F.lit(1))
     return full.select("ticker", "end_date", F.col("n").cast("long").alias("n_news"), F.array(*[F.when(F.col("n") > 0, F.col(v) / n).otherwise(F.lit(0.0)) for v in vec]).alias("text"))
+
+
+def window_texts(bars: DataFrame, news: DataFrame, dim: int, lookback: int) -> DataFrame:
+    """ticker, end_date, text_dates and texts: one mean vector for each day with news, from a look-back's first day to its last.
+
+    ``news``: ticker, date, vec. Days stand in order, and a window without news has empty arrays; otherwise as window_text().
+    News are averaged by ticker and day before the shuffle; a day that isn't a bar's goes with the next bar, and windows
+    gather their bars' days, so a set is bounded by the calendar, however many news a day has.
+    """
+    known = news.filter("ticker IS NOT NULL AND date IS NOT NULL AND vec IS NOT NULL")
+    sums = [F.sum(F.coalesce(F.get("vec", F.lit(k)).cast("double"), F.lit(0.0))).alias(f"v{k}") for k in range(dim)]
+    daily = known.groupBy("ticker", F.col("date").cast("date").alias("date")).agg(F.count("*").alias("n"), *sums)
+    daily = daily.select("ticker", "date", F.array(*[F.col(f"v{k}") / F.col("n") for k in range(dim)]).alias("vec"))
+    days = bars.select("ticker", "date", F.lit(True).alias("bar"), F.lit(None).cast("array<double>").alias("vec"))
+    both = daily.select("ticker", "date", F.lit(False).alias("bar"), "vec").unionByName(days)
+    ahead = Window.partitionBy("ticker").orderBy(F.desc("date"), F.desc("bar"))  # a day's bar stands before its news
+    placed = both.withColumn("bar_date", F.last(F.when(F.col("bar"), F.col("date")), ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0))).filter("bar_date IS NOT NULL")
+    gathered = placed.groupBy("ticker", "bar_date").agg(F.array_sort(F.collect_list(F.when(~F.col("bar"), F.struct("date", "vec")))).alias("own"))
+    back = Window.partitionBy("ticker").orderBy("bar_date").rowsBetween(-(lookback - 1), 0)
+    rows = gathered.select("ticker", F.col("bar_date").alias("end_date"), F.min("bar_date").over(back).alias("start_date"), F.count(F.lit(1)).over(back).alias("rows"), F.flatten(F.collect_list("own").over(back)).alias("all"))
+    inside = rows.filter(F.col("rows") == lookback).withColumn("all", F.filter("all", lambda d: d["date"] >= F.col("start_date")))
+    return inside.select("ticker", "end_date", F.col("all.date").alias("text_dates"), F.col("all.vec").alias("texts"))

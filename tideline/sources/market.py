@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.sources.delimited import read_records
+from tideline.sources.files import exists, hadoop_path
 
 NEWS_COLUMNS = ("Date", "Article_title", "Stock_symbol", "Url", "Publisher", "Author", "Article")
 NEWS = "news_id long, date timestamp, ticker string, title string, url string, publisher string, author string, article string"
@@ -32,17 +33,6 @@ def prices_path(spark: SparkSession, root: str) -> str:
     return f"{outer}/full_history" if exists(spark, f"{outer}/full_history") else outer
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    system, at = hadoop_path(spark, path)
-    return system.exists(at)
-
-
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Changes when the file at ``path`` is replaced: a digest of its size and modification time."""
     system, at = hadoop_path(spark, path)
@@ -65,13 +55,15 @@ def extract_prices(root: str) -> bool:
     return True
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], rejects: bool = False) -> DataFrame:
     """The named columns as strings by each file's own header, null where a file lacks one, with ``_file`` and ``_at``.
 
-    Quotes are doubled, and fields may hold line ends; files are read in splits all the same (see ``delimited``).
+    Quotes are doubled, and fields may hold line ends; files are read in splits all the same (see ``delimited``). Lines that
+    open a quote for good are left out; with ``rejects`` there is nothing else, and they stand in ``_reject``.
     """
     try:
-        return read_records(spark, path, columns)
+        rows = read_records(spark, path, columns)
+        return rows.filter(F.col("_reject").isNotNull()) if rejects else rows.filter(F.col("_reject").isNull()).drop("_reject")
     except FileNotFoundError as e:
         raise SourceMissing(path) from e
     except AnalysisException as e:
@@ -160,6 +152,11 @@ def read_price(spark: SparkSession, directory: str, ticker: str) -> DataFrame:
     return read_prices(spark, f"{directory}/{ticker}.csv")
 
 
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, at and line of each line of a CSV that opens a quote which is never closed; ``at`` is in the order of the file."""
+    return read_csv(spark, path, (), rejects=True).select(F.col("_file").alias("file"), F.col("_at").alias("at"), F.col("_reject").alias("line"))
+
+
 def rejects(prices: DataFrame) -> DataFrame:
     """ticker, n_rows and bad_dates of each ticker."""
     return prices.groupBy("ticker").agg(F.count("*").alias("n_rows"), F.count_if(F.col("date").isNull()).alias("bad_dates"))
