@@ -43,9 +43,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/tideline/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage: shuffle files go when nothing refers to their shuffle any more, and a driver
+    with memory to spare may not look for hours. Called where lineage ends."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def hot_bound(rows: int) -> int:
     """A key with more rows than this is hot: fewer than HOT_KEYS keys are, and none that a task wouldn't notice."""
     return max(1000, rows // HOT_KEYS)

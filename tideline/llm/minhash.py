@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, POWERS, checkpoint_root, deal, hot_bound, hot_keys, join_hot, mix, slices, stage, text_bytes
+from .common import GOLDEN, POWERS, checkpoint_root, deal, free_shuffles, hot_bound, hot_keys, join_hot, mix, slices, stage, text_bytes
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
@@ -225,6 +225,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = hopped.join(heard, "node", "left").select("node", "old", F.least("old", "hop", F.coalesce("heard", "old")).alias("component")).checkpoint()
         rows, most, changed = labels.groupBy("component").agg(F.count("*").alias("n"), F.count_if(F.col("old") != F.col("component")).alias("changed")).agg(F.sum("n"), F.max("n"), F.sum("changed")).first()
         labels = labels.select("node", "component")
+        free_shuffles(labels.sparkSession)
         if not changed:
             return labels
         sizes = (rows, most) if most > hot_bound(rows) else (0, 0)
