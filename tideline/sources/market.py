@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import zipfile
 from functools import reduce
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.sources import archive
 from tideline.sources.delimited import read_records
 from tideline.sources.files import exists, hadoop_path
 
@@ -42,16 +41,16 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(f"{status.getLen()}:{status.getModificationTime()}".encode()).hexdigest()[:16]
 
 
-def extract_prices(root: str) -> bool:
-    """Unzip ``Stock_price/full_history.zip`` on a local file system; True if there was something to do.
+def extract_prices(root: str, spark: SparkSession | None = None) -> bool:
+    """Unzip ``Stock_price/full_history.zip`` by tasks, beside itself (see ``archive``); True if there was something to do.
 
     Nothing happens without the archive or where its directory exists already.
     """
-    archive, target = Path(root, "Stock_price/full_history.zip"), Path(root, "Stock_price/full_history")
-    if not archive.exists() or target.exists():
+    spark = spark or SparkSession.getActiveSession()
+    source, target = f"{root}/Stock_price/full_history.zip", f"{root}/Stock_price/full_history"
+    if not exists(spark, source) or exists(spark, target):
         return False
-    with zipfile.ZipFile(archive) as z:
-        z.extractall(target)
+    archive.extract(spark, source, target)
     return True
 
 
