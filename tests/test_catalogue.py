@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest import plain_forward, rows
 
-from tideline.operators import model
+from tideline.operators import attention, model
 from tideline.plans import catalogue
 
 
@@ -54,3 +54,62 @@ def test_forward_and_examples_against_plain_loops(spark, sf_dir):
         best = int(d2.argmin())
         assert (example["window_no"], example["seg_no"]) == divmod(best, 9) and abs(example["distance"] - d2[best]) < 1e-8
         assert (example["meta"]["ticker"], example["meta"]["end_idx"]) == (bank[best // 9]["ticker"], bank[best // 9]["end_idx"])
+
+
+@pytest.fixture(scope="module")
+def scaled(spark, sf_dir):
+    """The windows of the model queries as arrays, by split."""
+    found = catalogue.model_rows(spark, sf_dir, sets=True).orderBy("ticker", "end_idx").collect()
+    return found, np.array([r["x"] for r in found]), np.array([r["y"] for r in found]) / 10_000
+
+
+def scored(name, found, x):
+    """Each window's prediction, and the pass, in one call without Spark."""
+    shape = catalogue.shapes()[name]
+    sets = [np.array(r["texts"]).reshape(-1, 2) for r in found]
+    text = attention.Ragged(np.concatenate(sets), np.array([len(s) for s in sets])) if shape.ragged_text else np.array([r["text"] for r in found])
+    return model.forward(model.initial_weights(shape), shape, x, text)
+
+
+def test_evaluation_and_ablation_against_arrays(spark, sf_dir, scaled):
+    found, x, y = scaled
+    split = np.array([r["split"] for r in found])
+    errors = {n: scored(n, found, x).pred - y for n in ("a", "b", "c0", "c1")}
+    for r in catalogue.QUERIES["model_evaluate"](spark, sf_dir).collect():
+        own = errors["a"][split == r["split"]]
+        assert r["n"] == own.size and abs((own**2).mean() - r["mse"]) < 1e-8 and abs(np.abs(own).mean() - r["mae"]) < 1e-8
+    row = catalogue.QUERIES["model_ablation"](spark, sf_dir).first()
+    mse = {n: (e[split == "test"] ** 2).mean() for n, e in errors.items()}
+    assert all(abs(row[f"{n}_mse"] - mse[n]) < 1e-8 for n in mse)
+    assert all(abs(row[f"delta_{a}_{b}_mse"] - (mse[b] - mse[a])) < 2e-8 for a, b in (("a", "b"), ("b", "c0"), ("c0", "c1")))
+
+
+def test_attention_against_arrays(spark, sf_dir, scaled):
+    found, x, _ = scaled
+    weights = np.split(scored("c1", found, x).kept["attention"], np.cumsum([len(r["texts"]) for r in found])[:-1])
+    got = {(r["ticker"], r["end_idx"]): r for r in catalogue.QUERIES["model_text_attention"](spark, sf_dir).collect()}
+    assert len(got) == len(found)
+    for r, w in zip(found, weights, strict=True):
+        one = got[r["ticker"], r["end_idx"]]
+        assert one["n_days"] == len(w) and abs(one["total"] - w.sum()) < 2e-6
+        assert one["day"] is None if not len(w) else one["day"] in [d for d, v in zip(r["text_dates"], w, strict=True) if v > w.max() - 1e-9]
+
+
+def test_faithfulness_query_against_a_loop(spark, sf_dir, scaled):
+    found, x, y = scaled
+    draws = {(r["ticker"], r["end_idx"]): r["d"] for r in catalogue.model_rows(spark, sf_dir).selectExpr("ticker", "end_idx", "pmod(xxhash64(ticker, end_idx, 42), 1048576) AS d").collect()}
+    keep = [k for k, r in enumerate(found) if r["split"] == "test"]
+    test = [found[k] for k in keep]
+    for row in catalogue.QUERIES["model_faithfulness"](spark, sf_dir).collect():
+        own = scored(row["model"], test, x[keep])
+        near = own.d2.min(1).reshape(len(test), -1).argmin(1)
+        masked = x[keep].copy()
+        other = x[keep].copy()
+        for k, r in enumerate(test):
+            drawn = (near[k] + 1 + draws[r["ticker"], r["end_idx"]] % 8) % 9
+            for changed, seg in ((masked, near[k]), (other, drawn)):
+                changed[k, 6 * seg : 6 * seg + 12] = x[keep][k].mean(0)
+        assert row["n"] == len(test) and abs(row["mse"] - ((own.pred - y[keep]) ** 2).mean()) < 1e-8
+        for name, changed in (("nearest", masked), ("random", other)):
+            pred = scored(row["model"], test, changed).pred
+            assert abs(row[f"mse_{name}"] - ((pred - y[keep]) ** 2).mean()) < 1e-8 and abs(row[f"shift_{name}"] - np.abs(pred - own.pred).mean()) < 1e-8

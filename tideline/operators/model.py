@@ -232,7 +232,7 @@ def text_of(column: pa.Array, shape: Shape) -> np.ndarray | attention.Ragged:
     return attention.Ragged(cube(column.flatten(), shape.text_dim), counts)
 
 
-OUTPUTS = {"pred": "array<double>", "seg_pre": "array<array<double>>", "seg_post": "array<array<double>>", "attention": "array<double>"}
+OUTPUTS = {"pred": "array<double>", "seg_pre": "array<array<double>>", "seg_post": "array<array<double>>", "attention": "array<double>", "n_segments": "int"}
 
 
 def score(
@@ -240,7 +240,7 @@ def score(
 ) -> DataFrame:
     """The keys, the columns of ``carry``, and what is asked for in ``outputs`` of each window.
 
-    pred is array<double>; seg_pre and seg_post, the segments before and after the injection, are array<array<double>>;
+    pred is array<double>, n_segments int; seg_pre and seg_post, the segments before and after the injection, are array<array<double>>;
     attention is array<double>, the weights of the window's text vectors in their order (models that attend to them only; what
     is left to 1 went to the token for no text). What isn't asked for isn't made into a column. ``rows``: keys, x
     array<array<double>> (T x features), and text array<double> or, for models that attend to texts, texts
@@ -255,6 +255,8 @@ def score(
     def column(name: str, out: Pass, text: np.ndarray | attention.Ragged) -> pa.Array:
         if name == "pred":
             return nested(out.pred)
+        if name == "n_segments":
+            return pa.array(np.full(len(out.pred), out.seg_post.shape[1], np.int32))
         if name == "attention":
             return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(text.counts)), pa.int32()), pa.array(out.kept["attention"], pa.float64()))
         seg = getattr(out, name)

@@ -6,6 +6,8 @@ orders (customer number as ticker), segments from embeddings, prototypes are the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 BOUNDS = ("1999-12-31", "2000-12-31")
 TICKS = ("l_orderkey", "l_linenumber", "l_partkey")
-LIT_CONFIG = {"model": {"name": "a", "cnn": {"channels": [32, 64, 64], "kernel_size": 3}}, "train": {"lr": 0.001, "caps": None, "tags": []}, "empty": {}}
 
 BARS = """bars AS (
     SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date,
@@ -315,29 +316,54 @@ def early_stop(spark, sf_dir):
     return metrics.early_stop(daily.select(F.row_number().over(Window.orderBy("d")).alias("epoch"), "val"), patience=5)
 
 
-@register("""SELECT * FROM (VALUES ('model.name', 'a'), ('model.cnn.channels', '32,64,64'), ('model.cnn.kernel_size', '3'), ('train.lr', '0.001'), ('train.caps', NULL), ('train.tags', '')) t(key, value)""")
+@register("""WITH r AS (SELECT n_nationkey AS run, n_name, r_name, (SELECT string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS t, (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS f
+        FROM nation LEFT JOIN region ON r_regionkey = n_regionkey)
+    SELECT run, unnest(['experiment.name', 'experiment.region.name', 'data.tickers', 'data.first']) AS key, unnest([n_name, r_name, coalesce(t, ''), f::VARCHAR]) AS value FROM r""")
 def config_flatten(spark, sf_dir):
-    return config.as_table(spark, LIT_CONFIG)
+    """A configuration for each nation, its suppliers as the ticker set, in flat form."""
+    sets = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_set("s_suppkey")).alias("tickers"))
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(sets, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    tickers = F.coalesce("tickers", F.array().cast("array<bigint>"))
+    data = F.struct(tickers.alias("tickers"), F.get(tickers, F.lit(0)).alias("first"))
+    return config.flatten_rows(rows.select(F.col("n_nationkey").alias("run"), F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name")).alias("region")).alias("experiment"), data.alias("data")), ("run",))
+
+
+@register(f"""WITH {window_sql()}, n AS (SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice / 1000) AS a, avg((o_orderkey % 7)::DOUBLE) AS b FROM orders GROUP BY ALL)
+    SELECT w.ticker, w.end_date, count(n.a) AS n_days, CAST(min(n.date) AS VARCHAR) AS first_day, CAST(max(n.date) AS VARCHAR) AS last_day, round(coalesce(sum(n.a), 0), 6) AS sum_0, round(coalesce(arg_max(n.b, n.date), 0), 6) AS last_1
+    FROM (SELECT ticker, start_date, end_date FROM framed WHERE nb = 60) w LEFT JOIN n ON n.ticker = w.ticker AND n.date BETWEEN w.start_date AND w.end_date GROUP BY w.ticker, w.end_date""")
+def window_text_days(spark, sf_dir):
+    """The sets of text vectors that windows attend to, one vector a day with news."""
+    news = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.array(F.col("o_totalprice") / 1000, (F.col("o_orderkey") % 7).cast("double")).alias("vec"))
+    made = text.window_texts(bars(spark, sf_dir), news, 2, series.LOOKBACK)
+    total = F.aggregate("texts", F.lit(0.0), lambda a, v: a + v[0])
+    last = F.when(F.size("texts") > 0, F.element_at("texts", -1)[1]).otherwise(0.0)
+    return made.select("ticker", "end_date", F.size("texts").cast("long").alias("n_days"), F.get("text_dates", F.lit(0)).cast("string").alias("first_day"), F.array_max("text_dates").cast("string").alias("last_day"), F.round(total, 6).alias("sum_0"), F.round(last, 6).alias("last_1"))
 
 
 #: Model a at its own sizes, over two features.
 SHAPE = model.Shape(n_features=2, text_dim=2)
 
 
-def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows with split, x, text and y."""
+def shapes() -> dict[str, model.Shape]:
+    """The four models at their own sizes, over two features."""
+    return {"a": SHAPE, **{name: model.build_model(name, n_features=2, text_dim=2) for name in ("b", "c0", "c1")}}
+
+
+def model_rows(spark: SparkSession, sf_dir: str, sets: bool = False) -> DataFrame:
+    """Windows with split, x, text and y; with ``sets`` also texts and text_dates, a vector for each day with news."""
     all_bars = bars(spark, sf_dir)
     rows = split_windows(spark, sf_dir, features=("close", "volume"))
     scaled = F.transform("x", lambda r: F.array(r["close"] / 10_000, r["volume"] / 50))
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.array(F.col("o_totalprice") / 100_000, F.lit(1.0)).alias("vec"))
     text_rows = text.window_text(all_bars, orders, 2, series.LOOKBACK).select("ticker", "end_date", "text")
-    return rows.withColumn("x", scaled).join(text_rows, ["ticker", "end_date"])
+    rows = rows.withColumn("x", scaled).join(text_rows, ["ticker", "end_date"])
+    return rows.join(text.window_texts(all_bars, orders, 2, series.LOOKBACK), ["ticker", "end_date"]) if sets else rows
 
 
 @register()
 def model_forward(spark, sf_dir):
-    made = model.score(model_rows(spark, sf_dir), model.initial_weights(SHAPE), SHAPE)
-    return made.select("ticker", "end_idx", F.round(F.col("pred")[0], 6).alias("pred_first"), F.round(F.element_at("pred", -1), 6).alias("pred_last"), F.size("seg_post").alias("n_segments"))
+    made = model.score(model_rows(spark, sf_dir), model.initial_weights(SHAPE), SHAPE, outputs=("pred", "n_segments"))
+    return made.select("ticker", "end_idx", F.round(F.col("pred")[0], 6).alias("pred_first"), F.round(F.element_at("pred", -1), 6).alias("pred_last"), "n_segments")
 
 
 @register()
@@ -345,3 +371,42 @@ def projection_json(spark, sf_dir):
     """The first prototypes' nearest training segments after injection, a JSON text each."""
     found = experiment.projection_examples(model_rows(spark, sf_dir).filter("split = 'train'"), model.initial_weights(SHAPE), SHAPE)
     return found.select("proto_id", F.to_json(F.struct("proto_id", "window_no", "seg_no", F.round("distance", 9).alias("distance"), "meta")).alias("example"))
+
+
+@register()
+def model_evaluate(spark, sf_dir):
+    """Errors of model a by split, in one pass over the windows; targets are scaled as the inputs are."""
+    rows = model_rows(spark, sf_dir).withColumn("y", F.transform("y", lambda v: v / 10_000))
+    made = model.score(rows, model.initial_weights(SHAPE), SHAPE, ("split",), outputs=("pred",), carry=("y",))
+    return metrics.forecast_metrics(made, by=("split",)).select("split", "n", F.round("mse", 9).alias("mse"), F.round("mae", 9).alias("mae"))
+
+
+@register()
+def model_ablation(spark, sf_dir):
+    """The table of the four models' errors on the test windows, and the change of each step: other backbone, gated text, attended texts."""
+    rows = model_rows(spark, sf_dir, sets=True).filter("split = 'test'").withColumn("y", F.transform("y", lambda v: v / 10_000))
+    reports = []
+    for name, shape in shapes().items():
+        made = model.score(rows, model.initial_weights(shape), shape, ("split",), outputs=("pred",), carry=("y",))
+        reports.append(metrics.forecast_metrics(made, by=("split",)).withColumn("model", F.lit(name)))
+    out = metrics.deltas(reduce(DataFrame.unionByName, reports), [("a", "b"), ("b", "c0"), ("c0", "c1")], by="split")
+    return out.select("split", *[F.round(c, 9).alias(c) for c in out.columns if c != "split"])
+
+
+@register()
+def model_faithfulness(spark, sf_dir):
+    """Of models a and c1: how far predictions of the test windows move when the explaining segment is masked, and when another is."""
+    rows = model_rows(spark, sf_dir, sets=True).filter("split = 'test'").withColumn("y", F.transform("y", lambda v: v / 10_000))
+    found = [experiment.faithfulness(rows, model.initial_weights(shape), shape).withColumn("model", F.lit(name)) for name, shape in shapes().items() if name in ("a", "c1")]
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("model", "n", *[F.round(c, 9).alias(c) for c in out.columns if c not in ("model", "n")])
+
+
+@register()
+def model_text_attention(spark, sf_dir):
+    """Of each window: its days with news, the one that model c1 attends to most (ties: the first), its weight, and what goes to all of them."""
+    shape = shapes()["c1"]
+    made = model.score(model_rows(spark, sf_dir, sets=True), model.initial_weights(shape), shape, outputs=("attention",), carry=("text_dates",))
+    most = F.array_max("attention")
+    total = F.aggregate("attention", F.lit(0.0), lambda a, v: a + v)
+    return made.select("ticker", "end_idx", F.size("attention").alias("n_days"), F.element_at("text_dates", F.array_position("attention", most).cast("int")).alias("day"), F.round(most, 6).alias("weight"), F.round(total, 6).alias("total"))

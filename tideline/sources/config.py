@@ -9,6 +9,8 @@ from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 REFERENCE = re.compile(r"\$\{([^${}]+)\}")
 
@@ -90,6 +92,26 @@ def as_table(spark: SparkSession, tree: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, "key string, value string")
 
 
+def flatten_rows(rows: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """The ids, key and value of each row's nested columns, as flatten() has them: dotted names of structs' fields, arrays as
+    comma-joined text (nulls in them left out), nulls as null; a null struct gives its fields as null. A row of n fields gives n rows."""
+
+    def leaves(kind: StructType, column, prefix: str) -> list:
+        out = []
+        for f in kind.fields:
+            own, name = column(f.name), f"{prefix}{f.name}"
+            if isinstance(f.dataType, StructType):
+                out += leaves(f.dataType, lambda n, own=own: own.getField(n), f"{name}.")
+            else:
+                value = F.when(own.isNotNull(), F.array_join(own.cast("array<string>"), ",")) if isinstance(f.dataType, ArrayType) else own.cast("string")
+                out.append(F.struct(F.lit(name).alias("key"), value.alias("value")))
+        return out
+
+    kept = StructType([f for f in rows.schema.fields if f.name not in ids])
+    found = leaves(kept, F.col, "")
+    return rows.select(*ids, F.inline(F.array(*found))) if found else rows.select(*ids, F.lit("").alias("key"), F.lit("").alias("value")).limit(0)
+
+
 def save(tree: dict[str, Any], path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(yaml.safe_dump(tree, sort_keys=False))
