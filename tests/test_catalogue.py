@@ -7,8 +7,9 @@ import json
 import numpy as np
 import pytest
 from conftest import plain_forward, rows
+from test_latent import dense
 
-from tideline.operators import attention, model
+from tideline.operators import attention, latent, model
 from tideline.plans import catalogue
 
 
@@ -113,3 +114,16 @@ def test_faithfulness_query_against_a_loop(spark, sf_dir, scaled):
         for name, changed in (("nearest", masked), ("random", other)):
             pred = scored(row["model"], test, changed).pred
             assert abs(row[f"mse_{name}"] - ((pred - y[keep]) ** 2).mean()) < 1e-8 and abs(row[f"shift_{name}"] - np.abs(pred - own.pred).mean()) < 1e-8
+
+
+def test_latent_vectors_against_numpy(spark, sf_dir):
+    """The vectors span what numpy's SVD of the full matrix spans: as much of the texts' words lies in them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = [r["w"] for r in docs.orderBy("doc_id").select(latent.words(docs["text"], 1 << 12).alias("w")).collect()]
+    a = dense(found, 1 << 12)
+    made = latent.fit(docs, dim=8, buckets=1 << 12, turns=4, more=8)
+    best = np.linalg.svd(a, compute_uv=False)[:8]
+    assert (np.linalg.norm(a @ made.basis, axis=0) <= best + 1e-9).all() and np.linalg.norm(a @ made.basis) > 0.98 * np.linalg.norm(best)
+    got = np.array([r["vec"] for r in catalogue.QUERIES["news_latent_vectors"](spark, sf_dir).orderBy("doc_id").collect()])
+    want = a @ made.basis
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300), atol=1e-4)

@@ -17,7 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import attention, model, prototypes, series, text, training
+from tideline.operators import attention, latent, model, prototypes, series, text, training
 from tideline.sources import config, files, market, tracking
 
 log = logging.getLogger("tideline.experiment")
@@ -54,7 +54,8 @@ def shape_of(cfg: dict[str, Any], rows: DataFrame) -> model.Shape:
 def datasets(spark: SparkSession, cfg: dict[str, Any], cache: str) -> DataFrame:
     """Windows of the configured ticker set with split, x, text (or texts, for a model that attends to them) and y, from price files and the news cache.
 
-    ``cfg.data``: root, news_source, tickers (sets by name), features, target, lookback, horizon, train_until, val_until.
+    ``cfg.data``: root, news_source, tickers (sets by name), features, target, lookback, horizon, train_until, val_until, and
+    text_encoder: hashed (words' hashes), or latent (learnt from the news up to train_until, see ``latent``).
     """
     data, wanted = cfg["data"], cfg["data"]["tickers"][cfg["train"].get("ticker_set", "dev")]
     features = tuple(f.replace(" ", "_") for f in data["features"])
@@ -62,7 +63,10 @@ def datasets(spark: SparkSession, cfg: dict[str, Any], cache: str) -> DataFrame:
     lookback, dim = data.get("lookback", series.LOOKBACK), cfg["model"].get("text_dim", 64)
     made = series.with_split(series.windows(bars, features, data.get("target", "close"), lookback, data["horizon"]), data["train_until"], data["val_until"])
     news = market.in_set(market.ingest_news(spark, market.news_path(data["root"], data["news_source"]), cache, data["news_source"]), wanted)
-    vectors = news.select("ticker", F.col("date").cast("date").alias("date"), text.hashed_words(F.col("title"), dim).alias("vec"))
+    vec = text.hashed_words(F.col("title"), dim)
+    if data.get("text_encoder", "hashed") == "latent":
+        vec = latent.encode(F.col("title"), latent.fit(news.filter(F.col("date") <= F.lit(data["train_until"])), "title", dim), spark)
+    vectors = news.select("ticker", F.col("date").cast("date").alias("date"), vec.alias("vec"))
     if model.build_model(cfg["model"]["name"]).ragged_text:
         found, kind = text.window_texts(bars, vectors, dim, lookback), "texts"
     else:

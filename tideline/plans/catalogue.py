@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import experiment, metrics, model, prototypes, series, text
+from tideline.operators import experiment, latent, metrics, model, prototypes, series, text
 from tideline.sources import config, market
 
 QUERIES: dict = {}
@@ -410,3 +410,11 @@ def model_text_attention(spark, sf_dir):
     most = F.array_max("attention")
     total = F.aggregate("attention", F.lit(0.0), lambda a, v: a + v)
     return made.select("ticker", "end_idx", F.size("attention").alias("n_days"), F.element_at("text_dates", F.array_position("attention", most).cast("int")).alias("day"), F.round(most, 6).alias("weight"), F.round(total, 6).alias("total"))
+
+
+@register()
+def news_latent_vectors(spark, sf_dir):
+    """Every document's place among the first eight learnt directions of all documents' words."""
+    docs = table(spark, sf_dir, "documents")
+    made = latent.fit(docs, dim=8, buckets=1 << 12, turns=4, more=8)
+    return docs.select("doc_id", F.transform(latent.encode(F.col("text"), made, spark), lambda v: F.round(v, 4)).alias("vec"))
