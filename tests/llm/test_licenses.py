@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import duckdb
 import pytest
 from conftest import rows
@@ -184,3 +186,51 @@ def test_spacing_and_marks_as_the_oracle_has_them(spark):
     con.register("documents", docs.toPandas())
     assert rows(licenses.scan(docs)) == rows(con.execute(licenses.oracle_sql()).df())
     assert {r["doc_id"] for r in licenses.scan(docs).filter("n_known > 0").collect()} == {0, 1, 2, 3, 4, 5}
+
+
+APACHE_FULL = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use."""
+GPL_FULL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+def test_titles_expressions_and_short_notices(spark):
+    cases = [
+        (APACHE_FULL, "Apache-2.0"), (GPL_FULL, "GPL-3.0"), (UNLICENSE, "Unlicense"), ("Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED", "EPL-2.0"), (ZLIB, "Zlib"),
+        ("Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby", "BSL-1.0"), ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause)", "BSD-3-Clause,MIT"), ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0-or-later"), ("SPDX-License-Identifier: Other-1.0", ""),
+        ("Distributed under the Apache License, Version 2.0.", "Apache-2.0"), ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"),
+        ("Licensed under the Apache License 2.0", "Apache-2.0"), (FULL_MIT.replace("\n", "<br>\n"), "MIT"), (FULL_MIT.replace("\n", "<br/>"), "MIT"), ("The code is available under the BSD 3-Clause license.", "BSD-3-Clause"),
+    ]
+    got = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {k: x for k, (_, x) in enumerate(cases)}
+
+
+@pytest.mark.parametrize("line", ["neither the name of a software\n", "copyright software ", "copyright software\n", "(<a <b software", "\n \n.;:! licen", "permission is granted to anyone to use this software for any purpose "])
+def test_long_texts_take_time_in_proportion(spark, line):
+    """Two megabytes of the beginning of a known sentence."""
+    began = time.time()
+    assert licenses.scan(spark.createDataFrame([(1, line * (2_000_000 // len(line)))], "doc_id long, text string")).first()["licenses"] == ""
+    assert time.time() - began < 30

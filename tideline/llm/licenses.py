@@ -64,7 +64,7 @@ FAMILIES = (("GPL", "", ("2", "3")), ("LGPL", "lesser ", ("2.1", "3")), ("AGPL",
 LATER = (("-or-later", " or at your option any later version"), ("", ""))
 VERSIONS = [(family, kind, v, suffix, rest) for family, kind, versions in FAMILIES for v in versions for suffix, rest in LATER]
 #: Licences that have an identifier of their own in a line of its own kind.
-NAMED = ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", *(f"{f}-{v if '.' in v else v + '.0'}{s}" for f, _, v, s, _ in VERSIONS))
+NAMED = ("Unlicense", "EPL-2.0", "BSL-1.0", "Zlib", "Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", *(f"{f}-{v if '.' in v else v + '.0'}{s}" for f, _, v, s, _ in VERSIONS))
 
 
 def token(name: str) -> str:
@@ -75,13 +75,46 @@ def full_name(family: str, version: str, suffix: str) -> str:
     return f"{family}-{version if '.' in version else version + '.0'}{suffix}"
 
 
+# Titles of whole licences with their dates, and how a notice calls a licence.
+TITLES = (
+    ("Apache-2.0", "apache license version 2 0 january 2004( http www apache org licenses)?"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    ("LGPL-2.1", "gnu lesser general public license version 2 1 february 1999"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007"),
+    ("MPL-2.0", "mozilla public license version 2 0"),
+    ("EPL-2.0", "eclipse public license v 2 0"),
+    ("BSL-1.0", "boost software license version 1 0 august 17th 2003"),
+)
+CALLED = (
+    ("Apache-2.0", "apache (software )?license (version |v )?2( 0)?"), ("MIT", "mit license"), ("ISC", "isc license"), ("BSD-3-Clause", "bsd 3 clause"), ("BSD-2-Clause", "bsd 2 clause"),
+    ("MPL-2.0", "mozilla public license (version |v )?2( 0)?"), ("EPL-2.0", "eclipse public license (version |v )?2( 0)?"), ("BSL-1.0", "boost software license (version |v )?1( 0)?"),
+)
+THING = "(this|the) (project|software|code|source code|work|repository|package|library|program|module|file)"
+#: What stands between the ends of a sentence that has a gap, in characters, at most.
+GAP = 300
+#: Marks of web pages within a notice.
+TAGS = r"(?i)</?(?:br|p|div|span|li|ul|ol|b|i|em|strong|tt|code|pre|h[1-6]|td|tr|a)(?:\s[^<>]{0,200})?/?>"
+SPDX = "spdx license identifier "
+
 NOTICES = (
     *((token(full_name(f, v, s)) + "_FREE", f"{FREE.format(kind)} (either )?version {v.replace('.', ' ')} of the license{rest}") for f, kind, v, s, rest in VERSIONS),
     ("MIT_GRANT", "(the )?(mit license )?copyright .* permission is hereby granted free of charge to any person obtaining a copy of this software.*"),
     ("ISC", "((the )?(isc license )?copyright .* )?permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    *((token(n) + "_SPDX", "spdx license identifier " + n.lower().replace("-", " ").replace(".", " ")) for n in NAMED),
 )
-NOTICE_RULES = (*((full_name(f, v, s), token(full_name(f, v, s)) + "_FREE") for f, _, v, s, _ in VERSIONS), ("ISC", "ISC"), *((n, token(n) + "_SPDX") for n in NAMED))
+# Further sentences, tried after SENTENCES.
+FURTHER = (
+    *((token(name) + "_TITLE", pattern) for name, pattern in TITLES),
+    *((token(name) + "_UNDER", f"({THING} )?(is |are )?(released|licensed|distributed|available|published) under (the )?(terms of )?(the )?{said}( license)?( see [^\n]*)?") for name, said in CALLED),
+    ("UNLICENSE", "this is free and unencumbered software released into the public domain"),
+    ("ZLIB_GRANT", "permission is granted to anyone to use this software for any purpose including commercial applications[^\n]*( and to alter it and redistribute it freely)?[^\n]*"),
+    ("BSL1_GRANT", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license[^\n]*"),
+)
+NOTICE_RULES = (
+    *((full_name(f, v, s), token(full_name(f, v, s)) + "_FREE") for f, _, v, s, _ in VERSIONS), ("ISC", "ISC"), *((n, token(n) + "_SPDX") for n in NAMED), *((n, token(n) + "_TITLE") for n, _ in TITLES),
+    *((n, token(n) + "_UNDER") for n, _ in CALLED), ("Unlicense", "UNLICENSE"), ("Zlib", "ZLIB_GRANT"), ("BSL-1.0", "BSL1_GRANT"),
+)
 #: A sentence ends at a stop or mark before white space, but not at that of "v." before a number, and at a line without
 #: letters and digits.
 SPLIT = r"(?<![^a-zA-Z][vV])[.!?][ \t\r\n]+|\n[^a-zA-Z0-9\n]*\n"
@@ -91,11 +124,11 @@ def spread(pattern: str) -> str:
     """A sentence's pattern over several lines: a line may end at each space, what is skipped at the end stays on its line."""
     if "copyright .*" in pattern or pattern.endswith(".*"):
         pattern = pattern.replace(".*", r"[^\n]*")
-    return pattern.replace(".*", r"[\s\S]*?").replace(" ", r"[ \n]")
+    return pattern.replace(".*", r"[\s\S]{0,%d}?" % GAP).replace(" ", r"[ \n]")
 
 
-#: A known sentence from a line's start to a line's end.
-KNOWN = "(?m)^(?:" + "|".join(spread(p) for _, p in NOTICES + SENTENCES) + ")$"
+#: A known sentence from a line's start to a line's end, or an SPDX line.
+KNOWN = "(?m)^(?:" + "|".join([spread(SPDX.strip()) + r"[ \n][^\n]*", *[spread(p) for _, p in NOTICES + SENTENCES + FURTHER]]) + ")$"
 
 
 def sentence_ids(text: Column) -> Column:
@@ -109,13 +142,17 @@ def sentence_ids(text: Column) -> Column:
         return F.trim(F.regexp_replace(marked, r" ?\n[ \n]*", "\n"))
 
     one_line = lambda s: F.replace(s, F.lit("\n"), F.lit(" "))
-    identify = lambda s: F.coalesce(*[F.when(s.rlike(f"^{pattern}$"), F.lit(name)) for name, pattern in NOTICES + SENTENCES])
+    identify = lambda s: F.coalesce(*[F.when(s.rlike(f"^{pattern}$"), F.lit(name)) for name, pattern in NOTICES + SENTENCES + FURTHER])
 
     # trimmed sentences stand in a list of their own, so that each is normalised once
-    normal = F.transform(F.split(text, SPLIT), trimmed)
+    normal = F.transform(F.split(F.when(text.contains("<"), F.regexp_replace(text, TAGS, " ")).otherwise(text), SPLIT), trimmed)
     anchored = F.filter(normal, lambda s: reduce(Column.__or__, [one_line(s).contains(a) for a in ANCHORS]))
     found = F.flatten(F.transform(anchored, lambda s: F.regexp_extract_all(s, F.lit(KNOWN), F.lit(0))))
-    return F.filter(F.transform(found, lambda s: identify(one_line(s))), F.isnotnull)
+    # an SPDX line has an expression: names joined by or, and, with; names that aren't known say nothing
+    names = F.create_map(*[F.lit(x) for n in NAMED for x in (n.lower().replace("-", " ").replace(".", " "), token(n) + "_SPDX")])
+    of_line = lambda s: F.transform(F.split(F.substring(s, len(SPDX) + 1, 1 << 30), " (?:or(?! later)|and|with) "), lambda n: F.element_at(names, F.trim(n)))
+    each = F.transform(F.transform(found, one_line), lambda s: F.when(s.startswith(SPDX), of_line(s)).otherwise(F.array(identify(s))))
+    return F.filter(F.flatten(each), F.isnotnull)
 
 
 def licences_of(ids: Column) -> Column:
