@@ -155,3 +155,10 @@ def test_vector_functions(spark):
     out = df.select(vectors.squared_distance(F.col("a"), F.col("b")), vectors.add(F.col("a"), F.col("b")), vectors.relu(F.col("x")), vectors.softmax(F.col("b")), vectors.comma_list(F.col("s"))).collect()
     assert tuple(out[0])[:3] == (8.0, [4.0, 2.0], 0.0) and sum(out[0][3]) == pytest.approx(1) and out[0][4] == "a,b"
     assert tuple(out[1]) == (None, None, None, [1.0], "")
+
+
+def test_constant_metrics_are_forecast_metrics(spark):
+    rows = spark.createDataFrame([("a", 1.0, [1.0, 3.0]), ("a", 2.0, [2.0]), ("b", 0.5, [1.5, 0.5])], "k string, p double, y array<double>")
+    want = metrics.forecast_metrics(rows.withColumn("pred", F.array_repeat("p", F.size("y"))), by=("k",)).orderBy("k").collect()
+    assert metrics.constant_metrics(rows, F.col("p"), by=("k",)).orderBy("k").collect() == want
+    assert tuple(metrics.constant_metrics(rows.limit(0), F.col("p")).first()) == (0, None, None)

@@ -21,6 +21,13 @@ def forecast_metrics(rows: DataFrame, predicted: str = "pred", actual: str = "y"
     return rows.groupBy(*by).agg(*errors(F.col(predicted), F.col(actual)))
 
 
+def constant_metrics(rows: DataFrame, value: Column, actual: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """forecast_metrics of a forecast that is one value over the whole horizon. Targets that are null don't count."""
+    error = F.col("_p") - F.col("_y")
+    each = rows.select(*by, value.alias("_p"), F.explode(actual).alias("_y"))
+    return each.groupBy(*by).agg(F.count("_y").alias("n"), F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"))
+
+
 def batch_losses(rows: DataFrame, batch_size: int, predicted: str = "pred", actual: str = "y", ordinal: str = "ordinal") -> DataFrame:
     """batch_id and loss (mean squared error) of each run of ``batch_size`` ordinals."""
     batch = F.floor(F.col(ordinal) / batch_size).alias("batch_id")
