@@ -114,7 +114,7 @@ def test_concurrent_sweep(spark, tmp_path):
     assert pools == {1: "train.seed=1", 2: "train.seed=2"} and (base / "train.seed=1/x/_SUCCESS").exists()
 
 
-def test_sweep_of_models_and_a_resumed_run(spark, tmp_path):
+def test_sweep_of_models_and_a_resumed_run(spark, tmp_path, caplog):
     """Every model trains from the configuration, two at a time; a run that is asked to resume goes on from its state."""
     path = written(tmp_path)
     cfg = yaml.safe_load(path.read_text())
@@ -125,12 +125,11 @@ def test_sweep_of_models_and_a_resumed_run(spark, tmp_path):
     got = experiment.sweep(spark, str(path), ("model.name=b,c0,c1",), run, jobs=2)
     assert [o.error for o in got] == [None] * 3 and all(np.isfinite(o.result["mse"]) for o in got)
     assert all(len(list((tmp_path / f"out/model.name={n}/explain").iterdir())) == 1 for n in ("b", "c0", "c1"))
-    seen = []
-    experiment.log.addFilter(lambda r: seen.append(r.getMessage()) or True)
     out = f"paths.output_dir={got[2].output_dir}"
     longer = config.load(str(path), ("model.name=c1", out, "train.resume=true", "train.epochs=3"))
-    experiment.run_training(longer, experiment.datasets(spark, longer, str(tmp_path / "cache")), workers=2)
-    assert [m[:7] for m in seen if m.startswith("Epoch")] == ["Epoch 3"]
+    with caplog.at_level(logging.INFO, logger="tideline.experiment"):
+        experiment.run_training(longer, experiment.datasets(spark, longer, str(tmp_path / "cache")), workers=2)
+    assert [r.getMessage()[:7] for r in caplog.records if r.getMessage().startswith("Epoch")] == ["Epoch 3"]
 
 
 def test_texts_of_a_window_against_a_loop(spark):

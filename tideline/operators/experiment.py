@@ -39,7 +39,7 @@ def shape_of(cfg: dict[str, Any], rows: DataFrame) -> model.Shape:
     for name, own in (("text_mlp", "text_hidden"), ("head", "head_hidden")):
         if (section.get(name) or {}).get("hidden"):
             sizes[own] = section[name]["hidden"]
-    cnn = section.get("cnn") or {}
+    cnn = {} if "lookback" in fields else section.get("cnn") or {}  # patches are embedded, not convolved
     if cnn.get("channels"):
         sizes["channels"] = tuple(cnn["channels"])
     if cnn.get("kernel_size"):
@@ -222,4 +222,5 @@ def sweep(spark: SparkSession, path: str, overrides: tuple[str, ...], run: Calla
             context.setLocalProperty("spark.scheduler.pool", None)
 
     with ThreadPoolExecutor(max(1, jobs)) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(one), choices(overrides)))
+        # a wrapper each: it holds the thread's own copy of the session's properties
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(one), picked) for picked in choices(overrides)]]

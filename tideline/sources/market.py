@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import threading
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,13 +13,17 @@ from pyspark.sql import functions as F
 
 from tideline.sources import archive
 from tideline.sources.delimited import read_records
-from tideline.sources.files import exists, hadoop_path
+from tideline.sources.files import exists, hadoop_path, remove, rename
 
 NEWS_COLUMNS = ("Date", "Article_title", "Stock_symbol", "Url", "Publisher", "Author", "Article")
 NEWS = "news_id long, date timestamp, ticker string, title string, url string, publisher string, author string, article string"
 PRICE_VALUES = ("open", "high", "low", "close", "adj close", "volume")
 
 
+#: One table is written at a time by the threads of a driver.
+INGESTING = threading.Lock()
+
+
 class SourceMissing(FileNotFoundError):
     """A source path that doesn't exist, or a directory without files."""
 
@@ -92,11 +98,19 @@ def ingest_news(spark: SparkSession, csv: str, cache: str, source: str) -> DataF
     """The cached table of a news CSV, written first if the file has changed since.
 
     The cache is partitioned by ticker under the source's name and fingerprint. Rows are rebalanced by ticker, so a ticker with
-    a large share of the rows is split over tasks and files. A later call reads Parquet only.
+    a large share of the rows is split over tasks and files. A later call reads Parquet only. The table is written under a
+    name of its own and renamed, so that runs side by side don't write into each other's files.
     """
-    at = f"{cache}/{source}/{fingerprint(spark, csv)}"
-    if not exists(spark, f"{at}/_SUCCESS"):
-        read_news(spark, csv).hint("rebalance", "ticker").write.mode("overwrite").partitionBy("ticker").parquet(at)
+    mark = fingerprint(spark, csv)
+    at, own = f"{cache}/{source}/{mark}", f"{cache}/{source}/.{mark}-{uuid.uuid4().hex}"
+    with INGESTING:
+        if not exists(spark, f"{at}/_SUCCESS"):
+            read_news(spark, csv).hint("rebalance", "ticker").write.partitionBy("ticker").parquet(own)
+            if exists(spark, f"{at}/_SUCCESS"):  # another driver was faster
+                remove(spark, own)
+            else:
+                remove(spark, at)
+                rename(spark, own, at)
     return read_cache(spark, at)
 
 
