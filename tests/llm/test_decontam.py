@@ -168,3 +168,41 @@ def test_column_names_in_other_case(spark):
     docs = spark.createDataFrame([(1, "which of these rivers is the longest in the world", 3), (2, "other", 4)], "doc_id long, Text string, item_id long")
     items = spark.createDataFrame([(1, "which of these rivers is the longest in the world")], "item_id long, text string")
     assert [tuple(x) for x in decontam.clean(docs, items).collect()] == [(2, "other", 4)]
+
+
+def test_boilerplate_against_full_edit_distance():
+    """Items that almost fit everywhere in a text of one repeated sentence, some of them twice: the least edits, the first place, in seconds."""
+    import time
+
+    r = random.Random(24)
+    sentence = "all rights reserved by the owner of this document and others. "
+    items = []
+    for k in range(30):
+        chars = list((sentence * 20)[k % 60 : k % 60 + 540])
+        for _ in range(25):
+            chars[r.randrange(540)] = r.choice("xyzq")
+        items.append((k, "".join(chars)))
+    items += [(30, items[0][1]), (31, items[5][1])]
+    block = decontam.build_block(items, 10, 0.06, None)
+    began = time.time()
+    found = {(t, i): (s, e, d) for t, i, s, e, d in decontam.hits(block, [sentence * 3000, sentence * 12])}
+    assert time.time() - began < 60
+    for k, item in items:
+        edits = distance_inside(item, sentence * 12)
+        for row in (0, 1):  # the first place lies within the first periods of the sentence, so both texts have the same
+            assert (((row, k) in found) == (edits <= 32)) and (edits > 32 or found[row, k][2] == edits)
+        assert found.get((0, k)) == found.get((1, k))
+    assert found[0, 30] == found[0, 0] and found[0, 31] == found[0, 5]
+
+
+def test_hits_counted_in_pieces_are_the_same(monkeypatch):
+    """Half bands counted by sorting and in small pieces name the same bands as those counted in one array."""
+    r = random.Random(25)
+    items = [(k, "".join(r.choices("abcdef ", k=r.randrange(1, 200)))) for k in range(10)]
+    texts = ["".join(edited(r, r.choice(items)[1], r.randrange(0, 5)) + "".join(r.choices("abcdef ", k=30)) for _ in range(6)) for _ in range(6)]
+    block = decontam.build_block(items, 10, 0.06, decontam.Passages())
+    want = sorted(decontam.hits(block, texts))
+    for piece in (0, 40, 2000):
+        monkeypatch.setattr(decontam, "PIECE", piece)
+        assert sorted(decontam.hits(block, texts)) == want
+    assert want

@@ -95,7 +95,7 @@ class Index:
     """Q-grams of a block of items: sorted hashes, their postings, a bit map of hashes to turn most away."""
 
     q: int
-    ids: list[int]
+    ids: list[list[int]]
     points: list[np.ndarray]
     budget: np.ndarray
     least: np.ndarray
@@ -126,7 +126,12 @@ def passage_index(items: list[tuple[int, str]], passages: Passages) -> Index:
     return index_points(owner, points, passages.q, passages.edit_rate, passages.shared)
 
 
-def index_points(ids: list[int], points: list[np.ndarray], q: int, edit_rate: float, shared: int = 0) -> Index:
+def index_points(owners: list[int], texts: list[np.ndarray], q: int, edit_rate: float, shared: int = 0) -> Index:
+    """The index of the texts, equal ones once with all their owners."""
+    known: dict[bytes, tuple[np.ndarray, list[int]]] = {}
+    for owner, text in zip(owners, texts, strict=True):
+        known.setdefault(text.tobytes(), (text, []))[1].append(owner)
+    points, ids = [t for t, _ in known.values()], [sorted(set(o)) for _, o in known.values()]
     size = np.array([len(p) for p in points], np.int64)
     budget = (edit_rate * size).astype(np.int64)
     # with ``shared`` the bound is that of fewer edits than may be aligned
@@ -142,24 +147,44 @@ def index_points(ids: list[int], points: list[np.ndarray], q: int, edit_rate: fl
     return Index(q, ids, points, budget, size - q + 1 - q * sure, keys, np.append(begin, len(key)), item[order], at[order], bits)
 
 
+def bits_of(flags: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def flags_of(bits: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little")[:n]
+
+
 def align(item: np.ndarray, region: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int] | None:
     """Least edits of the whole item against any part of the region, and where that part ends first; None over budget.
 
-    Only cells on the diagonals (region position - item position) from ``low`` to ``high`` are filled. Cells outside the
-    region stand for characters that match nothing, so that they cost what leaving out the item's character costs.
+    Cells on the diagonals (region position - item position) from ``low`` to ``high`` are filled, a row of the item at a
+    time, as differences of neighbouring diagonals in the bits of two integers; the diagonal beyond ``high`` matches
+    nothing. Cells outside the region stand for characters that match nothing, so that they cost what leaving out the
+    item's character costs.
     """
     n, width = len(region), high - low + 1
-    step = np.arange(width)
+    mask, rows = (1 << width) - 1, max(512, width)
     before, behind = max(0, -low), max(0, len(item) + high + 1 - n)
     padded = np.concatenate([np.full(before, 0xFFFFFFFF, np.uint32), region, np.full(behind, 0xFFFFFFFF, np.uint32)])
-    row = np.zeros(width, np.int64)
-    for k, c in enumerate(item):
-        at = k + low + before
-        new = row + (padded[at : at + width] != c)
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        row = np.minimum.accumulate(new - step) + step
-    best = int(np.argmin(row))
-    return (int(row[best]), min(max(len(item) + low + best, 0), n)) if row[best] <= budget else None
+    up, down, edits = 0, 0, 0  # where the next diagonal costs one more, one less; edits on the first diagonal
+    for begin in range(0, len(item), rows):
+        part = item[begin : begin + rows]
+        text = padded[begin + low + before : begin + low + before + len(part) + width]
+        where = {c: bits_of(text == c) for c in np.unique(part).tolist()}
+        for k, c in enumerate(part.tolist()):
+            equal = (where[c] >> k) & mask
+            free = ((((equal & up) + up) ^ up) | equal | down) & mask
+            more = down | (mask ^ (free | up))
+            less = free & up
+            edits += ~free & 1
+            free >>= 1
+            up, down = less | (mask ^ (free | more)), more & free
+    if edits - down.bit_count() > budget:
+        return None
+    cost = edits + np.concatenate([[0], np.cumsum(flags_of(up, width).astype(np.int64) - flags_of(down, width))[:-1]])
+    best = int(np.argmin(cost))
+    return (int(cost[best]), min(max(len(item) + low + best, 0), n)) if cost[best] <= budget else None
 
 
 def occurrence(item: np.ndarray, region: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int, int] | None:
@@ -174,7 +199,8 @@ def occurrence(item: np.ndarray, region: np.ndarray, budget: int, low: int, high
     if not found:
         return None
     edits, end = found
-    back = align(item[::-1], region[:end][::-1], budget, end - len(item) - high, end - len(item) - low)
+    # backwards from where it ends, the best path stays within ``edits`` diagonals
+    back = align(item[::-1], region[:end][::-1], edits, -edits, edits)
     return (edits, end - back[1], end) if back else None
 
 
@@ -202,7 +228,10 @@ def full_bands(hit: np.ndarray, place: np.ndarray, index: Index) -> tuple[np.nda
     Postings of the hits are counted in pieces, so that memory depends on the bands and not on how often q-grams repeat.
     """
     shift = max((len(p) for p in index.points), default=0) + 1
-    span = np.int64(1) << 40
+    # half bands, numbered over all items: a band is two neighbouring ones, and each item has one half more than hits can reach
+    halves = (int(hit[-1]) + shift) // (int(index.budget.min()) + 1) + 2
+    size = halves * len(index.points)
+    dense = np.zeros(size, np.int64) if size <= 4 * PIECE and size <= 8 * len(hit) else None
     ends = np.cumsum(index.begin[place + 1] - index.begin[place])
     keys, counts, lo = [], [], 0
     while lo < len(hit):
@@ -211,16 +240,28 @@ def full_bands(hit: np.ndarray, place: np.ndarray, index: Index) -> tuple[np.nda
         many = index.begin[p + 1] - index.begin[p]
         posting = np.repeat(index.begin[p] - np.cumsum(many) + many, many) + np.arange(many.sum())
         item = index.item[posting]
-        band = (np.repeat(h, many) - index.at[posting] + shift) // (index.budget[item] + 1)
-        k, c = np.unique(np.concatenate([item * span + band, item * span + band - 1]), return_counts=True)
-        keys.append(k)
-        counts.append(c)
+        half = item * halves + 1 + (np.repeat(h, many) - index.at[posting] + shift) // (index.budget[item] + 1)
+        if dense is not None:
+            dense += np.bincount(half, minlength=size)
+        else:
+            k, c = np.unique(half, return_counts=True)
+            keys.append(k)
+            counts.append(c)
         lo = hi
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(at, np.concatenate(counts))
-    item, band = key // span, key % span
-    enough = count >= index.least[item]
-    return item[enough], band[enough], shift
+    if dense is not None:
+        key = np.flatnonzero(dense)
+        count = dense[key]
+    else:
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    # a band is known by its first half
+    both = np.append(key[1:] == key[:-1] + 1, False)
+    lone = np.append(True, ~both[:-1])  # no band before this one begins with a half that has hits
+    band = np.concatenate([key, key[lone] - 1])
+    count = np.concatenate([count + np.where(both, np.append(count[1:], 0), 0), count[lone]])
+    enough = count >= index.least[band // halves]
+    band = np.sort(band[enough])
+    return band // halves, band % halves - 1, shift
 
 
 Part = tuple[int, int, np.ndarray]  # row, where the points begin in its text, points
@@ -252,7 +293,7 @@ def search(parts: list[Part], index: Index, best: Best) -> None:
         for k in range(first, min(len(parts), int(np.searchsorted(starts, high + m + 1, "left")))):
             row, begin, points = parts[k]
             left, right = max(low, int(starts[k])), min(high + m + 1, int(ends[k]) - 1)
-            if right - left < m - e:
+            if right - left < m - e or best.get((row, i), (1,))[0] == 0:  # parts and bands come in order: no later place is better
                 continue
             found = occurrence(index.points[i], points[left - starts[k] : right - starts[k]], e, low - left, high - left)
             if found:
@@ -358,7 +399,7 @@ def hits(block: Block, texts: list[str]) -> Iterator[tuple[int, int, int, int, i
         held.append(normal_points(text or ""))
         size += len(held[-1])
         if size > SLICE_CHARS or k == len(texts) - 1:
-            found = {(row, index.ids[i]): place for index in block.whole for (row, i), place in search_all(held, index).items()}
+            found = {(row, n): place for index in block.whole for (row, i), place in search_all(held, index).items() for n in index.ids[i]}
             if block.parts:
                 for pair, place in passage_hits(held, block.parts).items():
                     found.setdefault(pair, place)
@@ -372,9 +413,10 @@ def passage_hits(texts: list[np.ndarray], parts: Index) -> Best:
     tidy = [collapsed(t) for t in texts]
     best: Best = {}
     for (row, part), (edits, start, end) in search_all([t for t, _ in tidy], parts).items():
-        at, pair = tidy[row][1], (row, parts.ids[part])
+        at = tidy[row][1]
         new = (edits, int(at[start]), int(at[end - 1]) + 1)
-        best[pair] = min(best.get(pair, new), new)
+        for n in parts.ids[part]:
+            best[row, n] = min(best.get((row, n), new), new)
     return best
 
 
