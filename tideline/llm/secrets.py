@@ -31,6 +31,8 @@ HARMLESS = r"[^@\s]+@[^@\s]+|[0-9.,:+()-]+|(?i:https?://\S+|www\.\S+|[0-9a-f]{8}
 ASSIGN = rf"(?i)(?:{'|'.join(SECRET_WORDS)})(?![a-z])[a-z0-9_-]{{0,30}}[\"'\\]*\s*[=:]"
 VALUE = ASSIGN + r"+>?\s*[^\sA-Za-z0-9]*[A-Za-z0-9]\S*$"
 PART = r"(?:[A-Za-z_][A-Za-z_-]{1,29}[\"'\\]*[=:][\"'\\]*)?[^\s\"'`,;&=:?<>{}()\[\]|]+=*"
+# user and password in an address: what stands before the password, and the password
+LOGIN = r"([A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@]{0,100}):([^\s/@]{1,200})@"
 CANDIDATES = "array<struct<before: string, word: string, after: string>>"
 FEATURES = ("length", "changes", "different", "digits", "upper", "hex", "shaped", "covered", "test_path", "assigned", "secret_near", "harmless_near", "words_near", "punctuated")
 
@@ -41,16 +43,17 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
     A candidate is a white-space separated word of 10 characters or more that holds a digit, a shaped key or the
     assignment of a secret's name, or a word of any length that follows such a name and = or :. A word of several parts
     (see PART) gives each part that is such by itself, too, and each shaped key within it; its length doesn't count.
-    ``before`` is the two words before it, or the part before it, ``after`` the next word. Null and empty texts have
-    none; rows that repeat have theirs each; a null doc_id or path stays null or empty.
+    The password of an address (see LOGIN) is one whatever it looks like. What holds no letter and no digit is none.
+    ``before`` is the two words before it, or the part before it (for an address's password the user and ``password:``),
+    ``after`` the next word. Null and empty texts have none; rows that repeat have theirs each; a null doc_id or path stays null or empty.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    words = words.filter(F.col("text").rlike("[0-9]") | F.col("text").rlike(ASSIGN) | F.col("text").rlike(SHAPED)).withColumn("words", F.split("text", r"\s+"))
+    words = words.filter(F.col("text").rlike("[0-9]") | F.col("text").rlike(ASSIGN) | F.col("text").rlike(SHAPED) | F.col("text").rlike(LOGIN)).withColumn("words", F.split("text", r"\s+"))
     fits = lambda w: (F.length(w) >= 10) & (w.rlike("[0-9]") | w.rlike(SHAPED) | w.rlike(ASSIGN))
     word = lambda no: F.coalesce(F.get("words", no), F.lit(""))
     follows = lambda w, i: F.concat(word(i - 1), w).rlike("[=:]") & w.rlike("[A-Za-z0-9]") & F.concat_ws(" ", word(i - 2), word(i - 1), w).rlike(VALUE)
-    tried = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("no"), w.alias("word"), follows(w, i).alias("follows"))), lambda x: fits(x["word"]) | x["follows"])
+    tried = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("no"), w.alias("word"), follows(w, i).alias("follows"))), lambda x: fits(x["word"]) | x["follows"] | x["word"].rlike(LOGIN))
     hits = words.withColumn("hit", F.explode(tried))
     at = lambda k: word(F.col("hit.no") + k)
     whole = hits.select(
@@ -64,7 +67,11 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
     keys = F.array_distinct(F.regexp_extract_all("word", F.lit(f"({SHAPED})"), F.lit(0)))
     alone = lambda k: (value_of(F.col("word")) != k) & ~F.exists("parts", lambda p: value_of(p) == k)
     shaped = F.when(F.col("word").rlike(SHAPED), F.transform(F.filter(keys, alone), lambda k: made(F.col("before"), k, F.lit("")))).otherwise(F.array().cast(CANDIDATES))
-    return whole.select("doc_id", "word_no", "path", F.inline(F.concat(F.array(made(F.col("before"), F.col("word"), F.col("after"))), several, shaped)))
+    users, passwords = (F.regexp_extract_all("word", F.lit(LOGIN), F.lit(k)) for k in (1, 2))
+    logins = F.zip_with(users, passwords, lambda u, p: made(F.concat(F.substring(u, -60, 60), F.lit(" password:")), p, F.lit("")))
+    logins = F.when(F.col("word").rlike(LOGIN), logins).otherwise(F.array().cast(CANDIDATES))
+    found = whole.select("doc_id", "word_no", "path", F.inline(F.concat(F.array(made(F.col("before"), F.col("word"), F.col("after"))), several, shaped, logins)))
+    return found.filter(value_of(F.col("word")) != "")
 
 
 def value_of(word: Column) -> Column:
@@ -97,10 +104,10 @@ def features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     """Labelled findings made by rule: path, before, word, after, label. Fixed for a given ``n``.
 
-    Half are secrets (hex and base-64 tokens, passwords with and without digits, shaped keys) beside a secret's name, half are what
+    Half are secrets (hex and base-64 tokens, passwords with and without digits, short ones, those of addresses, shaped keys) beside a secret's name, half are what
     scans mistake for them: hashes under their names, numbers, addresses, placeholders, words with digits or behind a name.
     """
-    kinds = 25
+    kinds = 28
     r = spark.range(n).withColumn("h", F.sha2(F.col("id").cast("string"), 256)).withColumn("k", (F.col("id") % kinds).cast("int"))
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") / kinds % len(xs) + 1).cast("int"))
     part = lambda s, n: F.substring("h", s, n)
@@ -126,6 +133,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (cat(text, F.lit(" "), name, F.lit(":")), pick("the", "is", "please", "required", "which", "and", "string", "none,", "see", "a", "placeholder", "example"), 0),
         (cat(name, F.lit(" =")), pick('"changeme"', "None", "get_password()", '"your-password"', "null;", '"example-token"', "os.environ", '"password"', "request.token", '"placeholder"', "config.secret", '""'), 0),
         (F.lit("PRIVATE KEY-----"), cat(b64, F.base64(F.unhex(F.reverse("h")))), 1),
+        (cat(text, F.lit(" "), name, F.lit(":")), cat(letters(7, 6), number(2, 1)), 1), (cat(pick("postgres", "https", "mysql", "amqp"), F.lit("://"), letters(1, 5), F.lit(" password:")), cat(letters(9, 5), upper.substr(1, 2), number(4, 2)), 1),
+        (cat(pick("postgres", "https", "mysql", "amqp"), F.lit("://user password:")), pick("password", "changeme", "your-password", "example", "secret", "test", "pass"), 0),
     ]
     case = lambda i: reduce(lambda acc, x: acc.when(F.col("k") == x[0], x[1][i] if i < 2 else F.lit(x[1][i])), enumerate(rows), F)
     return r.select(pick("src/app.py", "src0", "conf/site.yaml", "tests/test_a.py", "docs", "src1").alias("path"), case(0).alias("before"), case(1).alias("word"), text.alias("after"), case(2).cast("double").alias("label"))
