@@ -74,7 +74,7 @@ def test_windows_are_those_of_arrays(days, block):
     assert sorted((r["ticker"], r["end_idx"]) for r in only) == sorted(k for k, r in want.items() if r["split"] == "test")
 
 
-@pytest.mark.parametrize("name", ["model_evaluate", "model_forward"])
+@pytest.mark.parametrize("name", ["model_evaluate", "model_forward", "model_ablation"])
 def test_models_are_sent_days_and_not_windows(spark, sf_dir, name):
     """A day's values are sent once, not in each of the sixty windows that hold it."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

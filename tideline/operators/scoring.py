@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from tideline.operators import attention, model, walk
 from tideline.operators.prototypes import nested
 
-CHUNK = 64
+CHUNK = 24  # what a layer makes of so many windows stays in the processor's cache
 Models = dict[str, tuple[model.Shape, dict[str, np.ndarray]]]
 
 
 def text_of(block: walk.Block, shape: model.Shape) -> np.ndarray | attention.Ragged:
-    return attention.Ragged(block.texts()[2], block.texts()[1]) if shape.ragged_text else block.text()
+    if not shape.ragged_text:
+        return block.text()
+    _, counts, vectors = block.texts()
+    return attention.Ragged(vectors, counts)
 
 
 def in_chunks(block: walk.Block, run: Callable[[walk.Block], np.ndarray]) -> np.ndarray:
