@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tideline.operators import model, series, text, walk
+from tideline.operators import experiment, model, series, text, walk
 from tideline.plans import catalogue
 
 
@@ -79,3 +79,15 @@ def test_models_are_sent_days_and_not_windows(spark, sf_dir, name):
     """A day's values are sent once, not in each of the sixty windows that hold it."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "collect_list" not in plan
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bank_is_chosen_by_keys_alone(spark, sf_dir):
+    """Only the bank's tickers get windows as arrays; they are few, so the scan itself is filtered by them."""
+    assert "l_suppkey" in plan_of(catalogue.QUERIES["projection_json"](spark, sf_dir)).split("PushedFilters: ", 1)[1].split("]", 1)[0]
+    rows = catalogue.split_windows(spark, sf_dir).filter("split = 'train'")
+    want = sorted((r["ticker"], r["end_idx"]) for r in rows.select("ticker", "end_idx").collect())[:576]
+    assert [(r["ticker"], r["end_idx"], r["window_no"]) for r in experiment.bank_keys(rows).orderBy("window_no").collect()] == [(*k, n) for n, k in enumerate(want)]
