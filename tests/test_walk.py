@@ -91,3 +91,22 @@ def test_bank_is_chosen_by_keys_alone(spark, sf_dir):
     rows = catalogue.split_windows(spark, sf_dir).filter("split = 'train'")
     want = sorted((r["ticker"], r["end_idx"]) for r in rows.select("ticker", "end_idx").collect())[:576]
     assert [(r["ticker"], r["end_idx"], r["window_no"]) for r in experiment.bank_keys(rows).orderBy("window_no").collect()] == [(*k, n) for n, k in enumerate(want)]
+
+
+def test_text_means_take_one_sort_of_bars_and_news(days):
+    bars, news = days
+    plan = plan_of(text.window_text(bars, news, 2, 7))
+    assert "Join" not in plan and plan.count("Sort [") == 1
+
+
+def test_text_means_against_loops(days):
+    bars, news = days
+    by, texts = {}, [(r["ticker"], r["date"], r["vec"]) for r in news.collect() if r["vec"] and r["ticker"]]
+    for r in bars.orderBy("date").collect():
+        by.setdefault(r["ticker"], []).append(r["date"])
+    got = {(r["ticker"], r["end_date"]): r for r in text.window_text(bars, news, 2, 7).collect()}
+    assert set(got) == {(t, d) for t, own in by.items() for d in own[6:]}
+    for (t, d), r in got.items():
+        start = by[t][by[t].index(d) - 6]
+        inside = [v for ticker, day, v in texts if ticker == t and start <= day <= d]
+        assert r["n_news"] == len(inside) and np.allclose(r["text"], np.mean(inside, 0) if inside else [0, 0], atol=1e-12)
