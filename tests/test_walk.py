@@ -110,3 +110,13 @@ def test_text_means_against_loops(days):
         start = by[t][by[t].index(d) - 6]
         inside = [v for ticker, day, v in texts if ticker == t and start <= day <= d]
         assert r["n_news"] == len(inside) and np.allclose(r["text"], np.mean(inside, 0) if inside else [0, 0], atol=1e-12)
+
+
+def test_patch_ends_are_those_of_patches(spark, sf_dir, days):
+    bars, _ = days
+    got = series.patch_ends(bars, "p", 4, 2, 8, 3)
+    cut = series.patches(series.windows(bars, ("p",), "target", 8, 3), 4, 2)
+    want = [(r["ticker"], r["end_idx"], r["seg_no"], r["patch"][0]["p"], r["patch"][-1]["p"]) for r in cut.collect()]
+    key = lambda r: r[:3]
+    assert sorted((tuple(r) for r in got.select("ticker", "end_idx", "seg_no", "first", "last").collect()), key=key) == sorted(want, key=key) and any(r[3] is None for r in want)
+    assert "collect_list" not in plan_of(catalogue.QUERIES["window_patches"](spark, sf_dir))
