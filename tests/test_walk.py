@@ -7,6 +7,7 @@ import datetime as dt
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.operators import experiment, model, series, text, walk
 from tideline.plans import catalogue
@@ -120,3 +121,12 @@ def test_patch_ends_are_those_of_patches(spark, sf_dir, days):
     key = lambda r: r[:3]
     assert sorted((tuple(r) for r in got.select("ticker", "end_idx", "seg_no", "first", "last").collect()), key=key) == sorted(want, key=key) and any(r[3] is None for r in want)
     assert "collect_list" not in plan_of(catalogue.QUERIES["window_patches"](spark, sf_dir))
+
+
+def test_look_backs_first_values_and_sums_without_arrays(spark, sf_dir, days):
+    bars, _ = days
+    made = series.windows(bars, ("p", "q"), "target", 7, 3, summaries={"sum": F.sum("q")}, picked={"first": ("p", 0), "third": ("p", 2)}).collect()
+    assert made and any(r["first"] is None for r in made)
+    for r in made:
+        assert (r["first"], r["third"]) == (r["x"][0]["p"], r["x"][2]["p"]) and abs(r["sum"] - sum(v["q"] for v in r["x"])) < 1e-12
+    assert "collect_list" not in plan_of(catalogue.QUERIES["lookback_windows"](spark, sf_dir))
