@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import experiment, model, series, text, walk
+from tideline.operators import attention, experiment, model, series, text, walk
 from tideline.plans import catalogue
 
 
@@ -75,7 +75,7 @@ def test_windows_are_those_of_arrays(days, block):
     assert sorted((r["ticker"], r["end_idx"]) for r in only) == sorted(k for k, r in want.items() if r["split"] == "test")
 
 
-@pytest.mark.parametrize("name", ["model_evaluate", "model_forward", "model_ablation"])
+@pytest.mark.parametrize("name", ["model_evaluate", "model_forward", "model_ablation", "model_text_attention"])
 def test_models_are_sent_days_and_not_windows(spark, sf_dir, name):
     """A day's values are sent once, not in each of the sixty windows that hold it."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
@@ -130,3 +130,11 @@ def test_look_backs_first_values_and_sums_without_arrays(spark, sf_dir, days):
     for r in made:
         assert (r["first"], r["third"]) == (r["x"][0]["p"], r["x"][2]["p"]) and abs(r["sum"] - sum(v["q"] for v in r["x"])) < 1e-12
     assert "collect_list" not in plan_of(catalogue.QUERIES["lookback_windows"](spark, sf_dir))
+
+
+def test_attention_ends_early_with_the_same_weights():
+    shape, r = model.build_model("c1", n_features=2, text_dim=2), np.random.default_rng(3)
+    w, x, counts = model.initial_weights(shape), r.normal(size=(5, 60, 2)), np.array([2, 1, 4, 1, 3])
+    sets = attention.Ragged(r.normal(size=(counts.sum(), 2)), counts)
+    short = attention.forward(w, shape, x, sets, until_attention=True)
+    assert np.allclose(short.kept["attention"], attention.forward(w, shape, x, sets).kept["attention"], atol=1e-14) and short.pred.size == 0

@@ -67,3 +67,28 @@ def evaluate(bars: DataFrame, news: DataFrame, models: Models, bounds: tuple[str
     sums = walk.map_windows(bars, news, sizes.text_dim, run, "model string, split string, n long, squares double, absolutes double", bounds, horizon=sizes.horizon, **windows)
     n = F.sum("n")
     return sums.groupBy("model", "split").agg(n.alias("n"), (F.sum("squares") / n).alias("mse"), (F.sum("absolutes") / n).alias("mae"))
+
+
+def attention_weights(bars: DataFrame, news: DataFrame, shape: model.Shape, w: dict[str, np.ndarray], bounds: tuple[str, str], **windows) -> DataFrame:
+    """ticker, end_idx, text_dates and attention: each window's days with news and their weights in the model's last layer.
+
+    For models that attend to texts only. Windows without news have empty arrays, and nothing is computed for them.
+    """
+    if not shape.ragged_text:
+        raise ValueError("this model doesn't attend to texts")
+    shared = bars.sparkSession.sparkContext.broadcast(w)
+
+    def run(b: walk.Block) -> pa.RecordBatch:
+        dates, counts, vectors = b.texts()
+        some, x, first = np.flatnonzero(counts), b.x, np.append(0, np.cumsum(counts))
+        weights = [np.empty(0)]
+        for lo in range(0, len(some), CHUNK):
+            at = some[lo : lo + CHUNK]
+            sets = attention.Ragged(vectors[first[at[0]] : first[at[-1] + 1]], counts[at])  # windows between have none
+            weights.append(attention.forward(shared.value, shape, x[at], sets, until_attention=True).kept["attention"])
+        offsets = pa.array(first, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array(dates, pa.int32()).cast(pa.date32()), pa.array(np.concatenate(weights)))]
+        return pa.RecordBatch.from_arrays([repeated(b.ticker, len(b)), pa.array(b.end_idx), *lists], names=["ticker", "end_idx", "text_dates", "attention"])
+
+    kind = bars.schema["ticker"].dataType.simpleString()
+    return walk.map_windows(bars, news, shape.text_dim, run, f"ticker {kind}, end_idx int, text_dates array<date>, attention array<double>", bounds, horizon=shape.horizon, **windows)
