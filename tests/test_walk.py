@@ -26,7 +26,8 @@ def test_sliding_pass_is_the_pass_of_each_window(sizes, lookback, n):
     values, news = r.normal(size=(n + lookback - 1, 2)), r.normal(size=(n, 2))
     x = np.array([values[k : k + lookback] for k in range(n)])
     assert model.slides(shape, lookback)
-    assert np.allclose(model.sliding_forward(w, shape, values, lookback, news), model.forward(w, shape, x, news).pred, atol=1e-13)
+    (pred, least), want = model.sliding_forward(w, shape, values, lookback, news), model.forward(w, shape, x, news)
+    assert np.allclose(pred, want.pred, atol=1e-13) and np.allclose(least.ravel(), want.d2.min(1), atol=1e-12)
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +76,7 @@ def test_windows_are_those_of_arrays(days, block):
     assert sorted((r["ticker"], r["end_idx"]) for r in only) == sorted(k for k, r in want.items() if r["split"] == "test")
 
 
-@pytest.mark.parametrize("name", ["model_evaluate", "model_forward", "model_ablation", "model_text_attention"])
+@pytest.mark.parametrize("name", ["model_evaluate", "model_forward", "model_ablation", "model_text_attention", "model_faithfulness"])
 def test_models_are_sent_days_and_not_windows(spark, sf_dir, name):
     """A day's values are sent once, not in each of the sixty windows that hold it."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

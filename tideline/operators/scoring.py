@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import attention, model, walk
+from tideline.operators import attention, experiment, model, walk
 from tideline.operators.prototypes import nested
 
 CHUNK = 24  # what a layer makes of so many windows stays in the processor's cache
@@ -30,7 +30,7 @@ def in_chunks(block: walk.Block, run: Callable[[walk.Block], np.ndarray]) -> np.
 def predicted(block: walk.Block, shape: model.Shape, w: dict[str, np.ndarray]) -> np.ndarray:
     """The predictions [B, H] of a block's windows."""
     if model.slides(shape, block.lookback):
-        return model.sliding_forward(w, shape, block.values[: len(block) + block.lookback - 1], block.lookback, block.text())
+        return model.sliding_forward(w, shape, block.values[: len(block) + block.lookback - 1], block.lookback, block.text())[0]
     return in_chunks(block, lambda b: model.forward(w, shape, b.x, text_of(b, shape)).pred)
 
 
@@ -92,3 +92,25 @@ def attention_weights(bars: DataFrame, news: DataFrame, shape: model.Shape, w: d
 
     kind = bars.schema["ticker"].dataType.simpleString()
     return walk.map_windows(bars, news, shape.text_dim, run, f"ticker {kind}, end_idx int, text_dates array<date>, attention array<double>", bounds, horizon=shape.horizon, **windows)
+
+
+def faithfulness(bars: DataFrame, news: DataFrame, models: Models, bounds: tuple[str, str], seed: int = 42, **windows) -> DataFrame:
+    """A row a model: what experiment.faithfulness() returns, of all models in one pass over the windows. Null targets count as 0."""
+    shared = bars.sparkSession.sparkContext.broadcast(models)
+    sizes = next(iter(models.values()))[0]
+    names = ("error", "error_nearest", "error_random", "shift_nearest", "shift_random")
+
+    def run(b: walk.Block) -> pa.RecordBatch:
+        columns: list[list[pa.Array]] = []
+        for name, (shape, w) in shared.value.items():
+            whole = model.sliding_forward(w, shape, b.values[: len(b) + b.lookback - 1], b.lookback, b.text()) if model.slides(shape, b.lookback) else None
+            for lo in range(0, len(b), CHUNK // 2):
+                c = b.part(lo, min(lo + CHUNK // 2, len(b)))
+                found = None if whole is None else tuple(v[lo : lo + len(c)] for v in whole)
+                made = experiment.masked_errors(w, shape, c.x, text_of(c, shape), np.nan_to_num(c.y), c.draw, found)
+                columns.append([repeated(name, len(c), pa.string()), *[pa.array(v) for v in made]])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in zip(*columns, strict=True)], names=["model", *names])
+
+    draw = F.pmod(F.xxhash64("ticker", "end_idx", F.lit(seed)), F.lit(1 << 20))
+    made = walk.map_windows(bars, news, sizes.text_dim, run, "model string, " + ", ".join(f"{n} double" for n in names), bounds, horizon=sizes.horizon, draw=draw, **windows)
+    return made.groupBy("model").agg(F.count("*").alias("n"), *[F.avg(c).alias(c.replace("error", "mse")) for c in names])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.series import HORIZON, LOOKBACK, SPLITS
@@ -41,6 +41,7 @@ class Block:
     news_sum: np.ndarray
     lookback: int
     horizon: int
+    draw: np.ndarray | None = None  # a number a window, where one was asked for
 
     def __len__(self) -> int:
         return len(self.end_idx)
@@ -80,11 +81,11 @@ class Block:
         """The windows lo to hi - 1."""
         bars = slice(lo, hi + self.lookback + self.horizon - 1)
         days = slice(*np.searchsorted(self.news_date, [self.dates[bars][0], self.dates[hi + self.lookback - 2] + 1]))
-        return Block(self.ticker, self.split, self.end_idx[lo:hi], self.values[bars], self.target[bars], self.dates[bars], self.news_date[days], self.news_n[days], self.news_sum[days], self.lookback, self.horizon)
+        return Block(self.ticker, self.split, self.end_idx[lo:hi], self.values[bars], self.target[bars], self.dates[bars], self.news_date[days], self.news_n[days], self.news_sum[days], self.lookback, self.horizon, None if self.draw is None else self.draw[lo:hi])
 
 
-def laid(bars: DataFrame, news: DataFrame, features: tuple[str, ...], target: str, dim: int) -> DataFrame:
-    """ticker, date, bar, features, target, n and the news' sums of each bar and each day with news; a ticker's rows stand together, by day."""
+def laid(bars: DataFrame, news: DataFrame, features: tuple[str, ...], target: str, dim: int, draw: Column | None = None) -> DataFrame:
+    """ticker, date, bar, features, target, draw (over ticker and end_idx), n and the news' sums of each bar and each day with news; a ticker's rows stand together, by day."""
     numbers, sums = [f"f{k}" for k in range(len(features))], [f"v{k}" for k in range(dim)]
     known = news.filter("ticker IS NOT NULL AND date IS NOT NULL AND vec IS NOT NULL")
     daily = known.groupBy("ticker", F.col("date").cast("date").alias("date")).agg(F.count("*").alias("n"), *[F.sum(F.coalesce(F.get("vec", F.lit(k)).cast("double"), F.lit(0.0))).alias(v) for k, v in enumerate(sums)])
@@ -92,7 +93,11 @@ def laid(bars: DataFrame, news: DataFrame, features: tuple[str, ...], target: st
     days = bars.filter("ticker IS NOT NULL AND date IS NOT NULL").select("ticker", "date", F.lit(True).alias("bar"), *[F.col(f).cast("double").alias(k) for f, k in zip(features, numbers, strict=True)], F.col(target).cast("double").alias("target"), F.lit(0).cast("long").alias("n"), *[none.alias(v) for v in sums])
     both = days.unionByName(daily.select("ticker", "date", F.lit(False).alias("bar"), *[none.alias(k) for k in (*numbers, "target")], "n", *sums))
     # the number is given, since small rows stand for much work: partitions aren't to be merged by their bytes
-    return both.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker").sortWithinPartitions("ticker", "date", "bar")
+    made = both.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker").sortWithinPartitions("ticker", "date", "bar")
+    if draw is None:
+        return made
+    place = F.sum(F.col("bar").cast("int")).over(Window.partitionBy("ticker").orderBy("date", "bar").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return made.withColumn("end_idx", place.cast("int")).withColumn("draw", F.when(F.col("bar"), draw)).drop("end_idx")  # in the order of the sort above
 
 
 def tickers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -116,12 +121,12 @@ def numbers(columns: list[pa.ChunkedArray], null: float) -> np.ndarray:
 
 def map_windows(
     bars: DataFrame, news: DataFrame, dim: int, run: Callable[[Block], pa.RecordBatch | None], schema: str, bounds: tuple[str, str], features: tuple[str, ...] = ("close", "volume"), target: str = "close",
-    lookback: int = LOOKBACK, horizon: int = HORIZON, splits: tuple[str, ...] = SPLITS, block: int = BLOCK,
+    lookback: int = LOOKBACK, horizon: int = HORIZON, splits: tuple[str, ...] = SPLITS, block: int = BLOCK, draw: Column | None = None,
 ) -> DataFrame:
     """What ``run`` makes of each block of windows, as rows of ``schema``.
 
     The windows are those of ``series.with_split(series.windows(...), *bounds)``, of the named splits, with the texts of
-    ``text.window_text`` and ``text.window_texts``; ``bars`` have one row a ticker and date, ``news`` ticker, date and vec.
+    ``text.window_text`` and ``text.window_texts``; ``draw`` is an expression over ticker and end_idx, a long for each. ``bars`` have one row a ticker and date, ``news`` ticker, date and vec.
     """
     epoch = dt.date(1970, 1, 1)
     edges = [(dt.date.fromisoformat(d) - epoch).days for d in bounds]
@@ -142,7 +147,8 @@ def map_windows(
             return
         whole = Block(
             t["ticker"][0], "", np.arange(lookback - 1, n - horizon, dtype=np.int32), numbers(days.columns[3 : 3 + width], 0.0), pc.fill_null(days["target"], np.nan).to_numpy(), dates,
-            other["date"].cast(pa.int32()).to_numpy(), other["n"].to_numpy(), numbers(other.columns[5 + width :], 0.0), lookback, horizon,
+            other["date"].cast(pa.int32()).to_numpy(), other["n"].to_numpy(), numbers(other.columns[5 + width : 5 + width + dim], 0.0), lookback, horizon,
+            days["draw"].to_numpy()[lookback - 1 : n - horizon] if "draw" in days.column_names else None,
         )
         label = np.where(keep, split, -1)
         turns = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
@@ -159,4 +165,4 @@ def map_windows(
                 if made is not None:
                     yield made
 
-    return laid(bars, news, features, target, dim).mapInArrow(walk, schema)
+    return laid(bars, news, features, target, dim, draw).mapInArrow(walk, schema)
