@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,31 @@ def test_structured_strings_are_told_apart(spark):
     assert got(repeats.remove_repeats(df, block=8)) == brute(texts)
 
 
+def test_bytes_are_on_disk_a_share_at_a_time(spark, monkeypatch):
+    """Runs overlap: where all have company, shuffle files with the bytes of all at once and the texts took 3.5 times the text."""
+    r = random.Random(11)
+    halves = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=5000)) for _ in range(100)]
+    texts = [(i, halves[i // 2] + f" ending {i}") for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p: p.stat().st_size for d in dirs for p in Path(d).glob("*/shuffle_*") if p.exists()}
+    before, peaks, stage = set(files()), [], repeats.stage
+
+    def watched(df, name):
+        for _ in range(50):  # files go a little after they are given up
+            if sum(n for p, n in files().items() if p not in before) < 100_000:
+                break
+            time.sleep(0.1)
+        out = stage(df, name)
+        peaks.append(sum(n for p, n in files().items() if p not in before))
+        return out
+
+    monkeypatch.setattr(repeats, "stage", watched)
+    out = got(repeats.remove_repeats(df))
+    assert out == brute(texts)
+    assert max(peaks) < 2.8 * sum(len(t) for _, t in texts)
+
+
 def test_missing_and_shared_ids(spark):
     text = "".join(random.Random(3).choices("abcdef", k=200))
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (7, "short")], "doc_id long, text string")

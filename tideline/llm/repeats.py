@@ -5,9 +5,10 @@ an anchor are a run. Equal windows have equal anchors at equal places, so runs m
 in columns by their anchor's place: windows that are equal begin in the same column. Hashes are routes only.
 
 1. Each task cuts its texts into runs. Runs whose anchor's hash occurs once are done: nothing in them repeats.
-2. The others' bytes are fetched and meet in blocks of at most BLOCK runs. A block is a collection whose positional
-   Burrows-Wheeler transform and common prefixes are built column by column (``columnwise``), one symbol a run each
-   round; windows with LENGTH symbols in common are equal, and all but the earliest of them repeat.
+2. The others' bytes are fetched, for one of SHARES of the keys after the other, and meet in blocks of at most BLOCK runs.
+   A block is a collection whose positional Burrows-Wheeler transform and common prefixes are built column by column
+   (``columnwise``), one symbol a run each round; windows with LENGTH symbols in common are equal, and all but the earliest
+   of them repeat.
 3. Where an anchor has more runs than a block, or so many that they were dealt over tasks, what a block leaves meets again
    in a pass of its own, by a finer route: the anchor of a longer gram, then the whole window. Passes read and write
    sequential files in the shared folder, each with only what the one before it left, until no group is cut.
@@ -18,14 +19,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columnwise import in_columns, later_windows
-from .common import POWERS, mix, prefix_hash, slices, stage, text_bytes
+from .common import POWERS, free_shuffles, mix, prefix_hash, slices, stage, text_bytes
 
 LENGTH = 100
 #: The anchors' length in each pass; windows by themselves are the last.
@@ -33,6 +35,8 @@ GRAMS = (24, 76, LENGTH)
 SEGMENT = 4 << 20
 BLOCK_RUNS = 400_000
 BLOCK = 4096
+#: Keys are dealt over so many shares, taken one after the other: runs overlap, so the bytes of all may be over three times the text's.
+SHARES = 3
 PLACE = np.uint64(0xFFFFFF)
 
 
@@ -315,29 +319,38 @@ def removed_spans(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), reach[np.append(first[1:], len(start)) - 1].tolist(), strict=True))
 
 
-def repeated_windows(base: DataFrame, block: int = BLOCK, segment: int = SEGMENT, block_runs: int = BLOCK_RUNS) -> DataFrame:
-    """(doc, start, count): windows of ``base`` (doc, text) that repeat an earlier one. Every row comes from the transform."""
-    spread = 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = base.mapInArrow(cut_runs(spread, segment, block_runs), RUNS).repartition("key", "piece").sortWithinPartitions("key", "piece", "place")
-    # written, so that the shuffle before it can be given up while the next ones grow
-    met = stage(cut.mapInArrow(meet_runs, RUNS), "runs")
+def end_shuffles(spark: SparkSession) -> None:
+    """Give up the shuffles of what was staged: the scheduler holds on to its last job, and so to its shuffles, until it has another."""
+    spark.range(1).count()
+    free_shuffles(spark)
+
+
+def windows_of_share(base: DataFrame, met: DataFrame, spread: int, block: int) -> Iterator[DataFrame]:
+    """(doc, start, count) of each pass over ``met``, all runs of some of the keys: equal windows have equal keys."""
     # a document's list is in proportion to its text
     by_doc = met.groupBy("doc").agg(F.collect_list(F.struct("key", "piece", "split", "place")).alias("runs"))
     strings = base.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(fetch_bytes, STRINGS)
-    found = []
     for level in range(1 << 10):
         gram = GRAMS[min(level, len(GRAMS) - 1)]
         sorted_strings = strings.repartition("key", "piece").sortWithinPartitions("key", "piece", "doc", "start")
         left = stage(sorted_strings.mapInArrow(compare(gram, block), LEFT), f"windows-{level}")
-        found.append(left.filter("bytes IS NULL").select("doc", "start", "count"))
+        end_shuffles(base.sparkSession)
+        yield left.filter("bytes IS NULL").select("doc", "start", "count")
         open_runs = left.filter("bytes IS NOT NULL")
         if open_runs.isEmpty():
             break
         strings = open_runs.mapInArrow(recut(GRAMS[min(level + 1, len(GRAMS) - 1)], spread), STRINGS)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+
+
+def repeated_windows(base: DataFrame, block: int = BLOCK, segment: int = SEGMENT, block_runs: int = BLOCK_RUNS, shares: int = SHARES) -> DataFrame:
+    """(doc, start, count): windows of ``base`` (doc, text) that repeat an earlier one. Every row comes from the transform."""
+    spread = 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = base.mapInArrow(cut_runs(spread, segment, block_runs), RUNS).repartition("key", "piece").sortWithinPartitions("key", "piece", "place")
+    # written, so that the shuffle before it can be given up while the next ones grow
+    met = stage(cut.mapInArrow(meet_runs, RUNS), "runs")
+    end_shuffles(base.sparkSession)
+    found = [x for k in range(shares) for x in windows_of_share(base, met.filter(F.pmod("key", F.lit(shares)) == k), spread, block)]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK, segment: int = SEGMENT, block_runs: int = BLOCK_RUNS) -> DataFrame:
