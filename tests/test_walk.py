@@ -30,6 +30,72 @@ def test_sliding_pass_is_the_pass_of_each_window(sizes, lookback, n):
     assert np.allclose(pred, want.pred, atol=1e-13) and np.allclose(least.ravel(), want.d2.min(1), atol=1e-12)
 
 
+def masked_windows(x, segments, shape):
+    out = x.copy()
+    for k, s in enumerate(segments):
+        out[k, s * shape.patch_stride : s * shape.patch_stride + shape.patch_len] = x[k].mean(0)
+    return out
+
+
+@pytest.mark.parametrize(
+    ("sizes", "lookback"),
+    [({}, 60), ({"d_model": 6, "patch_len": 4, "patch_stride": 2, "channels": (5, 4)}, 12), ({"d_model": 6, "patch_len": 11, "patch_stride": 2, "channels": (5, 4), "kernel": 5}, 13), ({"d_model": 6, "patch_len": 2, "patch_stride": 1, "channels": (5, 4, 3)}, 9)],
+)
+def test_masks_on_the_sliding_pass_are_passes_of_masked_windows(sizes, lookback):
+    """Of three series in one pass, one of them with a single window; each window with every segment masked, and each with one of its own."""
+    shape, r = model.Shape(n_features=2, text_dim=2, **sizes), np.random.default_rng(2)
+    w = {k: r.uniform(0.5, 1.5, v.shape) if k.startswith("norm") else v for k, v in model.initial_weights(shape, 3).items()}
+    counts = (7, 1, 12)
+    series_of = [r.normal(size=(n + lookback - 1, 2)) for n in counts]
+    x = np.array([v[k : k + lookback] for v, n in zip(series_of, counts, strict=True) for k in range(n)])
+    first = np.concatenate([at + np.arange(n) for at, n in zip(np.cumsum([0, *map(len, series_of[:-1])]), counts, strict=True)])
+    news, per = r.normal(size=(20, 2)), (lookback - shape.patch_len) // shape.patch_stride + 1
+    made = model.Sliding(w, shape, np.concatenate(series_of), lookback, news, first)
+    want = model.forward(w, shape, x, news)
+    assert np.allclose(made.pred, want.pred, atol=1e-13) and np.allclose(made.least.ravel(), want.d2.min(1), atol=1e-12)
+    segments = np.stack([*(np.full(20, s) for s in range(per)), r.integers(0, per, 20)])
+    for got, own in zip(made.masked(segments, chunk=3), segments, strict=True):
+        assert np.allclose(got, model.forward(w, shape, masked_windows(x, own, shape), news).pred, atol=1e-13)
+
+
+def test_masked_passes_compute_what_the_mask_reaches(monkeypatch):
+    """Of 60 places a layer the mask of 12 reaches 14, 16 and 18, of which 5, 9 and 13 differ; then 5 of 9 segments."""
+    shape, r, spans = catalogue.SHAPE, np.random.default_rng(2), []
+    made = model.Sliding(model.initial_weights(shape), shape, r.normal(size=(70, 2)), 60, r.normal(size=(11, 2)))
+    plain = model.Taps.changed
+    monkeypatch.setattr(model.Taps, "changed", lambda self, *given: (spans.append(self.width), plain(self, *given)))
+    monkeypatch.setattr(model, "forward", None)
+    made.masked(np.full((2, 11), 4))
+    assert (spans.count(3), spans.count(12)) == (5 + 9 + 13, 5)
+
+
+@pytest.mark.parametrize("name", ["b", "c0", "c1"])
+@pytest.mark.parametrize("sizes", [{}, {"e_layers": 3, "patch_len": 7, "patch_stride": 3}, {"e_layers": 1, "patch_len": 4, "patch_stride": 6, "n_heads": 2}, {"e_layers": 0}])
+def test_scorer_makes_forwards_predictions(name, sizes):
+    shape, r = model.build_model(name, n_features=2, text_dim=2, **sizes), np.random.default_rng(3)
+    w = {k: r.uniform(0.5, 1.5, v.shape) if k.endswith((".gain", ".shift")) else v for k, v in model.initial_weights(shape).items()}
+    x, counts = r.normal(size=(9, 60, 2)) * 5, np.array([2, 0, 4, 1, 3, 0, 0, 1, 1])
+    text = attention.Ragged(r.normal(size=(counts.sum(), 2)), counts) if name == "c1" else r.normal(size=(9, 2))
+    scorer, segments = attention.scorer(w, shape), r.integers(0, shape.n_segments, (2, 9))
+    segments[:, 0] = 0, shape.n_segments - 1
+    want = model.forward(w, shape, x, text)
+    for n in (9, 4):  # the second time with fewer windows than its arrays hold
+        made, least = scorer.windows(x[:n], 3)
+        scorer.mask(x[:n], made[1:], segments[:, :n])
+        pred, *other = scorer.predicted(made, text[:n])
+        assert np.allclose(pred, want.pred[:n], atol=1e-13) and np.allclose(least.ravel(), want.d2.min(1)[: least.size], rtol=1e-12)
+        for got, own in zip(other, segments[:, :n], strict=True):
+            assert np.allclose(got, model.forward(w, shape, masked_windows(x[:n], own, shape), text[:n]).pred, atol=1e-13)
+
+
+def test_scores_of_any_size_stay_finite():
+    near = np.array([[[0.0, 1.0, 2.0]], [[1.0, 1.0, 1.0]]])
+    for score in (near, near + [[[5000.0]], [[-5000.0]]], near * 4000):
+        want = np.exp(score - score.max(-1, keepdims=True))
+        got = attention.raised(score.copy())
+        assert np.allclose(got / got.sum(-1, keepdims=True), want / want.sum(-1, keepdims=True), rtol=1e-12)
+
+
 @pytest.fixture(scope="module")
 def days(spark):
     """Tickers of several lengths with gaps, news on and between their days, before and after them, and of no ticker's."""
@@ -76,6 +142,23 @@ def test_windows_are_those_of_arrays(days, block):
     assert sorted((r["ticker"], r["end_idx"]) for r in only) == sorted(k for k, r in want.items() if r["split"] == "test")
 
 
+@pytest.mark.parametrize("together", [1, 9, 1000])
+def test_blocks_of_several_tickers_are_handed_over_together(days, together):
+    bars, news = days
+    bounds = ("2020-02-10", "2020-03-05")
+
+    def keys(blocks):
+        values, first = walk.stacked(blocks)
+        at = np.concatenate([b.x for b in blocks])
+        assert np.array_equal(np.lib.stride_tricks.sliding_window_view(values, 7, 0)[first].transpose(0, 2, 1), at)
+        return pa.RecordBatch.from_arrays([pa.array([str(b.ticker) for b in blocks for _ in range(len(b))]), pa.array(np.concatenate([b.end_idx for b in blocks])), pa.repeat(pa.scalar(len(at), pa.int32()), len(at))], names=["ticker", "end_idx", "n"])
+
+    got = walk.map_windows(bars.coalesce(1), news, 2, keys, "ticker string, end_idx int, n int", bounds, ("p", "q"), "target", 7, 3, block=4, together=together).collect()
+    one = walk.map_windows(bars, news, 2, lambda b: keys([b]), "ticker string, end_idx int, n int", bounds, ("p", "q"), "target", 7, 3).collect()
+    assert sorted(r[:2] for r in got) == sorted(r[:2] for r in one)
+    assert max(r["n"] for r in got) <= together + 3 and (together == 1 or max(r["n"] for r in got) > 4)
+
+
 @pytest.mark.parametrize("name", ["model_evaluate", "model_forward", "model_ablation", "model_text_attention", "model_faithfulness"])
 def test_models_are_sent_days_and_not_windows(spark, sf_dir, name):
     """A day's values are sent once, not in each of the sixty windows that hold it."""

@@ -13,6 +13,7 @@ from tideline.operators import attention, experiment, model, walk
 from tideline.operators.prototypes import nested
 
 CHUNK = 24  # what a layer makes of so many windows stays in the processor's cache
+MASKED = 32  # so many windows' three passes go through a layer together
 Models = dict[str, tuple[model.Shape, dict[str, np.ndarray]]]
 
 
@@ -96,21 +97,33 @@ def attention_weights(bars: DataFrame, news: DataFrame, shape: model.Shape, w: d
 
 def faithfulness(bars: DataFrame, news: DataFrame, models: Models, bounds: tuple[str, str], seed: int = 42, **windows) -> DataFrame:
     """A row a model: what experiment.faithfulness() returns, of all models in one pass over the windows. Null targets count as 0."""
-    shared = bars.sparkSession.sparkContext.broadcast(models)
+    shared = bars.sparkSession.sparkContext.broadcast({name: (shape, w, attention.scorer(w, shape)) for name, (shape, w) in models.items()})
     sizes = next(iter(models.values()))[0]
     names = ("error", "error_nearest", "error_random", "shift_nearest", "shift_random")
 
-    def run(b: walk.Block) -> pa.RecordBatch:
-        columns: list[list[pa.Array]] = []
-        for name, (shape, w) in shared.value.items():
-            whole = model.sliding_forward(w, shape, b.values[: len(b) + b.lookback - 1], b.lookback, b.text()) if model.slides(shape, b.lookback) else None
-            for lo in range(0, len(b), CHUNK // 2):
-                c = b.part(lo, min(lo + CHUNK // 2, len(b)))
-                found = None if whole is None else tuple(v[lo : lo + len(c)] for v in whole)
-                made = experiment.masked_errors(w, shape, c.x, text_of(c, shape), np.nan_to_num(c.y), c.draw, found)
-                columns.append([repeated(name, len(c), pa.string()), *[pa.array(v) for v in made]])
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in zip(*columns, strict=True)], names=["model", *names])
+    def run(blocks: list[walk.Block]) -> pa.RecordBatch:
+        values, first = walk.stacked(blocks)
+        y, draw = np.nan_to_num(np.concatenate([b.y for b in blocks])), np.concatenate([b.draw for b in blocks])
+        columns: list[list[np.ndarray]] = []
+        for shape, w, scorer in shared.value.values():
+            texts = [text_of(b, shape) for b in blocks]
+            if shape.ragged_text:
+                text = attention.Ragged(np.concatenate([t.flat for t in texts]), np.concatenate([t.counts for t in texts]))
+            else:
+                text = np.concatenate(texts)
+            if model.slides(shape, blocks[0].lookback):
+                whole = model.Sliding(w, shape, values, blocks[0].lookback, text, first)
+                made = [experiment.masked_errors(whole.least, y, draw, lambda segments, whole=whole: np.concatenate([whole.pred[None], whole.masked(segments)]))]
+            else:
+                x = np.lib.stride_tricks.sliding_window_view(values, blocks[0].lookback, 0)
+                made = []
+                for lo in range(0, len(y), MASKED):
+                    at = slice(lo, lo + MASKED)
+                    made.append(experiment.masked_errors_of(w, shape, scorer, x[first[at]].transpose(0, 2, 1), text[at], y[at], draw[at]))
+            columns.append([np.concatenate(v) for v in zip(*made, strict=True)])
+        models = pa.concat_arrays([repeated(name, len(y), pa.string()) for name in shared.value])
+        return pa.RecordBatch.from_arrays([models, *[pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]], names=["model", *names])
 
     draw = F.pmod(F.xxhash64("ticker", "end_idx", F.lit(seed)), F.lit(1 << 20))
-    made = walk.map_windows(bars, news, sizes.text_dim, run, "model string, " + ", ".join(f"{n} double" for n in names), bounds, horizon=sizes.horizon, draw=draw, **windows)
+    made = walk.map_windows(bars, news, sizes.text_dim, run, "model string, " + ", ".join(f"{n} double" for n in names), bounds, horizon=sizes.horizon, draw=draw, together=walk.BLOCK, **windows)
     return made.groupBy("model").agg(F.count("*").alias("n"), *[F.avg(c).alias(c.replace("error", "mse")) for c in names])

@@ -115,18 +115,37 @@ def tickers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def stacked(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all look-backs, one block's after the other's, and each window's first row among them."""
+    values = [b.values[: len(b) + b.lookback - 1] for b in blocks]
+    before = np.cumsum([0, *map(len, values[:-1])])
+    return np.concatenate(values), np.concatenate([at + np.arange(len(b)) for at, b in zip(before, blocks, strict=True)])
+
+
+def lists(blocks: Iterator[Block], windows: int) -> Iterator[list[Block]]:
+    held: list[Block] = []
+    for b in blocks:
+        held.append(b)
+        if sum(map(len, held)) >= windows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def numbers(columns: list[pa.ChunkedArray], null: float) -> np.ndarray:
     return np.stack([pc.fill_null(c, null).to_numpy() for c in columns], 1)
 
 
 def map_windows(
-    bars: DataFrame, news: DataFrame, dim: int, run: Callable[[Block], pa.RecordBatch | None], schema: str, bounds: tuple[str, str], features: tuple[str, ...] = ("close", "volume"), target: str = "close",
-    lookback: int = LOOKBACK, horizon: int = HORIZON, splits: tuple[str, ...] = SPLITS, block: int = BLOCK, draw: Column | None = None,
+    bars: DataFrame, news: DataFrame, dim: int, run: Callable[[Block | list[Block]], pa.RecordBatch | None], schema: str, bounds: tuple[str, str], features: tuple[str, ...] = ("close", "volume"), target: str = "close",
+    lookback: int = LOOKBACK, horizon: int = HORIZON, splits: tuple[str, ...] = SPLITS, block: int = BLOCK, draw: Column | None = None, together: int = 0,
 ) -> DataFrame:
     """What ``run`` makes of each block of windows, as rows of ``schema``.
 
     The windows are those of ``series.with_split(series.windows(...), *bounds)``, of the named splits, with the texts of
-    ``text.window_text`` and ``text.window_texts``; ``draw`` is an expression over ticker and end_idx, a long for each. ``bars`` have one row a ticker and date, ``news`` ticker, date and vec.
+    ``text.window_text`` and ``text.window_texts``; with ``together`` blocks are handed over in lists, of any tickers, that have so many windows
+    or are a partition's last; ``draw`` is an expression over ticker and end_idx, a long for each. ``bars`` have one row a ticker and date, ``news`` ticker, date and vec.
     """
     epoch = dt.date(1970, 1, 1)
     edges = [(dt.date.fromisoformat(d) - epoch).days for d in bounds]
@@ -159,10 +178,10 @@ def map_windows(
                 yield made
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tickers(batches):
-            for b in blocks(t):
-                made = run(b)
-                if made is not None:
-                    yield made
+        every = (b for t in tickers(batches) for b in blocks(t))
+        for b in lists(every, together) if together else every:
+            made = run(b)
+            if made is not None:
+                yield made
 
     return laid(bars, news, features, target, dim, draw).mapInArrow(walk, schema)
