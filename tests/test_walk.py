@@ -142,7 +142,7 @@ def test_windows_are_those_of_arrays(days, block):
     assert sorted((r["ticker"], r["end_idx"]) for r in only) == sorted(k for k, r in want.items() if r["split"] == "test")
 
 
-@pytest.mark.parametrize("together", [1, 9, 1000])
+@pytest.mark.parametrize("together", [1, 25, 1000])
 def test_blocks_of_several_tickers_are_handed_over_together(days, together):
     bars, news = days
     bounds = ("2020-02-10", "2020-03-05")
@@ -159,6 +159,31 @@ def test_blocks_of_several_tickers_are_handed_over_together(days, together):
     assert max(r["n"] for r in got) <= together + 3 and (together == 1 or max(r["n"] for r in got) > 4)
 
 
+@pytest.mark.parametrize("splits", [("test",), ("val", "test"), ("train", "test"), ("val",)])
+def test_bars_that_no_window_takes_are_left_out_once_counted(spark, days, splits):
+    """Numbers, draws and windows are those of all bars, though Python is sent only what it walks through."""
+    bars, news = days
+    bounds, schema = ("2020-02-10", "2020-03-05"), "ticker string, end_idx int, draw long, x array<double>, y array<double>, text array<double>"
+
+    def run(b):
+        flat = [[float(v) for v in part.ravel()] for part in (*b.x, *b.y, *b.text())]
+        n = len(b)
+        draw = pa.nulls(n, pa.int64()) if b.draw is None else pa.array(b.draw)
+        return pa.RecordBatch.from_arrays([pa.repeat(b.ticker, n), pa.array(b.end_idx), draw, *[pa.array(flat[k * n : (k + 1) * n]) for k in range(3)]], names="ticker end_idx draw x y text".split())
+
+    draw = F.xxhash64("ticker", "end_idx")
+    args = (bars, news, 2, run, schema, bounds, ("p", "q"), "target", 7, 3)
+    got = {r[:2]: r for r in walk.map_windows(*args, splits=splits, draw=draw).collect()}
+    want = {r[:2]: r for r in walk.map_windows(*args, splits=splits).withColumn("draw", draw).collect()}
+    assert len(got) > 5 and set(got) == set(want)
+    for key, r in got.items():
+        assert r["draw"] == want[key]["draw"]
+        assert all(np.allclose(r[c], want[key][c], atol=1e-12, equal_nan=True) for c in ("x", "y", "text"))
+    sent = walk.laid(bars, news, ("p", "q"), "target", 2, draw, bounds[1], 7).filter("bar").groupBy("ticker").agg(F.count("*").alias("n")).collect()
+    own = bars.groupBy("ticker").agg(F.count("*").alias("n"), F.sum((F.col("date") <= bounds[1]).cast("int")).alias("before")).collect()
+    assert {r["ticker"]: r["n"] for r in sent if r["n"]} == {r["ticker"]: r["n"] - max(0, r["before"] - 6) for r in own if r["n"] > max(0, r["before"] - 6)}
+
+
 @pytest.mark.parametrize("name", ["model_evaluate", "model_forward", "model_ablation", "model_text_attention", "model_faithfulness"])
 def test_models_are_sent_days_and_not_windows(spark, sf_dir, name):
     """A day's values are sent once, not in each of the sixty windows that hold it."""

@@ -125,5 +125,5 @@ def faithfulness(bars: DataFrame, news: DataFrame, models: Models, bounds: tuple
         return pa.RecordBatch.from_arrays([models, *[pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]], names=["model", *names])
 
     draw = F.pmod(F.xxhash64("ticker", "end_idx", F.lit(seed)), F.lit(1 << 20))
-    made = walk.map_windows(bars, news, sizes.text_dim, run, "model string, " + ", ".join(f"{n} double" for n in names), bounds, horizon=sizes.horizon, draw=draw, together=walk.BLOCK, **windows)
+    made = walk.map_windows(bars, news, sizes.text_dim, run, "model string, " + ", ".join(f"{n} double" for n in names), bounds, horizon=sizes.horizon, draw=draw, together=4 * walk.BLOCK, **windows)
     return made.groupBy("model").agg(F.count("*").alias("n"), *[F.avg(c).alias(c.replace("error", "mse")) for c in names])

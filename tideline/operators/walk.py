@@ -84,8 +84,12 @@ class Block:
         return Block(self.ticker, self.split, self.end_idx[lo:hi], self.values[bars], self.target[bars], self.dates[bars], self.news_date[days], self.news_n[days], self.news_sum[days], self.lookback, self.horizon, None if self.draw is None else self.draw[lo:hi])
 
 
-def laid(bars: DataFrame, news: DataFrame, features: tuple[str, ...], target: str, dim: int, draw: Column | None = None) -> DataFrame:
-    """ticker, date, bar, features, target, draw (over ticker and end_idx), n and the news' sums of each bar and each day with news; a ticker's rows stand together, by day."""
+def laid(bars: DataFrame, news: DataFrame, features: tuple[str, ...], target: str, dim: int, draw: Column | None = None, since: str | None = None, lookback: int = LOOKBACK) -> DataFrame:
+    """ticker, date, bar, features, target, n and the news' sums of each bar and each day with news; a ticker's rows stand together, by day.
+
+    With ``draw``, over ticker and end_idx, also draw and end_idx. With ``since``, too, tickers without bars and bars that are in no look-back
+    of a window that ends after that date are left out once all are counted.
+    """
     numbers, sums = [f"f{k}" for k in range(len(features))], [f"v{k}" for k in range(dim)]
     known = news.filter("ticker IS NOT NULL AND date IS NOT NULL AND vec IS NOT NULL")
     daily = known.groupBy("ticker", F.col("date").cast("date").alias("date")).agg(F.count("*").alias("n"), *[F.sum(F.coalesce(F.get("vec", F.lit(k)).cast("double"), F.lit(0.0))).alias(v) for k, v in enumerate(sums)])
@@ -96,8 +100,15 @@ def laid(bars: DataFrame, news: DataFrame, features: tuple[str, ...], target: st
     made = both.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker").sortWithinPartitions("ticker", "date", "bar")
     if draw is None:
         return made
-    place = F.sum(F.col("bar").cast("int")).over(Window.partitionBy("ticker").orderBy("date", "bar").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return made.withColumn("end_idx", place.cast("int")).withColumn("draw", F.when(F.col("bar"), draw)).drop("end_idx")  # in the order of the sort above
+    of_ticker = Window.partitionBy("ticker").orderBy("date", "bar")  # in the order of the sort above
+    place = F.sum(F.col("bar").cast("int")).over(of_ticker.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    made = made.withColumn("end_idx", place.cast("int"))
+    if since is not None:
+        whole = of_ticker.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before = F.sum((F.col("bar") & (F.col("date") <= F.lit(since).cast("date"))).cast("int")).over(whole)
+        made = made.withColumn("_before", before).withColumn("_bars", F.sum(F.col("bar").cast("int")).over(whole))
+        made = made.filter((F.col("_bars") > 0) & (~F.col("bar") | (F.col("end_idx") > F.col("_before") - lookback))).drop("_before", "_bars")
+    return made.withColumn("draw", F.when(F.col("bar"), draw))
 
 
 def tickers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -122,11 +133,11 @@ def stacked(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate([at + np.arange(len(b)) for at, b in zip(before, blocks, strict=True)])
 
 
-def lists(blocks: Iterator[Block], windows: int) -> Iterator[list[Block]]:
+def lists(blocks: Iterator[Block], days: int) -> Iterator[list[Block]]:
     held: list[Block] = []
     for b in blocks:
         held.append(b)
-        if sum(map(len, held)) >= windows:
+        if sum(len(one) + one.lookback - 1 for one in held) >= days:
             yield held
             held = []
     if held:
@@ -144,8 +155,8 @@ def map_windows(
     """What ``run`` makes of each block of windows, as rows of ``schema``.
 
     The windows are those of ``series.with_split(series.windows(...), *bounds)``, of the named splits, with the texts of
-    ``text.window_text`` and ``text.window_texts``; with ``together`` blocks are handed over in lists, of any tickers, that have so many windows
-    or are a partition's last; ``draw`` is an expression over ticker and end_idx, a long for each. ``bars`` have one row a ticker and date, ``news`` ticker, date and vec.
+    ``text.window_text`` and ``text.window_texts``; with ``together`` blocks are handed over in lists, of any tickers, whose look-backs have so many days
+    or which are a partition's last; ``draw`` is an expression over ticker and end_idx, a long for each. ``bars`` have one row a ticker and date, ``news`` ticker, date and vec.
     """
     epoch = dt.date(1970, 1, 1)
     edges = [(dt.date.fromisoformat(d) - epoch).days for d in bounds]
@@ -164,8 +175,9 @@ def map_windows(
         keep = (split == np.searchsorted(edges, dates[lookback - 1 + horizon :])) & np.isin(split, wanted)
         if not keep.any():
             return
+        left_out = days["end_idx"][0].as_py() if "end_idx" in days.column_names else 0
         whole = Block(
-            t["ticker"][0], "", np.arange(lookback - 1, n - horizon, dtype=np.int32), numbers(days.columns[3 : 3 + width], 0.0), pc.fill_null(days["target"], np.nan).to_numpy(), dates,
+            t["ticker"][0], "", np.arange(lookback - 1, n - horizon, dtype=np.int32) + np.int32(left_out), numbers(days.columns[3 : 3 + width], 0.0), pc.fill_null(days["target"], np.nan).to_numpy(), dates,
             other["date"].cast(pa.int32()).to_numpy(), other["n"].to_numpy(), numbers(other.columns[5 + width : 5 + width + dim], 0.0), lookback, horizon,
             days["draw"].to_numpy()[lookback - 1 : n - horizon] if "draw" in days.column_names else None,
         )
@@ -184,4 +196,5 @@ def map_windows(
             if made is not None:
                 yield made
 
-    return laid(bars, news, features, target, dim, draw).mapInArrow(walk, schema)
+    since = bounds[wanted[0] - 1] if wanted and wanted[0] else None
+    return laid(bars, news, features, target, dim, draw, since, lookback).mapInArrow(walk, schema)
